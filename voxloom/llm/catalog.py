@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, mixing, packing, splitting
+from voxloom.llm import bpe, mixing, overlap, packing, splitting
 from voxloom.runtime import table
 
 
@@ -34,6 +34,32 @@ def _split_passages(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_passages(table(spark, root, "spoken_squad_sample"), table(spark, root, "wav_index"), limit, overlap)
 
 
+def _split_texts(spark: SparkSession, root: str) -> DataFrame:
+    raw = table(spark, root, "raw_sample").filter(F.col("task").isin("asr", "speech_to_text_translation"))
+    raw = raw.select(F.lit("target_text").alias("field"), overlap.side(F.col("split")).alias("side"), F.col("sample_id").alias("id"), F.col("target_text").alias("text"))
+    co = table(spark, root, "covost2_sample")
+    co = co.select(F.lit("source_text").alias("field"), overlap.side(F.col("split")).alias("side"), "id", F.col("source_text").alias("text"))
+    return raw.unionByName(co).filter(F.col("side").isNotNull() & F.col("text").isNotNull())
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of a training and an evaluation row with the same or nearly the same text."""
+    pairs = overlap.cross_split_copies(_split_texts(spark, root))
+    return pairs.select("field", F.least("id_eval", "id_train").alias("id_a"), F.greatest("id_eval", "id_train").alias("id_b"))
+
+
+def p2_report(spark: SparkSession, root: str) -> DataFrame:
+    """Evaluation rows, rows with a copy in training, and pairs, by field, split and dataset."""
+    raw = table(spark, root, "raw_sample").select(F.lit("target_text").alias("field"), F.col("sample_id").alias("id_eval"), "dataset", "split")
+    co = table(spark, root, "covost2_sample").select(F.lit("source_text").alias("field"), F.col("id").alias("id_eval"), "dataset", "split")
+    rows = raw.unionByName(co).filter(overlap.side(F.col("split")) == "e").withColumn("split", F.lower(F.trim("split"))).distinct()
+    per = overlap.cross_split_copies(_split_texts(spark, root)).groupBy("field", "id_eval").agg(F.count("*").alias("pairs"))
+    both = rows.join(per, ["field", "id_eval"], "left")
+    return both.groupBy("field", "split", "dataset").agg(
+        F.count("*").alias("rows"), F.count("pairs").alias("rows_with_copy"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
+    )
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Items above their limit and how they are cut."""
     a = _split_packed(spark, root, False).select(F.lit("packed_sample").alias("item_table"), "item_id", "cut").distinct()
@@ -80,6 +106,8 @@ def p6_shares(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_packed_pieces": p3_packed_pieces,
     "p3_passage_pieces": p3_passage_pieces,
