@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, mixing, overlap, packing, splitting
+from voxloom.llm import bpe, mixing, overlap, packing, pairs, splitting
 from voxloom.runtime import table
 
 
@@ -34,6 +34,19 @@ def _split_passages(spark: SparkSession, root: str) -> DataFrame:
     return splitting.split_passages(table(spark, root, "spoken_squad_sample"), table(spark, root, "wav_index"), limit, overlap)
 
 
+def p1_defects(spark: SparkSession, root: str) -> DataFrame:
+    """Defective pairs with every defect, in order."""
+    spoken, chats = table(spark, root, "spoken_squad_sample"), table(spark, root, "ultrachat_sample")
+    replies = chats.select(F.explode("messages").alias("m")).filter(F.lower(F.trim("m.role")).isin(*pairs.ASSISTANT)).select("m.content")
+    ends = pairs.phrase_ends(spoken, "context_text", "c").unionByName(pairs.phrase_ends(replies, "content", "r"))
+    return pairs.defects(pairs.question_pairs(spoken).unionByName(pairs.chat_pairs(chats)), ends)
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Defective pairs with the defect that counts."""
+    return p1_defects(spark, root).select("dataset", "id", "turn", F.col("defects")[0].alias("defect"))
+
+
 def _split_texts(spark: SparkSession, root: str) -> DataFrame:
     raw = table(spark, root, "raw_sample").filter(F.col("task").isin("asr", "speech_to_text_translation"))
     raw = raw.select(F.lit("target_text").alias("field"), overlap.side(F.col("split")).alias("side"), F.col("sample_id").alias("id"), F.col("target_text").alias("text"))
@@ -106,6 +119,8 @@ def p6_shares(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_defects": p1_defects,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p3_found": p3_found,
