@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm import bpe, mixing, overlap, packing, pairs, splitting
+from voxloom.llm import abuse, bpe, mixing, overlap, packing, pairs, splitting
 from voxloom.runtime import table
 
 
@@ -118,6 +118,26 @@ def p6_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(table(spark, root, "documents"), table(spark, root, "mix_target"))
 
 
+def _abuse_scores(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return abuse.scored(docs, abuse.train(docs, table(spark, root, "labels")))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexual passage."""
+    return _abuse_scores(spark, root).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p7_scores(spark: SparkSession, root: str) -> DataFrame:
+    """The score of every document."""
+    return _abuse_scores(spark, root)
+
+
+def p7_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Rates of such documents by source."""
+    return abuse.rates(_abuse_scores(spark, root))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_defects": p1_defects,
@@ -131,6 +151,9 @@ QUERIES = {
     "p5_ids": p5_ids,
     "p6_mixture": p6_mixture,
     "p6_shares": p6_shares,
+    "p7_found": p7_found,
+    "p7_scores": p7_scores,
+    "p7_rates": p7_rates,
 }
 
 ORACLES: dict[str, str] = {}
