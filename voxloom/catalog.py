@@ -174,7 +174,7 @@ def segments_unnest(spark: SparkSession, root: str) -> DataFrame:
     return build.unnest_segments(_segments(spark, root), "L").select("aid", "sid", "begin_time", "end_time")
 
 
-@_query(f"SELECT sid, list_contains(tags, 'M') AS member FROM {_SEGMENTS}")
+@_query(f"SELECT sid, list_contains(tags, 'M') AS member FROM {_SEGMENTS} WHERE list_contains(tags, 'XL')")
 def subset_membership(spark: SparkSession, root: str) -> DataFrame:
     rows = build.unnest_segments(_segments(spark, root), "XL").select("sid", build.in_subset(F.col("subsets"), "M").alias("member"))
     return rows
@@ -183,7 +183,7 @@ def subset_membership(spark: SparkSession, root: str) -> DataFrame:
 @_query(
     f"""SELECT disposition, count(*) AS rows FROM (SELECT CASE WHEN {_strip('text_tn')} IN ('<SIL>', '<MUSIC>', '<NOISE>', '<OTHER>') THEN 'garbage'
         WHEN {_spoken_sql('text_tn')} = '' THEN 'empty_text' WHEN NOT coalesce(end_time - begin_time BETWEEN 0.2 AND 120.0, false) THEN 'bad_duration' ELSE 'written' END AS disposition
-        FROM {_SEGMENTS}) GROUP BY 1"""
+        FROM {_SEGMENTS} WHERE list_contains(tags, 'XL')) GROUP BY 1"""
 )
 def disposition_counts(spark: SparkSession, root: str) -> DataFrame:
     rows = build.unnest_segments(_segments(spark, root), "XL")
@@ -191,7 +191,7 @@ def disposition_counts(spark: SparkSession, root: str) -> DataFrame:
     return build.counters(rows.withColumn("disposition", out))
 
 
-@_query(f"SELECT sid, greatest(round_even(begin_time * 24000, 0)::BIGINT, 0) AS start, round_even(end_time * 24000, 0)::BIGINT AS stop FROM {_SEGMENTS}")
+@_query(f"SELECT sid, greatest(round_even(begin_time * 24000, 0)::BIGINT, 0) AS start, round_even(end_time * 24000, 0)::BIGINT AS stop FROM {_SEGMENTS} WHERE list_contains(tags, 'XL')")
 def segment_frames(spark: SparkSession, root: str) -> DataFrame:
     rows = build.unnest_segments(_segments(spark, root), "XL")
     return rows.select("sid", build.segment_frames(F.col("begin_time"), F.col("end_time"), F.lit(24000)).alias("f")).select("sid", "f.start", "f.stop")
@@ -317,9 +317,9 @@ def speech_encode_ids(spark: SparkSession, root: str) -> DataFrame:
 @_query(f"SELECT vec_id, array_to_string(flatten({_CODES}), ',') AS codes, true AS same FROM embeddings")
 def speech_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     codes = speech.quantised(F.col("embedding"), SPACE, 16)
-    rows = table(spark, root, "embeddings").select("vec_id", codes.alias("codes"))
-    back = speech.speech_codes(speech.speech_ids(F.col("codes"), SPACE), SPACE)
-    return rows.select("vec_id", _joined(F.flatten("codes")).alias("codes"), (back == F.col("codes")).alias("same"))
+    rows = table(spark, root, "embeddings").select("vec_id", codes.alias("c"))
+    back = speech.speech_codes(speech.speech_ids(F.col("c"), SPACE), SPACE)
+    return rows.select("vec_id", _joined(F.flatten("c")).alias("codes"), (back == F.col("c")).alias("same"))
 
 
 _UNIQUE_PACKED = "(SELECT DISTINCT sample_id, input_ids FROM packed_sample)"
@@ -604,10 +604,10 @@ def eval_report(spark: SparkSession, root: str) -> DataFrame:
 
 @_query(
     f"""SELECT CASE WHEN grouping(dataset) = 1 THEN 'ALL_DATASETS' ELSE dataset END AS dataset, count(*) AS num_samples, count(*) FILTER (NOT speech) AS num_text_target_samples, count(*) FILTER (speech) AS num_speech_target_samples,
-        array_to_string(list_sort(list(DISTINCT task)), ',') AS tasks, round(avg(v) FILTER (NOT speech AND m = 'wer'), 9) AS wer_mean, nullif(count(v) FILTER (NOT speech AND m = 'wer'), 0) AS wer_num_samples,
+        array_to_string(list_sort(list(DISTINCT task)), ',') AS tasks, round(avg(v) FILTER (NOT speech AND m = 'wer'), 9) AS wer_mean, nullif(count(v) FILTER (NOT speech AND m = 'wer'), 0)::DOUBLE AS wer_num_samples,
         round(avg(v) FILTER (NOT speech AND m = 'bleu'), 9) AS bleu_mean, round(avg(v) FILTER (NOT speech AND m = 'exact_match'), 9) AS exact_match_mean,
-        CASE WHEN count(*) FILTER (NOT speech) > 0 THEN count(*) FILTER (NOT speech AND length({_squeeze('target_text')}) > 0) END AS nonempty_pred_text_count,
-        CASE WHEN count(*) FILTER (speech) > 0 THEN count(*) FILTER (speech AND client_id IS NOT NULL) END AS speech_pred_present_count
+        CASE WHEN count(*) FILTER (NOT speech) > 0 THEN count(*) FILTER (NOT speech AND length({_squeeze('target_text')}) > 0) END::DOUBLE AS nonempty_pred_text_count,
+        CASE WHEN count(*) FILTER (speech) > 0 THEN count(*) FILTER (speech AND client_id IS NOT NULL) END::DOUBLE AS speech_pred_present_count
         FROM (SELECT *, task = 'tts' AS speech, length(coalesce(target_text, '')) / 100.0::DOUBLE AS v, CASE WHEN task = 'asr' THEN 'wer' WHEN task = 'speech_to_text_translation' THEN 'bleu' ELSE 'exact_match' END AS m FROM raw_sample)
         GROUP BY GROUPING SETS ((dataset), ())"""
 )
@@ -621,9 +621,10 @@ def eval_summary(spark: SparkSession, root: str) -> DataFrame:
     )
     s = evaluate.summary(m)
     r9 = lambda c: F.round(c, 9).alias(c)
+    real = lambda c: F.col(c).cast("double").alias(c)
     return s.select(
-        "dataset", "num_samples", "num_text_target_samples", "num_speech_target_samples", F.array_join("tasks", ",").alias("tasks"), r9("wer_mean"), "wer_num_samples", r9("bleu_mean"), r9("exact_match_mean"),
-        "nonempty_pred_text_count", "speech_pred_present_count",
+        "dataset", "num_samples", "num_text_target_samples", "num_speech_target_samples", F.array_join("tasks", ",").alias("tasks"), r9("wer_mean"), real("wer_num_samples"), r9("bleu_mean"), r9("exact_match_mean"),
+        real("nonempty_pred_text_count"), real("speech_pred_present_count"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.runtime import checkpointed
+
 
 def sample_id(prefix: str, split: Column, ordinal: Column, suffix: str = "") -> Column:
     """prefix-split-000000042 and the like."""
@@ -39,9 +41,10 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") ->
 
     Rows are range-partitioned and sorted by `order`, partition sizes are counted and their running sums added,
     so no single task sees all rows (an unpartitioned window would). `order` must be unique for a fixed result.
+    The sorted rows are checkpointed: range borders are sampled, and sizes and rows must have the same ones.
     """
     out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    out = out.withColumn("__r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    out = checkpointed(out.withColumn("__r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = out.groupBy("__p").agg(F.count("*").alias("__n"))
     # one row for each partition of the shuffle
     starts = sizes.select("__p", (F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__p")) - F.col("__n")).alias("__s"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,63 +32,72 @@ def exact_match(prediction: Column, reference: Column) -> Column:
     return F.when(F.length(r) > 0, (p == r).cast("double"))
 
 
-def _coded(words: Column, vocabulary: Column) -> Column:
-    """Each word as one character by its place in the vocabulary, so that edit distance counts words."""
-    # 0x10000 and up: no surrogates, room for a million different words in a pair
-    char = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + 0x10000), 8, "0")), "UTF-32")
-    return F.array_join(F.transform(words, char), "")
+def _word_edits(a: list[str], b: list[str]) -> int:
+    """The least number of words to insert, delete or replace."""
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
 def word_error_rate(prediction: Column, reference: Column) -> Column:
-    """Word edits by reference words; null for a blank reference. Blank predictions count every word as missing."""
-    p, r = squeeze(prediction), squeeze(reference)
-    wp = F.filter(F.split(p, " "), lambda x: x != "")
-    wr = F.split(r, " ")
-    v = F.array_distinct(F.concat(wr, wp))
-    # long distances come from few rows; levenshtein works in the JVM, without a threshold
-    return F.when(F.length(r) > 0, F.levenshtein(_coded(wr, v), _coded(wp, v)) / F.size(wr))
-
-
-def _tokens_13a(c: Column) -> Column:
-    """The usual tokens of machine translation scores: marks split off, but for points and commas inside numbers."""
-    t = F.regexp_replace(c, "<skipped>", "")
-    t = F.replace(F.replace(F.replace(F.replace(t, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
-    t = F.concat(F.lit(" "), t, F.lit(" "))
-    t = F.regexp_replace(t, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
-    t = F.regexp_replace(t, r"([^0-9])([\.,])", "$1 $2 ")
-    t = F.regexp_replace(t, r"([\.,])([^0-9])", " $1 $2")
-    t = F.regexp_replace(t, r"([0-9])(-)", "$1 $2 ")
-    return F.filter(F.split(t, r"\s+"), lambda x: x != "")
+    """Word edits by reference words; null for a blank reference. Blank predictions count every word as missing.
 
-
-def sentence_bleu(prediction: Column, reference: Column, order: int = 4) -> Column:
-    """BLEU (0 to 100) of one sentence as a corpus of one, with exponential smoothing; null for a blank reference.
-
-    n-gram matches are clipped by counting: the k-th occurrence of an n-gram matches the k-th in the reference.
+    In Arrow batches: built-in edit distance counts characters, and coding words as characters inside array
+    functions computes the code table anew for every word.
     """
-    p, r = _tokens_13a(squeeze(prediction)), _tokens_13a(squeeze(reference))
-
-    def numbered(words: Column, n: int) -> Column:
-        size = F.size(words) - (n - 1)
-        grams = F.when(size > 0, F.transform(F.slice(words, 1, F.greatest(size, F.lit(0))), lambda _, i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(
-            F.array().cast("array<string>")
-        )
-        return F.transform(grams, lambda g, i: F.concat(g, F.lit("\u0001"), F.size(F.filter(F.slice(grams, 1, i + 1), lambda h: h == g)).cast("string")))
 
-    hits, totals = [], []
+    @F.pandas_udf("double")
+    def rate(p: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([None if not y else 0.0 if x == y else _word_edits(x.split(" ") if x else [], y.split(" ")) / len(y.split(" ")) for x, y in zip(p, r, strict=True)], dtype="float64")
+
+    return rate(squeeze(prediction), squeeze(reference))
+
+
+# How the usual tokens of machine translation scores are made, in order.
+_TOKENS_13A = [
+    (re.compile(r"<skipped>"), ""),
+    (re.compile(r"&quot;"), '"'),
+    (re.compile(r"&amp;"), "&"),
+    (re.compile(r"&lt;"), "<"),
+    (re.compile(r"&gt;"), ">"),
+    (re.compile(r"^|$"), " "),
+    (re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "),
+    (re.compile(r"([^0-9])([\.,])"), r"\1 \2 "),
+    (re.compile(r"([\.,])([^0-9])"), r" \1 \2"),
+    (re.compile(r"([0-9])(-)"), r"\1 \2 "),
+]
+
+
+def bleu(prediction: str, reference: str, order: int = 4) -> float:
+    """BLEU (0 to 100) of one sentence as a corpus of one: clipped n-gram matches, exponential smoothing, brevity."""
+    p, r = prediction, reference
+    for pattern, to in _TOKENS_13A:
+        p, r = pattern.sub(to, p), pattern.sub(to, r)
+    a, b = p.split(), r.split()
+    log, some, smooth = 0.0, False, 1.0
     for n in range(1, order + 1):
-        a, b = numbered(p, n), numbered(r, n)
-        hits.append(F.size(F.array_intersect(a, b)))
-        totals.append(F.size(a))
-    log, misses = F.lit(0.0), F.lit(0)
-    dead = F.size(p) == 0
-    for h, t in zip(hits, totals, strict=True):
-        miss = (h == 0) & (t > 0)
-        misses = misses + miss.cast("int")
-        value = F.when(miss, 1.0 / (F.pow(F.lit(2.0), misses) * t)).when(t > 0, h / t)
-        # an order without n-grams ends the product: what is left out counts for nothing
-        log = log + F.when(t > 0, F.ln(value)).otherwise(0.0)
-        dead = dead | (t == 0)
-    brevity = F.when(F.size(p) >= F.size(r), 0.0).otherwise(1.0 - F.size(r) / F.greatest(F.size(p), F.lit(1)))
-    score = F.when(dead | (sum(hits[1:], hits[0]) == 0), 0.0).otherwise(100.0 * F.exp(brevity + log / order))
-    return F.when(F.length(squeeze(reference)) > 0, score)
+        ga, gb = (Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) for w in (a, b))
+        total, hit = sum(ga.values()), sum((ga & gb).values())
+        if not total:
+            return 0.0
+        if not hit:
+            smooth *= 2
+        some = some or hit > 0
+        log += math.log(hit / total if hit else 1 / (smooth * total))
+    short = 1.0 if len(a) >= len(b) else math.exp(1 - len(b) / len(a))
+    return 100.0 * short * math.exp(log / order) if some else 0.0
+
+
+def sentence_bleu(prediction: Column, reference: Column) -> Column:
+    """BLEU of each row; null for a blank reference."""
+
+    @F.pandas_udf("double")
+    def score(p: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([bleu(x, y) if y else None for x, y in zip(p, r, strict=True)], dtype="float64")
+
+    return score(squeeze(prediction), squeeze(reference))

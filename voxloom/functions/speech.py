@@ -91,7 +91,11 @@ def aligned(ids: Column, space: IdSpace) -> Column:
 def speech_codes(ids: Column, space: IdSpace) -> Column:
     """Ids back to codes (codebooks x frames); raises an error unless they are whole frames in order."""
     k, c = space.num_codebooks, space.codebook_size
-    codes = F.array(*(F.transform(F.filter(ids, lambda _, i, j=j: i % k == j), lambda x: ((x - space.offset) % c).cast("int")) for j in range(k)))
+
+    def book(j: int) -> Column:
+        return F.transform(F.filter(ids, lambda _, i: i % k == j), lambda x: ((x - space.offset) % c).cast("int"))
+
+    codes = F.array(*(book(j) for j in range(k)))
     bad = F.raise_error(F.lit("ids are not whole speech frames in codebook order")).cast("array<array<int>>")
     return F.when(aligned(ids, space), codes).when(ids.isNull(), F.lit(None)).otherwise(bad)
 
@@ -104,17 +108,20 @@ def only(ids: Column, space: IdSpace, speech: bool) -> Column:
 def modality_runs(ids: Column, space: IdSpace) -> Column:
     """Maximal runs of one modality: array of (type, start, stop, ids), empty for no ids.
 
-    One pass of array functions: the places where the modality changes, then a slice for each; no row leaves its task.
+    The kinds become a string of letters, its runs are found by one expression and numbered by one fold, so the
+    work is linear in the length (a lambda that looks into an outer array would compute that array again for
+    every element). No row leaves its task.
     """
-    kind = F.transform(ids, lambda x: is_speech(x, space))
-    at = F.filter(F.transform(ids, lambda x, i: F.when((i == 0) | (kind[i] != kind[F.greatest(i - 1, F.lit(0))]), i)), lambda i: i.isNotNull())
-    stop = F.transform(at, lambda _, n: F.coalesce(F.get(at, n + 1), F.size(ids)))
-    return F.transform(
-        F.arrays_zip(at.alias("a"), stop.alias("b")),
-        lambda r: F.struct(
-            F.when(kind[r["a"]], "speech").otherwise("text").alias("type"), r["a"].alias("start"), r["b"].alias("stop"), F.slice(ids, r["a"] + 1, r["b"] - r["a"]).alias("ids")
-        ),
-    )
+    kinds = F.array_join(F.transform(ids, lambda x: F.when(is_speech(x, space), "s").otherwise("t")), "")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<type:string,start:int,stop:int>>").alias("out"))
+
+    def add(acc: Column, run: Column) -> Column:
+        stop = acc["at"] + F.length(run)
+        kind = F.when(run.startswith("s"), "speech").otherwise("text")
+        return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(kind.alias("type"), acc["at"].alias("start"), stop.alias("stop"))).alias("out"))
+
+    runs = F.aggregate(F.regexp_extract_all(kinds, F.lit("s+|t+"), F.lit(0)), none, add, lambda acc: acc["out"])
+    return F.transform(runs, lambda r: F.struct(r["type"].alias("type"), r["start"].alias("start"), r["stop"].alias("stop"), F.slice(ids, r["start"] + 1, r["stop"] - r["start"]).alias("ids")))
 
 
 def speech_run_state(df: DataFrame, key: str, ids: str, space: IdSpace) -> DataFrame:

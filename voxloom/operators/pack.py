@@ -32,10 +32,8 @@ def hashed_words(c: Column, size: int) -> Column:
 
 def utf8_bytes(c: Column) -> Column:
     """A stand-in tokenizer without loss: the bytes of a text."""
-    hex_ = F.hex(F.encode(c, "UTF-8"))
-    n = (F.length(hex_) / 2).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast(_EMPTY))
-    return F.transform(at, lambda i: F.conv(F.substring(hex_, i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
+    return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def utf8_text(ids: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,8 +12,11 @@ from voxloom.operators.build import transcript_disposition
 
 
 def transcripts(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """New Parquet files of a folder as a stream; a single local file is read as the one of its name in its folder."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if os.path.isfile(path):
+        return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
+    return reader.parquet(path)
 
 
 def with_outcomes(rows: DataFrame, text: str, seconds: str, key: str) -> DataFrame:
