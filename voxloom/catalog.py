@@ -639,14 +639,14 @@ def val_loss_summary(spark: SparkSession, root: str) -> DataFrame:
 
 
 @_query(
-    """SELECT event_id AS step, event_type AS run, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS 49 PRECEDING), 6) AS rolling_sec,
+    """SELECT event_id AS step, event_type AS run, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS 49 PRECEDING), 9) AS rolling_sec,
        round(sum(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS elapsed_sec,
-       round(greatest(2000000 - event_id - 1, 0) * avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS 49 PRECEDING), 3) AS eta_sec FROM events"""
+       round(greatest(20000 - event_id - 1, 0) * avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS 49 PRECEDING), 7) AS eta_sec FROM events"""
 )
 def train_log_windows(spark: SparkSession, root: str) -> DataFrame:
     log = table(spark, root, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("run"), F.col("value").alias("step_sec"))
-    out = trainlog.timed(log, 2_000_000, "run")
-    return out.select("step", "run", F.round("rolling_sec", 6).alias("rolling_sec"), F.round("elapsed_sec", 6).alias("elapsed_sec"), F.round("eta_sec", 3).alias("eta_sec"))
+    out = trainlog.timed(log, 20_000, "run")
+    return out.select("step", "run", F.round("rolling_sec", 9).alias("rolling_sec"), F.round("elapsed_sec", 6).alias("elapsed_sec"), F.round("eta_sec", 7).alias("eta_sec"))
 
 
 @_query(
