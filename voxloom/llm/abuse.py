@@ -29,8 +29,12 @@ WINDOW, STEP = 12, 4
 MAX_LABELLED = 60_000
 FOLDS = 4
 
-#: A passage of unknown words alone scores just below this.
-THRESHOLD = 0.45
+#: The log-odds of a passage of which nothing is known; it is not learnt, so that few marks cannot raise it.
+BIAS = -3.0
+
+#: Below this score by models that did not see it, a marked document counts as a reviewer's slip.
+KEEP = 0.06
+THRESHOLD = 0.3
 
 # Short lists of words by class. They only give the model a shared name for words of a kind; what a
 # class means in its surroundings is learnt.
@@ -149,29 +153,26 @@ class Ftrl:
     l2: float = 0.5
 
     def __post_init__(self) -> None:
-        self.z = np.zeros((1 << BITS) + 1)
-        self.n = np.zeros((1 << BITS) + 1)
+        self.z = np.zeros(1 << BITS)
+        self.n = np.zeros(1 << BITS)
 
     def weights(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[i], self.n[i]
         return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
     def batch(self, feature: np.ndarray, passage: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        """One step; passages are numbered from 0. The last coordinate is the bias."""
-        i, back = np.unique(np.append(feature, 1 << BITS), return_inverse=True)
+        """One step; passages are numbered from 0."""
+        i, back = np.unique(feature, return_inverse=True)
         w = self.weights(i)
-        bias = w[back[-1]]
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(passage, w[back[:-1]], len(y)) + bias, -30, 30)))
-        d = (p - y) * weight
-        g = np.bincount(back[:-1], d[passage], len(i))
-        g[back[-1]] += d.sum()
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(passage, w[back], len(y)) + BIAS, -30, 30)))
+        g = np.bincount(back, ((p - y) * weight)[passage], len(i))
         s = (np.sqrt(self.n[i] + g * g) - np.sqrt(self.n[i])) / self.alpha
         self.z[i] += g - s * w
         self.n[i] += g * g
 
 
 def _scores(w: np.ndarray, feature: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(np.bincount(passage, w[feature], n) + w[-1], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(np.bincount(passage, w[feature], n) + BIAS, -30, 30)))
 
 
 class Marked:
@@ -209,14 +210,14 @@ class Marked:
         """What each passage should score, and its weight, given the scores of a round before (or none)."""
         bad = self.mark[self.doc] > 0
         if p is None:
-            share = np.maximum(1, np.bincount(self.doc, minlength=len(self.mark)))[self.doc] ** 0.5
+            share = np.maximum(1, np.bincount(self.doc, minlength=len(self.mark)))[self.doc] ** 0.75
             return bad.astype(float), np.where(bad, lift / share, 1.0)
         worst = np.zeros(len(self.mark))
         np.maximum.at(worst, self.doc, p)
         worst = worst[self.doc]
         top = p >= 0.6 * worst
         # marks that the scores contradict and the undecided passages of marked documents are set aside
-        lent = np.where(top, np.where(worst > 0.25, lift, 0.0), np.where(p < 0.2, 1.0, 0.0))
+        lent = np.where(top, np.where(worst > KEEP, lift, 0.0), np.where(p < 0.2, 1.0, 0.0))
         return (bad & top).astype(float), np.where(bad, lent, np.where(worst > 0.8, 0.0, 1.0))
 
     def learn(self, y: np.ndarray, weight: np.ndarray, epochs: int, size: int = 512, seed: int = 5) -> np.ndarray:
@@ -230,13 +231,10 @@ class Marked:
 
 
 def fit(m: Marked, out: np.ndarray | None = None, prior: np.ndarray | None = None, epochs: int = 3, lift: float = 6.0) -> np.ndarray:
-    """The weights (one for each hash and the bias) learnt from marked documents; without both marks, weights that
-    find nothing. `out` marks documents left out; `prior` are passage scores by models that did not see them."""
+    """The weights (one for each hash) learnt from marked documents; without both marks, zeros, which find nothing. `out` marks documents left out; `prior` are passage scores by models that did not see them."""
     seen = np.ones(len(m.mark), bool) if out is None else ~out
     if not len(m.doc) or not 0 < m.mark[seen].sum() < seen.sum():
-        w = np.zeros((1 << BITS) + 1)
-        w[-1] = -8.0
-        return w
+        return np.zeros(1 << BITS)
     for p in ((None, "own") if prior is None else (prior,)):
         y, weight = m.targets(m.scores(w) if isinstance(p, str) else p, lift)  # noqa: F821
         w = m.learn(y, weight * seen[m.doc], epochs)
@@ -303,8 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     both = rows.join(apart, "doc_id", "left").select("doc_id", "text", "toxic", "p")
     out = both.repartition(1).mapInArrow(final, "i long, w double").toPandas()
-    w = np.zeros((1 << BITS) + 1)
-    w[-1] = -8.0
+    w = np.zeros(1 << BITS)
     w[out["i"].to_numpy(np.int64)] = out["w"].to_numpy()
     return w
 
@@ -315,7 +312,7 @@ def scored(docs: DataFrame, w: np.ndarray, keep: tuple[str, ...] = ("doc_id", "s
     shared = docs.sparkSession.sparkContext.broadcast((at, w[at].astype(np.float32)))
 
     def run(batches):
-        full = np.zeros((1 << BITS) + 1)
+        full = np.zeros(1 << BITS)
         full[shared.value[0]] = shared.value[1]
         hasher = Hasher()
         for b in batches:
