@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.runtime import checkpointed
+
 #: In the order in which they count.
 DEFECTS = ("empty", "refusal", "copied_question", "wrong_language", "truncated")
 
@@ -168,14 +170,15 @@ def judge(question: str | None, answer: str | None, context: str | None = None)
         out.append("copied_question")
     if not quoted and foreign and not out and not _ASKS_LANGUAGE.search(asked) and not (asks_copy and " ".join(a) in " ".join(q)):
         out.append("wrong_language")
-    cut, look = _broken(text, asked, a, span, last)
+    cut, look = _broken(text, asked, a, span, last, bool(context))
     if cut:
         out.append("truncated")
     return sorted(out, key=DEFECTS.index), [] if out else look
 
 
-def _broken(text: str, asked: str, a: list[str], span: str | None, last: str | None) -> tuple[bool, list[str]]:
-    """Whether a reply stops before its end, or what the corpus must be asked to tell."""
+def _broken(text: str, asked: str, a: list[str], span: str | None, last: str | None, on_passage: bool) -> tuple[bool, list[str]]:
+    """Whether a reply stops before its end, or what the corpus must be asked to tell. Answers on a passage are mostly
+    bare spans, so they need no mark at the end."""
     if text.count("```") % 2 or _BARE_ITEM.search(text):
         return True, []
     prose = _FENCE.sub(" ", text).rstrip()
@@ -207,6 +210,8 @@ def _broken(text: str, asked: str, a: list[str], span: str | None, last: str | N
     asked_words = " ".join(_words(asked))
     if _ASKS_COPY.search(asked) and asked_words.endswith(" ".join(a)) and not re.search(r"[.!?]$", asked):
         return False, []
+    if on_passage:
+        return False, []
     if len(a) <= 3:
         return not (_ASKS_SHORT.search(asked) or title), []
     lines = [x for x in prose.split("\n") if x.strip()]
@@ -306,7 +311,8 @@ def defects(pairs: DataFrame, ends: DataFrame) -> DataFrame:
 
     judged = pairs.select("dataset", "id", "turn", "question", "answer", "context")
     judged = judged.mapInArrow(run, "dataset string, id string, turn int, defects array<string>, look array<string>")
-    judged = judged.filter((F.size("defects") > 0) | (F.size("look") > 0))
+    # few and thin rows, read twice below
+    judged = checkpointed(judged.filter((F.size("defects") > 0) | (F.size("look") > 0)))
     open_ = judged.filter(F.size("look") > 0).select("dataset", "id", "turn", F.array_contains("look", "cased").alias("cased"), F.explode("look").alias("item"))
     open_ = open_.filter(F.col("item") != "cased").join(ends, "item", "left").fillna(0, ["n", "closed"])
     one = ~F.col("item").contains(" ")
