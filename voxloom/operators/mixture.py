@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.functions.ids import hash_fraction
+from voxloom.functions.ids import hash_fraction, with_ordinal
 
 
 def draws(spark: SparkSession, n: int, weights: dict[str, float], seed: int = 0, start: int = 0) -> DataFrame:
@@ -32,12 +32,20 @@ def mixed(draw: DataFrame, rows: DataFrame, key: str, seed: int = 0) -> DataFram
     Rows run out and start again, so small data sets repeat. Draws and rows are numbered within their data set and
     met on (data set, place): salted by place, one data set never falls to a single task of the join.
     """
-    sizes = rows.groupBy("dataset").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("dataset").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
-    numbered = rows.select("dataset", key, (F.row_number().over(order) - 1).alias("place"))
-    nth = draw.select("dataset", "draw", (F.row_number().over(Window.partitionBy("dataset").orderBy("draw")) - 1).alias("nth"))
-    nth = nth.join(F.broadcast(sizes), "dataset").select("dataset", "draw", (F.col("nth") % F.col("size")).alias("place"), F.floor(F.col("nth") / F.col("size")).alias("epoch"))
-    return nth.join(numbered, ["dataset", "place"]).select("draw", "dataset", "epoch", key)
+    own = _places(rows.select("dataset", key, F.xxhash64(F.lit(seed), F.col(key)).alias("__h")), "__h", key)
+    nth = _places(draw.select("dataset", "draw"), "draw")
+    sizes = own.groupBy("dataset").agg(F.count("*").alias("size"))
+    nth = nth.join(F.broadcast(sizes), "dataset").select("dataset", "draw", (F.col("place") % F.col("size")).alias("place"), F.floor(F.col("place") / F.col("size")).alias("epoch"))
+    return nth.join(own.select("dataset", "place", key), ["dataset", "place"]).select("draw", "dataset", "epoch", key)
+
+
+def _places(df: DataFrame, *order: str) -> DataFrame:
+    """`df` with the place of each row in its data set: the ordinal over all less the first of the data set, so that
+    a data set of any size is numbered by many tasks."""
+    out = with_ordinal(df, "dataset", *order)
+    # data sets are a short list of a configuration
+    first = out.groupBy("dataset").agg(F.min("ordinal").alias("__f"))
+    return out.join(F.broadcast(first), "dataset").withColumn("place", F.col("ordinal") - F.col("__f")).drop("ordinal", "__f")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
