@@ -31,7 +31,7 @@ ASSISTANT = ("assistant", "gpt", "bot")
 # Words that tell a language and are rare in the others.
 _TELLING = {
     "en": "i my me a no not must can cannot that the of and is are was were you your it its that this with for from which what where who how why when if then not they have has would could should there these those be been by at about does did do",
-    "de": "der die das den dem des ein eine einen einem einer eines und oder nicht ist sind sie ich wir ihr im am zum zur vom beim mit auf für von zu bei nach aus wenn weil dass wie kann können sollten soll damit auch noch einmal nebenan hinter neben unter über zwischen vor jenseits entlang dazu diese dieser dieses möchte wurde warum wo wer",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder nicht ist sind sie ich wir ihr im am zum zur vom beim mit auf für von zu bei nach aus wenn weil dass wie kann können sollten soll damit auch noch einmal nebenan hinter neben unter über zwischen vor jenseits entlang außerhalb innerhalb oberhalb unterhalb dazu diese dieser dieses möchte wurde warum wo wer",
     "fr": "l c qu le les une est et du des dans sur avec pour pas que qui vous nous je il elle cela était au aux cette ce ces faut sont fut à où derrière devant chez",
     "es": "el los las una y es con por para que del al fue lo se hay usted como más detrás delante unos unas sobre está cerca orillas según antes después muy",
     "it": "il lo gli di che è uno per con non sono della nel alla questo",
@@ -55,7 +55,9 @@ _REFUSALS = [
     re.compile(p, re.I)
     for p in (
         rf"\b(?:i|we)\b ?(?:(?:really|simply|just|therefore|also|regret that i|am sorry,? but i|am afraid i|'m afraid i) )?{_CANT}(?!\s+(?:\w+\s+){{0,4}}?enough\b)(?!\s+(?:wait|help but|complain|believe how|agree more|thank)\b)",
-        r"\b(?:it )?is(?: not|n'?t) possible for me\b|\bimpossible for me to\b",
+        r"\b(?:it )?(?:is|would|was)(?: not|n'?t)(?: be)? (?:possible|appropriate|right|proper|suitable|advisable) for me\b|\b(?:impossible|inappropriate) for me to\b",
+        r"\b(?:i|we) (?:do not|don'?t|must not|may not|shouldn'?t|should not|could not|couldn'?t) (?:answer|discuss|comment|provide (?:that|this|such)|share (?:that|this|such)|give (?:advice|out)|engage|respond|take part|do (?:that|this) for you)\b",
+        r"\bnot (?:something|a (?:topic|question|subject|request)) (?:that )?i(?:'m| am| can| could|'d)\b|\bnot at liberty\b|\bbeyond what i(?: can|'m| am)\b|\bi(?:'ll| will| would|'d)? (?:prefer|choose|rather)(?: to)? not\b|\bi(?:'d| would) prefer to pass\b",
         r"^\W*(?:sorry\W+)?(?:cannot|can'?t|unable to|won'?t|not able to) (?:answer|help|assist|say|comply|discuss|comment|do (?:that|this))",
         r"^\W*no comment\b",
         r"\bdoes(?: not|n'?t) (?:let|allow|permit) me\b",
