@@ -156,4 +156,18 @@ QUERIES = {
     "p7_rates": p7_rates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p3_found": """
+WITH real AS (SELECT DISTINCT sample_id, CASE WHEN attention_mask IS NULL THEN input_ids ELSE [input_ids[i] for i in range(1, len(input_ids) + 1) if attention_mask[i] = 1] END AS ids FROM packed_sample),
+big AS (SELECT sample_id, ids, max_size FROM real, size_limit WHERE item_table = 'packed_sample' AND len(ids) > max_size),
+each AS (SELECT sample_id, max_size, unnest(ids) AS x, generate_subscripts(ids, 1) AS i, len(ids) AS n FROM big),
+two AS (SELECT *, lead(x) OVER (PARTITION BY sample_id ORDER BY i) AS y FROM each),
+kinds AS (SELECT two.*, x >= speech_offset AND x < full_vocab_size AS sx, y >= speech_offset AND y < full_vocab_size AS sy, y - speech_offset < speech_codebook_size AS first FROM two, tokenizer_config WHERE y IS NOT NULL),
+cuts AS (SELECT sample_id, max_size, i AS c FROM kinds WHERE x IN (SELECT token_id FROM boundary_token) OR sx <> sy OR (sx AND sy AND first)
+    UNION ALL SELECT DISTINCT sample_id, max_size, 0 FROM each UNION ALL SELECT DISTINCT sample_id, max_size, n FROM each),
+gaps AS (SELECT sample_id, lead(c) OVER (PARTITION BY sample_id ORDER BY c) - c > max_size AS wide FROM cuts),
+files AS (SELECT id, unnest(audio_files) AS f FROM (SELECT DISTINCT id, audio_files FROM spoken_squad_sample)),
+frames AS (SELECT id, sum(num_frames) AS size, max(num_frames) AS longest FROM files JOIN wav_index ON stem || '.wav' = f GROUP BY 1)
+SELECT 'packed_sample' AS item_table, sample_id AS item_id, CASE WHEN bool_or(wide) THEN 'forced' ELSE 'natural' END AS cut FROM gaps GROUP BY sample_id
+UNION ALL SELECT 'spoken_squad_sample', id, CASE WHEN longest > max_size THEN 'forced' ELSE 'natural' END FROM frames, size_limit WHERE item_table = 'spoken_squad_sample' AND size > max_size""",
+}
