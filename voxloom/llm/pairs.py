@@ -39,6 +39,7 @@ _TELLING = {
     "pt": "os um uma é do da em não que para com na ao foi você",
 }
 _TELL = {lang: frozenset(w.split()) for lang, w in _TELLING.items()}
+_TELLS = {w: [lang for lang in _TELL if w in _TELL[lang]] for w in frozenset().union(*_TELL.values())}
 
 # Words after which a phrase goes on.
 _OPEN = frozenset(
@@ -94,14 +95,19 @@ def _words(text: str) -> list[str]:
 
 def language(words: list[str]) -> tuple[str | None, int]:
     """The language most telling words speak for and how many they are; None without a clear one."""
-    parts = [p for w in words for p in (w.split("'") if "'" in w else (w,))]
-    n = Counter({lang: sum(w in tell for w in parts) for lang, tell in _TELL.items()})
-    (best, most), (_, second) = n.most_common(2)
-    return (best, most) if most and most > second else (None, 0)
+    n: Counter = Counter()
+    for w in words:
+        for part in w.split("'") if "'" in w else (w,):
+            if part in _TELLS:
+                n.update(_TELLS[part])
+    top = n.most_common(2)
+    return top[0] if len(top) == 1 or len(top) == 2 and top[0][1] > top[1][1] else (None, 0)
 
 
 def _script(text: str) -> str | None:
     """'latin' or 'other', what most letters are; None without letters."""
+    if text.isascii():
+        return "latin" if re.search("[A-Za-z]", text) else None
     letters = [c for c in text if c.isalpha()]
     if not letters:
         return None
