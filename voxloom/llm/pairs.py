@@ -273,6 +273,13 @@ def phrase_ends(texts: DataFrame, column: str, mark: str) -> DataFrame:
     return texts.select(column).mapInArrow(run, "item string, n long, closed long").groupBy("item").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Each id once. The number of partitions is set, for adaptive execution would merge them by their few bytes and
+    leave the rules, which cost much more than bytes, to a few tasks."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "id").dropDuplicates(["id"])
+
+
 def chat_pairs(chats: DataFrame, dataset: str = "ultrachat_200k") -> DataFrame:
     """dataset, id, turn, question, answer, context (null) for each user message of each chat, each id once.
 
@@ -281,7 +288,7 @@ def chat_pairs(chats: DataFrame, dataset: str = "ultrachat_200k") -> DataFrame:
     """
     role = lambda m: F.lower(F.trim(F.regexp_replace(m["role"], r"(?U)^\s+|\s+$", "")))
     kinds = F.transform("messages", lambda m: F.when(role(m).isin(*USER), "u").when(role(m).isin(*ASSISTANT), "a").otherwise("-"))
-    rows = chats.select("id", "messages", F.array_join(kinds, "").alias("kinds")).dropDuplicates(["id"])
+    rows = _once(chats.select("id", "messages", F.array_join(kinds, "").alias("kinds")))
     turn = rows.select("id", "messages", "kinds", F.posexplode("messages").alias("turn", "message"))
     turn = turn.filter(F.expr("substring(kinds, turn + 1, 1) = 'u'"))
     # the roles up to the next user message, and the place of the first reply in them
@@ -295,7 +302,7 @@ def chat_pairs(chats: DataFrame, dataset: str = "ultrachat_200k") -> DataFrame:
 
 def question_pairs(rows: DataFrame, dataset: str = "spoken_squad") -> DataFrame:
     """dataset, id, turn 0, question, answer, context of each question on a passage, each id once."""
-    one = rows.select("id", "question", "answer_text", "context_text").dropDuplicates(["id"])
+    one = _once(rows.select("id", "question", "answer_text", "context_text"))
     return one.select(F.lit(dataset).alias("dataset"), "id", F.lit(0).alias("turn"), "question", F.col("answer_text").alias("answer"), F.col("context_text").alias("context"))
 
 
