@@ -21,7 +21,9 @@ def measured(predictions: DataFrame) -> DataFrame:
     text = ~F.col("target_has_speech")
     p, r = F.col("pred_text"), F.col("target_text")
     name = route(F.col("task"), F.col("dataset"))
-    value = F.when(name == "wer", word_error_rate(p, r)).when(name == "bleu", sentence_bleu(p, r)).otherwise(exact_match(p, r))
+    # a Python function sees every row whatever branch it stands in: rows of other metrics reach it as null
+    only = lambda f, m: f(F.when(text & (name == m), p), F.when(text & (name == m), r))
+    value = F.when(name == "wer", only(word_error_rate, "wer")).when(name == "bleu", only(sentence_bleu, "bleu")).otherwise(exact_match(p, r))
     return predictions.withColumns(
         {"metric_name": F.when(text, name), "metric_value": F.when(text, value), "text_exact_match": F.when(text, (squeeze(p) == squeeze(r)).cast("double"))}
     )
