@@ -46,6 +46,13 @@ def test_a_hot_text_is_compared_once_and_expanded(spark):
     assert len(found(spark, rows)) == 600
 
 
+def test_texts_of_few_shingles(spark):
+    tagged = "<a> <b> mirror - barrel <c> , ."
+    rows = [(s, f"{s}{n}", x) for s in "te" for n, x in (("8", "yeah " * 8), ("13", "no " * 13), ("18", "oh " * 18), ("tags", tagged))]
+    rows += [("t", "six", "<a> One lifted Osteryarda Haskwelle the mill ."), ("e", "six2", "<a> One sold Osteryarda Haskwelle a mill .")]
+    assert found(spark, [("f", *r) for r in rows]) == {("f", f"e{n}", f"t{n}") for n in ("8", "13", "18", "tags")} | {("f", "six2", "six")}
+
+
 def test_against_brute_force(spark):
     import random
 

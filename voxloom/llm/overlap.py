@@ -30,8 +30,8 @@ from voxloom.runtime import checkpointed
 BUCKETS = 1 << 18
 SHINGLES = ((1, 17, 2, 8, 10), (14, 1 << 30, 3, 10, 12))
 
-#: Rare shingles two texts must share to be routed to one another. A word or two changed leaves more than that of
-#: eight words; one shared shingle alone is mostly chance.
+#: Rare shingles two texts must share to be routed to one another, or fewer where two changed words leave fewer of the
+#: shorter text; one shared shingle alone is mostly chance. Equal texts meet anyway.
 MEET = 2
 
 PASSAGE, STRIDE = 10, 5
@@ -51,12 +51,12 @@ def _hash(text: str, seed: int = 0) -> int:
 
 
 def _shingles(plain: str):
-    """For each description that applies: (rarest of an evaluation text, of a training text, hashes)."""
+    """For each description that applies: (rarest of an evaluation text, of a training text, shingle length, hashes)."""
     w = plain.split(" ")
     for least, most, k, few, some in SHINGLES:
         if least <= len(w) <= most:
             # a text shorter than a shingle is one
-            yield few, some, np.array(sorted({_hash(" ".join(w[i : i + k]), k) for i in range(max(1, len(w) - k + 1))}), np.uint64)
+            yield few, some, k, np.array(sorted({_hash(" ".join(w[i : i + k]), k) for i in range(max(1, len(w) - k + 1))}), np.uint64)
 
 
 def plain_texts(rows: DataFrame, min_words: int = 8) -> DataFrame:
@@ -105,19 +105,21 @@ def _keys(texts: DataFrame, sketch: np.ndarray, which: str) -> DataFrame:
     def run(batches):
         n = shared.value
         for b in batches:
-            who, key = [], []
+            who, key, meet = [], [], []
             for i, (plain, field) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 own = np.uint64(_hash(str(field)))
-                for few, some, h in _shingles(plain):
+                described = list(_shingles(plain))
+                left = min(max(1, min(MEET, len(h) - 2 * k)) for *_, k, h in described)
+                for few, some, _, h in described:
                     most = few if which == "e" else some
                     if len(h) > most:
                         # ties by hash, alike on both sides
                         h = h[np.lexsort((h, n[(h % BUCKETS).astype(np.int64)]))[:most]]
-                    who.extend([i] * len(h)), key.append(h ^ own)
+                    who.extend([i] * len(h)), key.append(h ^ own), meet.extend([left] * len(h))
             flat = np.concatenate(key).view(np.int64) if key else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(who, pa.int64())), pa.array(flat)], names=[f"a_{which}", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(who, pa.int64())), pa.array(flat), pa.array(meet, pa.int32())], names=[f"a_{which}", "key", f"meet_{which}"])
 
-    return texts.filter(F.col("side") == which).select("plain", "field", "a").mapInArrow(run, f"a_{which} long, key long")
+    return texts.filter(F.col("side") == which).select("plain", "field", "a").mapInArrow(run, f"a_{which} long, key long, meet_{which} int")
 
 
 def coverage(pairs: list[tuple[str, str]]) -> list[float]:
@@ -188,8 +190,9 @@ def cross_split_copies(
     members = plain.select("field", "side", "a", "b", "id").distinct()
     texts = plain.select("field", "side", "a", "b", "plain").distinct()
     sketch = _sketch(plain)
-    shared = _keys(texts, sketch, "e").join(_keys(texts, sketch, "t"), "key").groupBy("a_e", "a_t").agg(F.count("*").alias("n"))
-    pairs = shared.filter(F.col("n") >= MEET).drop("n")
+    shared = _keys(texts, sketch, "e").join(_keys(texts, sketch, "t"), "key").groupBy("a_e", "a_t").agg(F.count("*").alias("n"), F.least(F.min("meet_e"), F.min("meet_t")).alias("meet"))
+    same = texts.groupBy("a", "b").agg(F.count_distinct("side").alias("sides")).filter(F.col("sides") == 2)
+    pairs = shared.filter(F.col("n") >= F.col("meet")).select("a_e", "a_t").union(same.select("a", "a")).distinct()
     te, tt = (texts.filter(F.col("side") == s).select(F.col("a").alias(f"a_{s}"), F.col("b").alias(f"b_{s}"), F.col("plain").alias(s)) for s in "et")
     both = pairs.join(tt, "a_t").join(te, "a_e")
     found = _scan(both, least_coverage).filter(near(F.col("e"), F.col("t"), similarity, spare_words)).drop("e", "t")
