@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -53,6 +54,56 @@ def test_texts_of_few_shingles(spark):
     assert found(spark, [("f", *r) for r in rows]) == {("f", f"e{n}", f"t{n}") for n in ("8", "13", "18", "tags")} | {("f", "six2", "six")}
 
 
+def _slipped(rng, text, k):
+    w = text.split()
+    for i in rng.sample(range(len(w)), k):
+        at = rng.randrange(len(w[i]))
+        w[i] = w[i][:at] + rng.choice("bdfgklmnprstvz") + w[i][at + 1 :]
+    return " ".join(w)
+
+
+def _texts(rng, n, length):
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3))
+    vocabulary = [word() for _ in range(150)]
+    return [" ".join(rng.choices(vocabulary, k=length)) for _ in range(n)]
+
+
+def test_slips_in_many_words(spark):
+    rng = random.Random(7)
+    train = _texts(rng, 60, 18) + _texts(rng, 20, 200)
+    rows = [("f", "t", f"t{i}", x) for i, x in enumerate(train)]
+    rows += [("f", "e", f"e{i}", _slipped(rng, x, 6 if i < 60 else 12)) for i, x in enumerate(train)]
+    assert found(spark, rows) == {("f", f"e{i}", f"t{i}") for i in range(80)}
+
+
+def test_no_copy_is_dropped_whatever_the_cells(monkeypatch):
+    monkeypatch.setattr(overlap, "AT_ONCE", 300)
+    rng = random.Random(8)
+    train = _texts(rng, 50, 12) + ["ab " * 8, "yeah " * 9, "a b", "x ab a b y"]
+    evals = [_slipped(rng, x, k) for x in train[:50] for k in (0, 2, 4, 8)] + ["ab " * 9, "yeah " * 8, "a b", "b a b c"]
+    evals, train = ([" ".join(words(x)) for x in y] for y in (evals, train))
+    got = set(zip(*(x.tolist() for x in overlap.candidates(evals, train, 0.2, 0.82, 2)), strict=True))
+    every = [(i, j) for i in range(len(evals)) for j in range(len(train))]
+    covered = overlap.coverage([(evals[i], train[j]) for i, j in every])
+    want = set()
+    for (i, j), c in zip(every, covered, strict=True):
+        x, y, a, b = evals[i].replace(" ", ""), train[j].replace(" ", ""), evals[i].split(), train[j].split()
+        near = _edits(x, y) <= max(len(x), len(y)) * 0.18 if c >= 0.2 else False
+        few = abs(len(a) - len(b)) <= 2 and len({*a} - {*b}) <= 2 and len({*b} - {*a}) <= 2
+        if c >= 0.2 and (near or few):
+            want.add((i, j))
+    assert len(want) > 150 and want <= got
+
+
+def _edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
 def test_against_brute_force(spark):
     import random
 

@@ -1,15 +1,14 @@
 """Evaluation records whose text also occurs, exactly or nearly, in the training split.
 
-Texts are brought to a plain form and equal ones folded into one class. A class is described by its rarest word
-shingles, rarity being read from a sketch of fixed size that counts the shingles of all texts; classes of the two
-sides that share a rare shingle are routed to one another (an equi-join, so the work follows the data and not the
-product of the two sides). There Aho-Corasick automata take over: a shard of evaluation texts is cut into
-overlapping passages, one automaton over the passages scans every training text routed to the shard, and the
-matched intervals are merged into the coverage of each evaluation text by each training text. Well-covered pairs
-are compared exactly at the end.
-
-Why routed: an automaton over all evaluation passages does not fit a worker once the evaluation splits grow with
-the corpus, and letting each of many shards scan the whole training side would make the work quadratic.
+Texts are brought to a plain form and equal ones folded into one class. The classes of the two sides meet in the
+cells of a grid, each evaluation class with each training class of its field. A cell looks the stretches of its
+training texts up in the passages of its evaluation texts, counts the passages found of each pair, and drops the
+pairs that too few passages, lengths, letter pairs or words prove to be no copies. For the pairs left, an
+Aho-Corasick automaton over the passages gives the matched intervals, which are merged into the coverage of each
+evaluation text by each training text. Well-covered pairs are compared exactly at the end.
+
+Why every pair: copies may differ in any letters, so no fixed number of keys of a text, however rare, is sure to be
+left in its copy. The work of the grid grows with the product of the two sides; its constant is small.
 """
 
 from __future__ import annotations
@@ -24,15 +23,11 @@ from pyspark.sql import functions as F
 from voxloom.llm.normal import words
 from voxloom.runtime import checkpointed
 
-#: Size of the shingle sketch, and what is taken of each text: (fewest words, most words, shingle length, rarest
-#: shingles of an evaluation text, of a training text). Texts of middling length are described both ways, so that
-#: a copy with a word more or less meets its original.
-BUCKETS = 1 << 18
-SHINGLES = ((1, 17, 2, 8, 10), (14, 1 << 30, 3, 10, 12))
+#: Texts of a side in a cell of the grid. Results do not depend on them.
+EVAL_CELL, TRAIN_CELL = 1 << 14, 1 << 15
 
-#: Rare shingles two texts must share to be routed to one another, or fewer where two changed words leave fewer of the
-#: shorter text; one shared shingle alone is mostly chance. Equal texts meet anyway.
-MEET = 2
+#: Numbers of a text's letter-pair histogram, and passages shared by two texts held at once.
+PAIR_BINS, AT_ONCE = 256, 1 << 21
 
 PASSAGE, STRIDE = 10, 5
 
@@ -50,15 +45,6 @@ def _hash(text: str, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(text, seed)
 
 
-def _shingles(plain: str):
-    """For each description that applies: (rarest of an evaluation text, of a training text, shingle length, hashes)."""
-    w = plain.split(" ")
-    for least, most, k, few, some in SHINGLES:
-        if least <= len(w) <= most:
-            # a text shorter than a shingle is one
-            yield few, some, k, np.array(sorted({_hash(" ".join(w[i : i + k]), k) for i in range(max(1, len(w) - k + 1))}), np.uint64)
-
-
 def plain_texts(rows: DataFrame, min_words: int = 8) -> DataFrame:
     """field, side, id, plain, a, b of every row (field, side, id, text) with at least `min_words` words, split
     at white space as they stand; a and b are two hashes of field and plain text. Null texts are left out."""
@@ -80,46 +66,143 @@ def plain_texts(rows: DataFrame, min_words: int = 8) -> DataFrame:
     return rows.mapInArrow(run, "field string, side string, id string, plain string, a long, b long")
 
 
-def _sketch(texts: DataFrame) -> np.ndarray:
-    """How many texts hold a shingle of each bucket: BUCKETS numbers, whatever the corpus."""
-
-    def run(batches):
-        n = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            hashes = [h for plain in b.column(0).to_pylist() for *_, h in _shingles(plain)]
-            if hashes:
-                n += np.bincount((np.concatenate(hashes) % BUCKETS).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["bucket", "n"])
-
-    total = texts.select("plain").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(BUCKETS, np.int64)
-    n[total["bucket"].to_numpy(np.int64)] = total["n"].to_numpy(np.int64)
-    return n
-
-
-def _keys(texts: DataFrame, sketch: np.ndarray, which: str) -> DataFrame:
-    """a and the key (shingle and field) of each rare shingle of the texts of one side."""
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
-
-    def run(batches):
-        n = shared.value
-        for b in batches:
-            who, key, meet = [], [], []
-            for i, (plain, field) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                own = np.uint64(_hash(str(field)))
-                described = list(_shingles(plain))
-                left = min(max(1, min(MEET, len(h) - 2 * k)) for *_, k, h in described)
-                for few, some, _, h in described:
-                    most = few if which == "e" else some
-                    if len(h) > most:
-                        # ties by hash, alike on both sides
-                        h = h[np.lexsort((h, n[(h % BUCKETS).astype(np.int64)]))[:most]]
-                    who.extend([i] * len(h)), key.append(h ^ own), meet.extend([left] * len(h))
-            flat = np.concatenate(key).view(np.int64) if key else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(who, pa.int64())), pa.array(flat), pa.array(meet, pa.int32())], names=[f"a_{which}", "key", f"meet_{which}"])
-
-    return texts.filter(F.col("side") == which).select("plain", "field", "a").mapInArrow(run, f"a_{which} long, key long, meet_{which} int")
+def _spots(length: int) -> list[int]:
+    """Where the passages of an evaluation text of so many letters begin."""
+    last = max(0, length - PASSAGE)
+    return sorted({*range(0, last, STRIDE), last})
+
+
+class _Side:
+    """The texts of one side of a cell without spaces, as one array of letters, and what bounds their likeness."""
+
+    def __init__(self, plain: list[str]):
+        letters = [p.replace(" ", "") for p in plain]
+        self.size = np.array([len(x) for x in letters], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.codes = np.frombuffer("".join(letters).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        split = [p.split(" ") for p in plain]
+        self.words = np.array([len(w) for w in split], np.int64)
+        bit: dict[str, int] = {}
+        self.bits = np.zeros(len(plain), np.uint64)
+        for i, w in enumerate(split):
+            m = 0
+            for x in w:
+                if x not in bit:
+                    bit[x] = 1 << _hash(x) % 64
+                m |= bit[x]
+            self.bits[i] = m
+
+    def owners(self, lo: int, hi: int) -> np.ndarray:
+        return np.repeat(np.arange(lo, hi), self.size[lo:hi])
+
+    def hashes(self, lo: int, hi: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place and hash of every stretch of `length` letters within the texts lo to hi."""
+        codes, owner = self.codes[self.start[lo] : self.start[hi]], self.owners(lo, hi)
+        n = max(0, len(codes) - length + 1)
+        h = np.full(n, length, np.uint64)
+        for j in range(length):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
+        at = np.flatnonzero(owner[:n] == owner[length - 1 : length - 1 + n])
+        return at + self.start[lo], h[at] ^ (h[at] >> np.uint64(32))
+
+    def letter_pairs(self, lo: int, hi: int) -> np.ndarray:
+        """For each text, how often letter pairs of each bin stand in it."""
+        at, h = self.hashes(lo, hi, 2)
+        who = self.owners(lo, hi)[at - self.start[lo]] - lo
+        n = np.bincount(who * PAIR_BINS + (h % PAIR_BINS).astype(np.int64), minlength=(hi - lo) * PAIR_BINS)
+        return np.minimum(n, 32767).astype(np.int16).reshape(hi - lo, PAIR_BINS)
+
+
+def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and how often each stands there. Sorts `numbers`."""
+    numbers.sort()
+    at = np.flatnonzero(np.diff(numbers, prepend=-1))
+    return numbers[at], np.diff(at, append=len(numbers))
+
+
+def candidates(e_plain: list[str], t_plain: list[str], least: float, similarity: float, spare_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs of plain texts (evaluation, training) that can be covered to `least` (above 0) and near.
+
+    Only pairs that cannot be are left out, whatever the texts and however many. A passage covers PASSAGE letters
+    at most, so coverage asks for a number of passages found. An edit changes two letter pairs into two others at
+    most, so copies by letters differ in 4 x edits of them; copies by words differ in 2 x spare words of the words.
+    """
+    e, t = _Side(e_plain), _Side(t_plain)
+    # passages of the evaluation texts: by length, their hashes in order and the texts that hold each
+    index = {}
+    short = np.minimum(e.size, PASSAGE)
+    for length in np.unique(short).tolist():
+        mine = np.flatnonzero(short == length)
+        spots = [_spots(n) for n in e.size[mine].tolist()]
+        who = np.repeat(mine, [len(s) for s in spots])
+        place = np.fromiter((x for s in spots for x in s), np.int64) + e.start[who]
+        at, h = e.hashes(0, len(e_plain), length)
+        h = h[np.searchsorted(at, place)]
+        order = np.argsort(h, kind="stable")
+        known, first, count = np.unique(h[order], return_index=True, return_counts=True)
+        index[length] = known, first, count, who[order]
+    need = np.maximum(1, np.ceil(least * e.size / PASSAGE - 1e-9)).astype(np.int64)
+    e_pairs = e.letter_pairs(0, len(e_plain))
+    out_e, out_t = [], []
+    step = max(1, AT_ONCE // len(e_plain))
+    for lo in range(0, len(t_plain), step):
+        hi = min(len(t_plain), lo + step)
+        owner = t.owners(lo, hi)
+        found = []
+        for length, (known, first, count, who) in index.items():
+            at, h = t.hashes(lo, hi, length)
+            k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[k] == h
+            both = _distinct((owner[at[hit] - t.start[lo]] - lo) * len(known) + k[hit])[0]
+            row, k = both // len(known), both % len(known)
+            # the places of all holders of each passage found, a bounded number at once
+            cut = np.searchsorted(np.cumsum(count[k]), np.arange(AT_ONCE, count[k].sum(), AT_ONCE))
+            for row, k in zip(np.split(row, cut), np.split(k, cut), strict=True):
+                n = count[k]
+                holders = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[k], n)
+                found.append(_distinct(np.repeat(row * len(e_plain), n) + who[holders]))
+        pair, shared = found[0]
+        if len(found) > 1:
+            pair, at = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+            shared = np.bincount(at, np.concatenate([n for _, n in found]), len(pair))
+        r, c = np.divmod(pair, len(e_plain))
+        enough = shared >= need[c]
+        r, c = r[enough], c[enough]
+        x, y = e.size[c], t.size[lo + r]
+        edits = np.floor(np.maximum(x, y) * (1 - similarity) + 1e-9)
+        few = (np.abs(e.words[c] - t.words[lo + r]) <= spare_words) & (np.bitwise_count(e.bits[c] ^ t.bits[lo + r]) <= 2 * spare_words)
+        close = np.abs(x - y) <= edits
+        t_pairs = t.letter_pairs(lo, hi)
+        ask = np.flatnonzero(close & ~few)
+        for some in np.array_split(ask, len(ask) // 8192 + 1):
+            apart = np.abs(e_pairs[c[some]] - t_pairs[r[some]]).sum(axis=1, dtype=np.int64)
+            close[some] = apart <= 4 * edits[some]
+        keep = few | close
+        out_e.append(c[keep]), out_t.append(lo + r[keep])
+    return np.concatenate(out_e), np.concatenate(out_t)
+
+
+def _grid(texts: DataFrame, least: float, similarity: float, spare_words: int) -> DataFrame:
+    """a_e, b_e, e, a_t, b_t, t of the candidates, every evaluation text against every training text of its field.
+
+    The texts of both sides are spread over the cells of a grid, so that a cell holds a bounded number of them."""
+    n = {r["side"]: r["count"] for r in texts.groupBy("side").count().collect()}
+    shards, slices = max(1, -(-n.get("e", 0) // EVAL_CELL)), max(1, -(-n.get("t", 0) // TRAIN_CELL))
+    place = lambda k: F.pmod(F.xxhash64("a", "b"), F.lit(k)).cast("int")
+    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    e, t = (texts.filter((F.col("side") == s) & F.col("field").isNotNull()).select("field", "a", "b", "plain") for s in "et")
+    e = e.select("*", place(shards).alias("shard"), all_of(slices).alias("slice"))
+    t = t.select("*", all_of(shards).alias("shard"), place(slices).alias("slice"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ie = it = np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            ie, it = candidates(left["plain"].to_pylist(), right["plain"].to_pylist(), least, similarity, spare_words)
+        x, y = left.take(pa.array(ie)), right.take(pa.array(it))
+        return pa.table([x["a"], x["b"], x["plain"], y["a"], y["b"], y["plain"]], names=["a_e", "b_e", "e", "a_t", "b_t", "t"])
+
+    cell = ["field", "shard", "slice"]
+    return e.groupBy(*cell).cogroup(t.groupBy(*cell)).applyInArrow(run, "a_e long, b_e long, e string, a_t long, b_t long, t string")
 
 
 def coverage(pairs: list[tuple[str, str]]) -> list[float]:
@@ -129,9 +212,8 @@ def coverage(pairs: list[tuple[str, str]]) -> list[float]:
     automaton, seen, by_train = ahocorasick.Automaton(), {}, {}
     for n, (e, t) in enumerate(squeezed):
         if e not in seen:
-            last = max(0, len(e) - PASSAGE)
             seen[e] = spots = []
-            for s in sorted({*range(0, last, STRIDE), last}):
+            for s in _spots(len(e)):
                 p = e[s : s + PASSAGE]
                 spots.append((s, p))
                 automaton.add_word(p, p)
@@ -184,17 +266,15 @@ def cross_split_copies(
     `rows`: field, side ('t' or 'e', others are ignored), id, text. Only rows of the same field are compared;
     rows delivered again count once; null ids and texts and texts of fewer than `min_words` words are left out.
     Pairs of one id with itself are not reported. Copies are compared as one text and expanded at the end, by a
-    join, so a text that fills a third of the corpus costs one comparison.
+    join, so a text that fills a third of the corpus costs one comparison. No pair is lost: every one whose
+    coverage reaches `least_coverage` (above 0) and that `near` accepts is found, at any size of the corpus.
     """
+    if not least_coverage > 0:
+        raise ValueError("the least coverage must be above 0")
     plain = checkpointed(plain_texts(rows, min_words))
     members = plain.select("field", "side", "a", "b", "id").distinct()
     texts = plain.select("field", "side", "a", "b", "plain").distinct()
-    sketch = _sketch(plain)
-    shared = _keys(texts, sketch, "e").join(_keys(texts, sketch, "t"), "key").groupBy("a_e", "a_t").agg(F.count("*").alias("n"), F.least(F.min("meet_e"), F.min("meet_t")).alias("meet"))
-    same = texts.groupBy("a", "b").agg(F.count_distinct("side").alias("sides")).filter(F.col("sides") == 2)
-    pairs = shared.filter(F.col("n") >= F.col("meet")).select("a_e", "a_t").union(same.select("a", "a")).distinct()
-    te, tt = (texts.filter(F.col("side") == s).select(F.col("a").alias(f"a_{s}"), F.col("b").alias(f"b_{s}"), F.col("plain").alias(s)) for s in "et")
-    both = pairs.join(tt, "a_t").join(te, "a_e")
+    both = _grid(texts, least_coverage, similarity, spare_words)
     found = _scan(both, least_coverage).filter(near(F.col("e"), F.col("t"), similarity, spare_words)).drop("e", "t")
     me, mt = (members.filter(F.col("side") == s).select("field", F.col("a").alias(f"a_{s}"), F.col("b").alias(f"b_{s}"), F.col("id").alias(f"id_{s}")) for s in "et")
     out = found.join(me, ["a_e", "b_e"]).join(mt, ["field", "a_t", "b_t"]).filter(F.col("id_e") != F.col("id_t"))
