@@ -65,3 +65,12 @@ def test_open_ends_are_settled_by_the_corpus(spark):
     found = {r["id"]: r["defects"] for r in pairs.defects(ask, ends).collect()}
     assert found == {"1": ["truncated"], "3": ["empty"]}
     assert pairs.defects(ask.limit(0), ends).count() == 0
+
+
+def test_a_chance_end_clears_no_broken_item(spark):
+    ends = spark.createDataFrame([("r:the blue", 100, 4), ("r:blue", 200, 20), ("r:a barrel", 100, 5), ("r:barrel", 200, 20)], "item string, n long, closed long")
+    ask = spark.createDataFrame(
+        [("d", i, 0, "How can I do it?", f"1. Use a rope\n2. Hold {x}", None) for i, x in (("1", "the blue"), ("2", "a barrel"))],
+        "dataset string, id string, turn int, question string, answer string, context string",
+    )
+    assert {r["id"]: r["defects"] for r in pairs.defects(ask, ends).collect()} == {"1": ["truncated"]}

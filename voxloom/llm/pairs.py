@@ -339,6 +339,8 @@ def defects(pairs: DataFrame, ends: DataFrame) -> DataFrame:
         F.max(F.when(F.col("item").startswith("r:") & one, F.col("closed"))).alias("closed1"),
         F.max("cased").alias("cased"),
     )
-    never: Column = (F.col("closed2") == 0) & ((F.col("n2") >= 3) | ((F.col("n1") == 0) & ~F.col("cased")) | ((F.col("n1") >= 3) & (F.col("closed1") == 0)))
-    cut = tell.filter(F.coalesce("passage", F.lit(False)) | F.coalesce(never, F.lit(False))).select("dataset", "id", "turn", F.array(F.lit("truncated")).alias("defects"))
+    # a share, as for passages, so that a chance end in a large corpus clears nothing
+    hardly = lambda k: (F.col(f"closed{k}") == 0) | (F.col(f"closed{k}") < 0.05 * F.col(f"n{k}"))
+    rarely: Column = hardly(2) & ((F.col("n2") >= 3) | ((F.col("n1") == 0) & ~F.col("cased")) | ((F.col("n1") >= 3) & hardly(1)))
+    cut = tell.filter(F.coalesce("passage", F.lit(False)) | F.coalesce(rarely, F.lit(False))).select("dataset", "id", "turn", F.array(F.lit("truncated")).alias("defects"))
     return judged.filter(F.size("defects") > 0).drop("look").unionByName(cut)
