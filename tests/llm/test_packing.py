@@ -58,3 +58,12 @@ def test_copies_are_kept_apart_and_little_is_wasted(spark):
     report = packing.fill_report(where, 100).first()
     assert report["fill"] >= 0.9 and report["ids"] == 4500
     assert packing.assign(spark.createDataFrame([], COLUMNS), 100).count() == 0
+
+
+def test_samples_with_null_ids_are_kept_apart(spark):
+    rows = [(None, "a", [1] * 60, None), (None, "a", [2] * 70, None), (None, "a", [2] * 70, None), (None, "b", [3] * 250, None), (None, None, [], None), ("s", "a", [4] * 30, None)]
+    got = packing.containers(spark.createDataFrame(rows, COLUMNS), 100).collect()
+    ids = sorted(x for r in got for x in r["input_ids"])
+    assert ids == [1] * 60 + [2] * 70 + [3] * 250 + [4] * 30
+    assert all(r["used"] == len(r["input_ids"]) == sum(m["length"] for m in r["members"]) <= 100 for r in got)
+    assert sum(len(r["members"]) for r in got) == 7

@@ -66,10 +66,10 @@ def best_fit(
 
 def _pack_round(items: DataFrame, capacity: int, blocks: int, name: str, apart: dict[str, list[str]]) -> DataFrame:
     """One pass of best fit over `blocks` blocks; adds container and used."""
-    cols = "sample_id string, source string, cluster long, start int, length int, container string, used int"
+    cols = "sample_id string, row string, source string, cluster long, start int, length int, container string, used int"
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "sample_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "sample_id", "row", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         at = int(pdf["block"].iloc[0])
         codes, names = pd.factorize(pdf["source"].fillna(""))
         number = {s: n for n, s in enumerate(names)}
@@ -81,32 +81,38 @@ def _pack_round(items: DataFrame, capacity: int, blocks: int, name: str, apart:
         place, rest = best_fit(pdf["length"].tolist(), codes.tolist(), cluster.tolist(), capacity, shy if any(shy) else None)
         pdf["container"] = [f"{name}-{at:06d}-{k:06d}" for k in place]
         pdf["used"] = [capacity - rest[k] for k in place]
-        return pdf[["sample_id", "source", "cluster", "start", "length", "container", "used"]]
+        return pdf[["sample_id", "row", "source", "cluster", "start", "length", "container", "used"]]
 
-    keyed = items.select("sample_id", "source", "cluster", "start", "length", F.pmod(F.xxhash64("sample_id", "start"), F.lit(blocks)).alias("block"))
+    keyed = items.select("sample_id", "row", "source", "cluster", "start", "length", F.pmod(F.xxhash64("sample_id", "row", "start"), F.lit(blocks)).alias("block"))
     return keyed.groupBy("block").applyInPandas(block, cols)
 
 
+def _samples(packed: DataFrame) -> DataFrame:
+    """sample_id, row, source, ids: the real ids of each sample, and what tells it from others with a null id."""
+    rows = packed.select("sample_id", F.col("dataset").alias("source"), real_ids(F.col("input_ids"), F.col("attention_mask")).alias("ids"))
+    content = F.sha2(F.to_json(F.struct("source", "ids")), 256)
+    return rows.select("sample_id", F.when(F.col("sample_id").isNull(), F.concat(F.lit("null:"), content)).alias("row"), "source", "ids")
+
+
 def assign(
     packed: DataFrame, capacity: int, block_items: int = 20_000, slack: float = 0.01, apart: dict[str, list[str]] | None = None
 ) -> DataFrame:
-    """sample_id, source, cluster, start, length, container, used: where each sample (or part of one) goes.
+    """sample_id, row, source, cluster, start, length, container, used: where each sample (or part of one) goes.
 
     A sample above the capacity is divided into full parts and a rest; nothing else is. Each sample_id counts
-    once. Samples without real ids are items of length 0. Copies (equal real ids) never share a container;
+    once; samples with a null one are told apart by `row`, a hash of source and real ids (else null), and count
+    once for each content. Samples without real ids are items of length 0. Copies (equal real ids) never share a container;
     `apart` names sources that may not meet either. Containers with more than `slack` of their room unused are
     packed again over all blocks. Blocks are of bounded size whatever the keys, so no group grows with the data.
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
-    ids = real_ids(F.col("input_ids"), F.col("attention_mask"))
-    items = packed.select("sample_id", F.col("dataset").alias("source"), ids.alias("ids"))
-    items = items.select("sample_id", "source", F.size("ids").alias("n"), F.xxhash64("ids").alias("cluster")).dropDuplicates(["sample_id"])
+    items = _samples(packed).select("sample_id", "row", "source", F.size("ids").alias("n"), F.xxhash64("ids").alias("cluster")).dropDuplicates(["sample_id", "row"])
     starts = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1, F.lit(capacity))).otherwise(F.array(F.lit(0)))
     parts = items.select("*", F.explode(starts).alias("start"))
-    parts = checkpointed(parts.select("sample_id", "source", "cluster", "start", F.least(F.lit(capacity), F.col("n") - F.col("start")).alias("length")))
+    parts = checkpointed(parts.select("sample_id", "row", "source", "cluster", "start", F.least(F.lit(capacity), F.col("n") - F.col("start")).alias("length")))
     full = parts.filter(F.col("length") == capacity)
-    full = full.select("*", F.concat_ws("-", F.lit("full"), "sample_id", "start").alias("container"), F.col("length").alias("used"))
+    full = full.select("*", F.concat_ws("-", F.lit("full"), "sample_id", "row", "start").alias("container"), F.col("length").alias("used"))
     todo = parts.filter(F.col("length") < capacity)
     blocks = lambda n: max(1, -(-n // block_items))
     first = checkpointed(_pack_round(todo, capacity, blocks(todo.count()), "a", apart or {}))
@@ -119,12 +125,12 @@ def assign(
 def containers(packed: DataFrame, capacity: int, **options) -> DataFrame:
     """One row per container: container, used, unused, members (sample_id, start, length in order), input_ids."""
     where = assign(packed, capacity, **options)
-    ids = packed.select("sample_id", real_ids(F.col("input_ids"), F.col("attention_mask")).alias("ids"))
-    both = where.join(ids, where["sample_id"].eqNullSafe(ids["sample_id"])).select(
-        "container", where["sample_id"].alias("sample_id"), "start", "length", F.slice("ids", F.col("start") + 1, F.col("length")).alias("ids")
+    ids = _samples(packed).drop("source")
+    both = where.join(ids, where["sample_id"].eqNullSafe(ids["sample_id"]) & where["row"].eqNullSafe(ids["row"])).select(
+        "container", where["sample_id"].alias("sample_id"), where["row"].alias("row"), "start", "length", F.slice("ids", F.col("start") + 1, F.col("length")).alias("ids")
     )
     # rows delivered again have equal content and fall together here
-    rows = F.array_sort(F.collect_set(F.struct("sample_id", "start", "length", "ids")))
+    rows = F.array_sort(F.collect_set(F.struct("sample_id", "row", "start", "length", "ids")))
     grouped = both.groupBy("container").agg(rows.alias("rows"))
     members = F.transform("rows", lambda x: F.struct(x["sample_id"].alias("sample_id"), x["start"].alias("start"), x["length"].alias("length")))
     used = F.aggregate("rows", F.lit(0), lambda a, x: a + x["length"])
