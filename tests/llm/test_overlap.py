@@ -1,6 +1,7 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxloom.llm import overlap
@@ -82,9 +83,10 @@ def test_no_copy_is_dropped_whatever_the_cells(monkeypatch):
     train = _texts(rng, 50, 12) + ["ab " * 8, "yeah " * 9, "a b", "x ab a b y"]
     evals = [_slipped(rng, x, k) for x in train[:50] for k in (0, 2, 4, 8)] + ["ab " * 9, "yeah " * 8, "a b", "b a b c"]
     evals, train = ([" ".join(words(x)) for x in y] for y in (evals, train))
-    got = set(zip(*(x.tolist() for x in overlap.candidates(evals, train, 0.2, 0.82, 2)), strict=True))
+    ie, it, share = (x.tolist() for x in overlap.covered(evals, train, 0.2, 0.82, 2))
+    got = dict(zip(zip(ie, it, strict=True), share, strict=True))
     every = [(i, j) for i in range(len(evals)) for j in range(len(train))]
-    covered = overlap.coverage([(evals[i], train[j]) for i, j in every])
+    covered = [coverage(evals[i], train[j]) for i, j in every]
     want = set()
     for (i, j), c in zip(every, covered, strict=True):
         x, y, a, b = evals[i].replace(" ", ""), train[j].replace(" ", ""), evals[i].split(), train[j].split()
@@ -92,7 +94,41 @@ def test_no_copy_is_dropped_whatever_the_cells(monkeypatch):
         few = abs(len(a) - len(b)) <= 2 and len({*a} - {*b}) <= 2 and len({*b} - {*a}) <= 2
         if c >= 0.2 and (near or few):
             want.add((i, j))
-    assert len(want) > 150 and want <= got
+    assert len(want) > 150 and want <= got.keys()
+    assert all(abs(got[p] - c) < 1e-9 for p, c in zip(every, covered, strict=True) if p in got)
+
+
+def coverage(e, t):
+    e, t = e.replace(" ", ""), t.replace(" ", "")
+    last = max(0, len(e) - overlap.PASSAGE)
+    spots = {*range(0, last, overlap.STRIDE), last}
+    return len({s + i for s in spots if (p := e[s : s + overlap.PASSAGE]) in t for i in range(len(p))}) / len(e)
+
+
+def test_edit_distance_by_bit_vectors():
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("abcdé") for _ in range(rng.choice((1, 5, 63, 64, 65, 128, 200, 256))))
+    e, t = [text() for _ in range(40)], [text() for _ in range(40)]
+    t[:20] = [x[: len(x) // 3] + "z" + x[len(x) // 2 :] for x in e[:20]]
+    ie, it = (x.ravel() for x in np.indices((40, 40)))
+    assert overlap.edits(overlap._Side(e), overlap._Side(t), ie, it).tolist() == [_edits(e[i], t[j]) for i, j in zip(ie, it, strict=True)]
+
+
+def test_cells_of_any_size_give_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    train = _texts(rng, 30, 12)
+    rows = [("f", "t", f"t{i}", x) for i, x in enumerate(train)] + [("f", "e", f"e{i}", _slipped(rng, x, 2)) for i, x in enumerate(train)]
+    whole = found(spark, rows)
+    for name, n in (("EVAL_CELL", 7), ("TRAIN_CELL", 4), ("MOST_TASKS", 3)):
+        monkeypatch.setattr(overlap, name, n)
+    assert found(spark, rows) == whole >= {("f", f"e{i}", f"t{i}") for i in range(30)}
+
+
+def test_records_count_copies_by_class(spark):
+    rows = [("f", "t", f"t{i}", BASE) for i in range(30)] + [("f", "t", "near", BASE.replace("rusty", "rsuty")), ("f", "e", "e0", BASE), ("f", "e", "t3", BASE), ("f", "e", "alone", CLAUSE)]
+    got = {r["id_eval"]: (r["copies"], r["coverage"]) for r in overlap.Copies(frame(spark, rows)).records().collect()}
+    assert got == {"e0": (31, 1.0), "t3": (31, 1.0)}
+    assert len(found(spark, rows)) == 61
 
 
 def _edits(x, y):
@@ -129,7 +165,12 @@ def test_against_brute_force(spark):
 
 
 def test_coverage_merges_intervals():
-    assert overlap.coverage([("abcdefghij klmnopqrst", "xxabcdefghijklmnopqrstxx"), ("abcdefghijklmnopqrst", "abcdefghij"), ("abc", "zabcz"), ("abc", "x")]) == [1.0, 0.5, 1.0, 0.0]
+    pairs = [("abcdefghij klmnopqrst", "xxabcdefghijklmnopqrstxx"), ("abcdefghijklmnopqrst", "abcdefghij"), ("abc", "zabcz"), ("abc", "x")]
+    got = []
+    for e, t in pairs:
+        shard = overlap.Shard([e])
+        got.append(shard.coverage(shard.scan([t]), np.array([0]), np.array([0]))[0])
+    assert got == [1.0, 0.5, 1.0, 0.0]
 
 
 def test_plain_form(spark):

@@ -61,15 +61,25 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.select("field", F.least("id_eval", "id_train").alias("id_a"), F.greatest("id_eval", "id_train").alias("id_b"))
 
 
+def _eval_rows(spark: SparkSession, root: str) -> DataFrame:
+    """field, id_eval, dataset and plain split of the evaluation rows that p2_found compares, each once."""
+    raw = table(spark, root, "raw_sample").filter(F.col("task").isin("asr", "speech_to_text_translation"))
+    raw = raw.select(F.lit("target_text").alias("field"), F.col("sample_id").alias("id_eval"), "dataset", "split", F.col("target_text").alias("text"))
+    co = table(spark, root, "covost2_sample").select(F.lit("source_text").alias("field"), F.col("id").alias("id_eval"), "dataset", "split", F.col("source_text").alias("text"))
+    rows = raw.unionByName(co).filter((overlap.side(F.col("split")) == "e") & (F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ")) >= 8))
+    return rows.withColumn("split", F.lower(F.trim("split"))).drop("text").distinct()
+
+
+def p2_records(spark: SparkSession, root: str) -> DataFrame:
+    """Every evaluation row with a copy in training: its split and dataset, how many copies, the highest coverage."""
+    return _eval_rows(spark, root).join(overlap.Copies(_split_texts(spark, root)).records(), ["field", "id_eval"])
+
+
 def p2_report(spark: SparkSession, root: str) -> DataFrame:
-    """Evaluation rows, rows with a copy in training, and pairs, by field, split and dataset."""
-    raw = table(spark, root, "raw_sample").select(F.lit("target_text").alias("field"), F.col("sample_id").alias("id_eval"), "dataset", "split")
-    co = table(spark, root, "covost2_sample").select(F.lit("source_text").alias("field"), F.col("id").alias("id_eval"), "dataset", "split")
-    rows = raw.unionByName(co).filter(overlap.side(F.col("split")) == "e").withColumn("split", F.lower(F.trim("split"))).distinct()
-    per = overlap.cross_split_copies(_split_texts(spark, root)).groupBy("field", "id_eval").agg(F.count("*").alias("pairs"))
-    both = rows.join(per, ["field", "id_eval"], "left")
+    """Compared evaluation rows, rows with a copy in training, copies and mean coverage, by field, split and dataset."""
+    both = _eval_rows(spark, root).join(overlap.Copies(_split_texts(spark, root)).records(), ["field", "id_eval"], "left")
     return both.groupBy("field", "split", "dataset").agg(
-        F.count("*").alias("rows"), F.count("pairs").alias("rows_with_copy"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
+        F.count("*").alias("rows"), F.count("copies").alias("rows_with_copy"), F.coalesce(F.sum("copies"), F.lit(0)).alias("pairs"), F.avg("coverage").alias("mean_coverage")
     )
 
 
@@ -142,6 +152,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_defects": p1_defects,
     "p2_found": p2_found,
+    "p2_records": p2_records,
     "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_packed_pieces": p3_packed_pieces,

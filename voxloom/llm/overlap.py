@@ -1,21 +1,24 @@
 """Evaluation records whose text also occurs, exactly or nearly, in the training split.
 
-Texts are brought to a plain form and equal ones folded into one class. The classes of the two sides meet in the
-cells of a grid, each evaluation class with each training class of its field. A cell looks the stretches of its
-training texts up in the passages of its evaluation texts, counts the passages found of each pair, and drops the
-pairs that too few passages, lengths, letter pairs or words prove to be no copies. For the pairs left, an
-Aho-Corasick automaton over the passages gives the matched intervals, which are merged into the coverage of each
-evaluation text by each training text. Well-covered pairs are compared exactly at the end.
-
-Why every pair: copies may differ in any letters, so no fixed number of keys of a text, however rare, is sure to be
-left in its copy. The work of the grid grows with the product of the two sides; its constant is small.
+Texts are brought to a plain form and equal ones folded into one class. The passages of the evaluation classes are
+laid out in shards; each shard builds one Aho-Corasick automaton over its passages and scans every training class of
+its field with it. The intervals matched are merged into the coverage of each evaluation text by each training text.
+Pairs whose coverage suffices are compared: pairs that lengths, letter pairs or words prove to be no copies go first,
+then an edit distance on bit vectors, then the exact comparison.
+
+Why every shard scans every training text: copies may differ in any letters, so no fixed number of keys of a text,
+however rare, is sure to be left in its copy. The work grows with training texts times shards; evaluation splits of a
+fixed size are a fixed number of shards, and then it grows with the training texts alone.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +26,15 @@ from pyspark.sql import functions as F
 from voxloom.llm.normal import words
 from voxloom.runtime import checkpointed
 
-#: Texts of a side in a cell of the grid. Results do not depend on them.
-EVAL_CELL, TRAIN_CELL = 1 << 14, 1 << 15
+#: Texts, and letters of texts, of a side in a cell of the grid of shards and training slices, and the most tasks that
+#: work on cells. Results do not depend on them.
+EVAL_CELL, TRAIN_CELL = 1 << 14, 1 << 17
+EVAL_LETTERS, TRAIN_LETTERS = 1 << 22, 1 << 24
+MOST_TASKS = 4096
 
-#: Numbers of a text's letter-pair histogram, and passages shared by two texts held at once.
-PAIR_BINS, AT_ONCE = 256, 1 << 21
+#: Numbers of a text's letter-pair histogram, passages shared by two texts held at once, and the longest text (in words
+#: of 64 letters) compared by bit vectors.
+PAIR_BINS, AT_ONCE, BIT_WORDS = 256, 1 << 21, 4
 
 PASSAGE, STRIDE = 10, 5
 
@@ -76,10 +83,10 @@ class _Side:
     """The texts of one side of a cell without spaces, as one array of letters, and what bounds their likeness."""
 
     def __init__(self, plain: list[str]):
-        letters = [p.replace(" ", "") for p in plain]
-        self.size = np.array([len(x) for x in letters], np.int64)
+        self.letters = [p.replace(" ", "") for p in plain]
+        self.size = np.array([len(x) for x in self.letters], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
-        self.codes = np.frombuffer("".join(letters).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.codes = np.frombuffer("".join(self.letters).encode("utf-32-le"), np.uint32)
         split = [p.split(" ") for p in plain]
         self.words = np.array([len(w) for w in split], np.int64)
         bit: dict[str, int] = {}
@@ -92,27 +99,79 @@ class _Side:
                 m |= bit[x]
             self.bits[i] = m
 
-    def owners(self, lo: int, hi: int) -> np.ndarray:
-        return np.repeat(np.arange(lo, hi), self.size[lo:hi])
-
-    def hashes(self, lo: int, hi: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Place and hash of every stretch of `length` letters within the texts lo to hi."""
-        codes, owner = self.codes[self.start[lo] : self.start[hi]], self.owners(lo, hi)
-        n = max(0, len(codes) - length + 1)
-        h = np.full(n, length, np.uint64)
-        for j in range(length):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
-        at = np.flatnonzero(owner[:n] == owner[length - 1 : length - 1 + n])
-        return at + self.start[lo], h[at] ^ (h[at] >> np.uint64(32))
-
     def letter_pairs(self, lo: int, hi: int) -> np.ndarray:
-        """For each text, how often letter pairs of each bin stand in it."""
-        at, h = self.hashes(lo, hi, 2)
-        who = self.owners(lo, hi)[at - self.start[lo]] - lo
-        n = np.bincount(who * PAIR_BINS + (h % PAIR_BINS).astype(np.int64), minlength=(hi - lo) * PAIR_BINS)
+        """For each of the texts lo to hi, how often letter pairs of each bin stand in it."""
+        codes, owner = self.codes[self.start[lo] : self.start[hi]].astype(np.uint64), np.repeat(np.arange(hi - lo), self.size[lo:hi])
+        at = np.flatnonzero(owner[:-1] == owner[1:])
+        h = (codes[at] * np.uint64(0x9E3779B97F4A7C15) + codes[at + 1]) * np.uint64(0xBF58476D1CE4E5B9)
+        n = np.bincount(owner[at] * PAIR_BINS + (h >> np.uint64(56)).astype(np.int64), minlength=(hi - lo) * PAIR_BINS)
         return np.minimum(n, 32767).astype(np.int16).reshape(hi - lo, PAIR_BINS)
 
 
+class Shard:
+    """One automaton over the passages of evaluation texts, and the texts that hold each passage."""
+
+    def __init__(self, plain: list[str]):
+        self.side = _Side(plain)
+        number: dict[str, int] = {}
+        automaton, passage, spot, first = ahocorasick.Automaton(), [], [], [0]
+        for x in self.side.letters:
+            for s in _spots(len(x)):
+                p = x[s : s + PASSAGE]
+                if p not in number:
+                    number[p] = len(number)
+                    automaton.add_word(p, number[p])
+                passage.append(number[p]), spot.append(s)
+            first.append(len(passage))
+        automaton.make_automaton()
+        self.automaton, self.known = automaton, len(number)
+        #: by text: number and place of its passages
+        self.passage, self.spot, self.first = np.array(passage, np.int64), np.array(spot, np.int64), np.array(first, np.int64)
+        #: by passage: the texts that hold it, once for each place
+        order = np.argsort(self.passage, kind="stable")
+        self.holder = np.repeat(np.arange(len(plain), dtype=np.int32), np.diff(self.first))[order]
+        self.count = np.bincount(self.passage, minlength=self.known)
+        self.open = np.cumsum(self.count) - self.count
+        self.pairs = self.side.letter_pairs(0, len(plain))
+
+    def scan(self, texts: list[str]) -> np.ndarray:
+        """Row x known + passage of every passage found in each text (without spaces), once, in order."""
+        rows = [{n for _, n in self.automaton.iter(t)} for t in texts]
+        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        out = np.repeat(np.arange(len(rows)), n) * self.known + np.fromiter(chain.from_iterable(rows), np.int64, n.sum())
+        out.sort()
+        return out
+
+    def meetings(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row x texts + evaluation text of every two that share a passage, and how many places of the evaluation text do."""
+        row, k = np.divmod(found, self.known)
+        out = []
+        for some in np.split(np.arange(len(k)), np.searchsorted(np.cumsum(self.count[k]), np.arange(AT_ONCE, self.count[k].sum(), AT_ONCE))):
+            n = self.count[k[some]]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.open[k[some]], n)
+            start = row[some] * len(self.pairs)
+            start = start.astype(np.int32) if (row[-1] + 1) * len(self.pairs) < 1 << 31 else start
+            out.append(_distinct(np.repeat(start, n) + self.holder[at]))
+        if len(out) == 1:
+            return out[0]
+        pair, at = np.unique(np.concatenate([p for p, _ in out]), return_inverse=True)
+        return pair, np.bincount(at, np.concatenate([n for _, n in out]), len(pair)).astype(np.int64)
+
+    def coverage(self, found: np.ndarray, row: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The share of each evaluation text that the passages found in the row of `found` cover, their intervals merged."""
+        n = self.first[text + 1] - self.first[text]
+        pair = np.repeat(np.arange(len(text)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[text], n)
+        want = row[pair] * self.known + self.passage[at]
+        place = np.minimum(np.searchsorted(found, want), len(found) - 1)
+        hit = found[place] == want if len(found) else np.zeros(len(want), bool)
+        pair, spot = pair[hit], self.spot[at[hit]]
+        length = np.minimum(self.side.size[text], PASSAGE)[pair]
+        same = np.append(False, pair[1:] == pair[:-1])
+        new = np.where(same, np.minimum(length, np.diff(spot, prepend=0)), length)
+        return np.bincount(pair, new, len(text)) / self.side.size[text]
+
+
 def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers in order, and how often each stands there. Sorts `numbers`."""
     numbers.sort()
@@ -120,131 +179,144 @@ def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return numbers[at], np.diff(at, append=len(numbers))
 
 
-def candidates(e_plain: list[str], t_plain: list[str], least: float, similarity: float, spare_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the pairs of plain texts (evaluation, training) that can be covered to `least` (above 0) and near.
+def edits(e: _Side, t: _Side, ie: np.ndarray, it: np.ndarray) -> np.ndarray:
+    """The edit distance of pairs of texts of up to 64 x BIT_WORDS letters, by bit vectors over all pairs at once."""
+    out = np.zeros(len(ie), np.int64)
+    blocks = (e.size[ie] + 63) // 64
+    for some in (x for w in np.unique(blocks) for x in _pieces(np.flatnonzero(blocks == w), 4096)):
+        some = some[np.argsort(-t.size[it[some]], kind="stable")]
+        own, back = np.unique(ie[some], return_inverse=True)
+        m, n, width = e.size[ie[some]], t.size[it[some]], int(blocks[some[0]])
+        where = np.repeat(np.arange(len(own)), e.size[own])
+        inner = np.arange(len(where)) - np.repeat(np.cumsum(e.size[own]) - e.size[own], e.size[own])
+        letters = e.codes[e.start[own][where] + inner]
+        known = np.unique(letters)
+        # eq[w, text, letter]: where in the w-th word of the text the letter stands; the last letter is any other
+        eq = np.zeros((width, len(own), len(known) + 1), np.uint64)
+        np.bitwise_or.at(eq, (inner // 64, where, np.searchsorted(known, letters)), np.uint64(1) << (inner % 64).astype(np.uint64))
+        up, down = np.full((width, len(some)), ~np.uint64(0)), np.zeros((width, len(some)), np.uint64)
+        last, score, one = ((m - 1) % 64).astype(np.uint64), m.copy(), np.uint64(1)
+        for j in range(int(n[0])):
+            k = int(np.searchsorted(-n, -j, "left"))  # pairs whose training text goes on
+            c = t.codes[t.start[it[some[:k]]] + j]
+            s = np.minimum(np.searchsorted(known, c), len(known) - 1)
+            s = np.where(known[s] == c, s, len(known))
+            more, less = np.ones(k, np.uint64), np.zeros(k, np.uint64)
+            for w in range(width):
+                q, u, d = eq[w, back[:k], s], up[w, :k], down[w, :k]
+                v = q | d
+                q |= less
+                h = (((q & u) + u) ^ u) | q
+                plus, minus = d | ~(h | u), u & h
+                if w == width - 1:
+                    score[:k] += ((plus >> last[:k]) & one).astype(np.int64) - ((minus >> last[:k]) & one).astype(np.int64)
+                plus, more = (plus << one) | more, plus >> np.uint64(63)
+                minus, less = (minus << one) | less, minus >> np.uint64(63)
+                up[w, :k], down[w, :k] = minus | ~(v | plus), plus & v
+        out[some] = score
+    return out
+
+
+def _pieces(numbers: np.ndarray, most: int) -> list[np.ndarray]:
+    return np.array_split(numbers, -(-len(numbers) // most)) if len(numbers) else []
+
+
+def covered(e_plain: list[str], t_plain: list[str], least: float, similarity: float, spare_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Evaluation text, training text (by number) and coverage of the pairs of plain texts whose coverage reaches `least`
+    (above 0) and that may be near.
 
     Only pairs that cannot be are left out, whatever the texts and however many. A passage covers PASSAGE letters
     at most, so coverage asks for a number of passages found. An edit changes two letter pairs into two others at
     most, so copies by letters differ in 4 x edits of them; copies by words differ in 2 x spare words of the words.
     """
-    e, t = _Side(e_plain), _Side(t_plain)
-    # passages of the evaluation texts: by length, their hashes in order and the texts that hold each
-    index = {}
-    short = np.minimum(e.size, PASSAGE)
-    for length in np.unique(short).tolist():
-        mine = np.flatnonzero(short == length)
-        spots = [_spots(n) for n in e.size[mine].tolist()]
-        who = np.repeat(mine, [len(s) for s in spots])
-        place = np.fromiter((x for s in spots for x in s), np.int64) + e.start[who]
-        at, h = e.hashes(0, len(e_plain), length)
-        h = h[np.searchsorted(at, place)]
-        order = np.argsort(h, kind="stable")
-        known, first, count = np.unique(h[order], return_index=True, return_counts=True)
-        index[length] = known, first, count, who[order]
+    if not e_plain or not t_plain:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    shard, t = Shard(e_plain), _Side(t_plain)
+    e = shard.side
     need = np.maximum(1, np.ceil(least * e.size / PASSAGE - 1e-9)).astype(np.int64)
-    e_pairs = e.letter_pairs(0, len(e_plain))
-    out_e, out_t = [], []
-    step = max(1, AT_ONCE // len(e_plain))
-    for lo in range(0, len(t_plain), step):
+    out = []
+    for lo in range(0, len(t_plain), step := max(1, AT_ONCE // len(e_plain))):
         hi = min(len(t_plain), lo + step)
-        owner = t.owners(lo, hi)
-        found = []
-        for length, (known, first, count, who) in index.items():
-            at, h = t.hashes(lo, hi, length)
-            k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[k] == h
-            both = _distinct((owner[at[hit] - t.start[lo]] - lo) * len(known) + k[hit])[0]
-            row, k = both // len(known), both % len(known)
-            # the places of all holders of each passage found, a bounded number at once
-            cut = np.searchsorted(np.cumsum(count[k]), np.arange(AT_ONCE, count[k].sum(), AT_ONCE))
-            for row, k in zip(np.split(row, cut), np.split(k, cut), strict=True):
-                n = count[k]
-                holders = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[k], n)
-                found.append(_distinct(np.repeat(row * len(e_plain), n) + who[holders]))
-        pair, shared = found[0]
-        if len(found) > 1:
-            pair, at = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
-            shared = np.bincount(at, np.concatenate([n for _, n in found]), len(pair))
+        found = shard.scan(t.letters[lo:hi])
+        pair, shared = shard.meetings(found)
         r, c = np.divmod(pair, len(e_plain))
         enough = shared >= need[c]
         r, c = r[enough], c[enough]
         x, y = e.size[c], t.size[lo + r]
-        edits = np.floor(np.maximum(x, y) * (1 - similarity) + 1e-9)
+        most = np.floor(np.maximum(x, y) * (1 - similarity) + 1e-9).astype(np.int64)
         few = (np.abs(e.words[c] - t.words[lo + r]) <= spare_words) & (np.bitwise_count(e.bits[c] ^ t.bits[lo + r]) <= 2 * spare_words)
-        close = np.abs(x - y) <= edits
+        close = np.abs(x - y) <= most
         t_pairs = t.letter_pairs(lo, hi)
-        ask = np.flatnonzero(close & ~few)
-        for some in np.array_split(ask, len(ask) // 8192 + 1):
-            apart = np.abs(e_pairs[c[some]] - t_pairs[r[some]]).sum(axis=1, dtype=np.int64)
-            close[some] = apart <= 4 * edits[some]
-        keep = few | close
-        out_e.append(c[keep]), out_t.append(lo + r[keep])
-    return np.concatenate(out_e), np.concatenate(out_t)
+        for some in _pieces(np.flatnonzero(close & ~few), 8192):
+            close[some] = np.abs(shard.pairs[c[some]] - t_pairs[r[some]]).sum(axis=1, dtype=np.int64) <= 4 * most[some]
+        keep = np.flatnonzero(few | close)
+        share = shard.coverage(found, r[keep], c[keep])
+        keep, share = keep[share >= least], share[share >= least]
+        out.append((c[keep], lo + r[keep], share, few[keep], most[keep]))
+    c, r, share, few, most = map(np.concatenate, zip(*out, strict=True))
+    ask = np.flatnonzero(~few & (np.maximum(e.size[c], t.size[r]) <= 64 * BIT_WORDS))
+    keep = np.ones(len(c), bool)
+    keep[ask] = edits(e, t, c[ask], r[ask]) <= most[ask]
+    return c[keep], r[keep], share[keep]
+
+
+def _cells(texts: DataFrame) -> tuple[DataFrame, int]:
+    """`texts` (field, side, a, b, plain) with the cell, each evaluation text once for each slice of the training texts of
+    its field and each training text once for each shard of the evaluation texts; and how many cells there are.
+
+    The counts collected are two rows for each field. Texts of a field without the other side have no cell."""
+    n = {(r["field"], r["side"]): (r["n"], r["letters"]) for r in texts.groupBy("field", "side").agg(F.count("*").alias("n"), F.sum(F.length("plain")).alias("letters")).collect()}
+    cells, shape = 0, []
+    for f in sorted({f for f, _ in n if f is not None}):
+        (ne, le), (nt, lt) = n.get((f, "e"), (0, 0)), n.get((f, "t"), (0, 0))
+        if ne and nt:
+            shards, slices = max(-(-ne // EVAL_CELL), -(-le // EVAL_LETTERS)), max(-(-nt // TRAIN_CELL), -(-lt // TRAIN_LETTERS))
+            shape.append((f, shards, slices, cells))
+            cells += shards * slices
+    grid = texts.sparkSession.createDataFrame(shape, "field string, shards int, slices int, base int")
+    at = texts.join(F.broadcast(grid), "field")  # a row for each field
+    hashed = F.xxhash64("a", "b")
+    own = F.when(F.col("side") == "e", F.pmod(hashed, "shards") * F.col("slices")).otherwise(F.pmod(hashed, "slices"))
+    other = F.when(F.col("side") == "e", F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda x: x * F.col("slices")))
+    return at.select("side", "a", "b", "plain", (F.col("base") + own).cast("int").alias("own"), F.explode(other).alias("other")).select(
+        (F.col("own") + F.col("other")).alias("cell"), "side", "a", "b", "plain"
+    ), cells
+
+
+_FOUND = "a_e long, b_e long, a_t long, b_t long, coverage double, e string, t string"
 
 
 def _grid(texts: DataFrame, least: float, similarity: float, spare_words: int) -> DataFrame:
-    """a_e, b_e, e, a_t, b_t, t of the candidates, every evaluation text against every training text of its field.
-
-    The texts of both sides are spread over the cells of a grid, so that a cell holds a bounded number of them."""
-    n = {r["side"]: r["count"] for r in texts.groupBy("side").count().collect()}
-    shards, slices = max(1, -(-n.get("e", 0) // EVAL_CELL)), max(1, -(-n.get("t", 0) // TRAIN_CELL))
-    place = lambda k: F.pmod(F.xxhash64("a", "b"), F.lit(k)).cast("int")
-    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    e, t = (texts.filter((F.col("side") == s) & F.col("field").isNotNull()).select("field", "a", "b", "plain") for s in "et")
-    e = e.select("*", place(shards).alias("shard"), all_of(slices).alias("slice"))
-    t = t.select("*", all_of(shards).alias("shard"), place(slices).alias("slice"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ie = it = np.zeros(0, np.int64)
-        if left.num_rows and right.num_rows:
-            ie, it = candidates(left["plain"].to_pylist(), right["plain"].to_pylist(), least, similarity, spare_words)
+    """The pairs of `covered` over every evaluation and every training text of a field. A task takes its cells one by one,
+    so it holds the bounded number of texts of one cell."""
+    at, cells = _cells(texts)
+    tasks = max(1, min(cells, MOST_TASKS))
+
+    def one(got: pa.Table) -> list[pa.RecordBatch]:
+        left, right = (got.filter(pc.equal(got["side"], s)) for s in "et")
+        ie, it, share = covered(left["plain"].to_pylist(), right["plain"].to_pylist(), least, similarity, spare_words)
         x, y = left.take(pa.array(ie)), right.take(pa.array(it))
-        return pa.table([x["a"], x["b"], x["plain"], y["a"], y["b"], y["plain"]], names=["a_e", "b_e", "e", "a_t", "b_t", "t"])
-
-    cell = ["field", "shard", "slice"]
-    return e.groupBy(*cell).cogroup(t.groupBy(*cell)).applyInArrow(run, "a_e long, b_e long, e string, a_t long, b_t long, t string")
-
-
-def coverage(pairs: list[tuple[str, str]]) -> list[float]:
-    """For pairs of plain texts (evaluation, training), the share of the first that passages found in the second
-    cover. One automaton over the passages of all first texts scans each second text once."""
-    squeezed = [(e.replace(" ", ""), t.replace(" ", "")) for e, t in pairs]
-    automaton, seen, by_train = ahocorasick.Automaton(), {}, {}
-    for n, (e, t) in enumerate(squeezed):
-        if e not in seen:
-            seen[e] = spots = []
-            for s in _spots(len(e)):
-                p = e[s : s + PASSAGE]
-                spots.append((s, p))
-                automaton.add_word(p, p)
-        by_train.setdefault(t, []).append(n)
-    automaton.make_automaton()
-    out = [0.0] * len(pairs)
-    for t, ns in by_train.items():
-        found = {p for _, p in automaton.iter(t)}
-        for n in ns:
-            e = squeezed[n][0]
-            upto = covered = 0
-            for s, p in seen[e]:
-                if p in found:
-                    covered += s + len(p) - max(upto, s)
-                    upto = s + len(p)
-            out[n] = covered / len(e)
-    return out
-
-
-def _scan(pairs: DataFrame, least: float) -> DataFrame:
-    """`pairs` (…, e, t) with their coverage, where it reaches `least`."""
-    keep = [c for c in pairs.columns if c not in ("e", "t")]
-    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keep) + ", e string, t string, coverage double"
+        out = pa.table([x["a"], x["b"], y["a"], y["b"], pa.array(share, pa.float64()), x["plain"], y["plain"]], names=["a_e", "b_e", "a_t", "b_t", "coverage", "e", "t"])
+        return out.combine_chunks().to_batches()
 
     def run(batches):
+        held, cell = [], None
         for b in batches:
-            c = pa.array(coverage(list(zip(b.column("e").to_pylist(), b.column("t").to_pylist(), strict=True))), pa.float64())
-            at = pa.array(np.flatnonzero(c.to_numpy() >= least))
-            yield pa.RecordBatch.from_arrays([*(b.column(x).take(at) for x in [*keep, "e", "t"]), c.take(at)], names=[*keep, "e", "t", "coverage"])
-
-    return pairs.mapInArrow(run, schema)
+            numbers = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if held and numbers[lo] != cell:
+                    yield from one(pa.Table.from_batches(held))
+                    held = []
+                cell = numbers[lo]
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from one(pa.Table.from_batches(held))
+
+    placed = at.repartitionById(tasks, F.col("cell") % tasks).sortWithinPartitions("cell")
+    return placed.mapInArrow(run, _FOUND)
 
 
 def near(e: Column, t: Column, similarity: float, spare_words: int) -> Column:
@@ -258,24 +330,42 @@ def near(e: Column, t: Column, similarity: float, spare_words: int) -> Column:
     return close | few
 
 
-def cross_split_copies(
-    rows: DataFrame, min_words: int = 8, least_coverage: float = 0.2, similarity: float = 0.82, spare_words: int = 2
-) -> DataFrame:
-    """field, id_eval, id_train, coverage of every pair of an evaluation and a training row with (nearly) the same text.
+class Copies:
+    """Evaluation and training rows with (nearly) the same text, as classes of equal texts and pairs of classes.
 
     `rows`: field, side ('t' or 'e', others are ignored), id, text. Only rows of the same field are compared;
     rows delivered again count once; null ids and texts and texts of fewer than `min_words` words are left out.
-    Pairs of one id with itself are not reported. Copies are compared as one text and expanded at the end, by a
-    join, so a text that fills a third of the corpus costs one comparison. No pair is lost: every one whose
+    A text that fills a third of the corpus is one class and costs one comparison. No pair is lost: every one whose
     coverage reaches `least_coverage` (above 0) and that `near` accepts is found, at any size of the corpus.
     """
-    if not least_coverage > 0:
-        raise ValueError("the least coverage must be above 0")
-    plain = checkpointed(plain_texts(rows, min_words))
-    members = plain.select("field", "side", "a", "b", "id").distinct()
-    texts = plain.select("field", "side", "a", "b", "plain").distinct()
-    both = _grid(texts, least_coverage, similarity, spare_words)
-    found = _scan(both, least_coverage).filter(near(F.col("e"), F.col("t"), similarity, spare_words)).drop("e", "t")
-    me, mt = (members.filter(F.col("side") == s).select("field", F.col("a").alias(f"a_{s}"), F.col("b").alias(f"b_{s}"), F.col("id").alias(f"id_{s}")) for s in "et")
-    out = found.join(me, ["a_e", "b_e"]).join(mt, ["field", "a_t", "b_t"]).filter(F.col("id_e") != F.col("id_t"))
-    return out.select("field", F.col("id_e").alias("id_eval"), F.col("id_t").alias("id_train"), "coverage")
+
+    def __init__(self, rows: DataFrame, min_words: int = 8, least_coverage: float = 0.2, similarity: float = 0.82, spare_words: int = 2):
+        if not least_coverage > 0:
+            raise ValueError("the least coverage must be above 0")
+        plain = checkpointed(plain_texts(rows, min_words))
+        #: field, side, a, b, id of every row; a and b name its class
+        self.members = plain.select("field", "side", "a", "b", "id").distinct()
+        texts = plain.select("field", "side", "a", "b", "plain").distinct()
+        found = _grid(texts, least_coverage, similarity, spare_words)
+        #: a_e, b_e, a_t, b_t, coverage of every pair of classes
+        self.classes = found.filter(near(F.col("e"), F.col("t"), similarity, spare_words)).drop("e", "t")
+
+    def _side(self, s: str) -> DataFrame:
+        return self.members.filter(F.col("side") == s).select("field", F.col("a").alias(f"a_{s}"), F.col("b").alias(f"b_{s}"), F.col("id").alias(f"id_{s}"))
+
+    def pairs(self) -> DataFrame:
+        """field, id_eval, id_train, coverage of every pair of rows, those of one id with itself too."""
+        out = self.classes.join(self._side("e"), ["a_e", "b_e"]).join(self._side("t"), ["field", "a_t", "b_t"])
+        return out.select("field", F.col("id_e").alias("id_eval"), F.col("id_t").alias("id_train"), "coverage")
+
+    def records(self) -> DataFrame:
+        """field, id_eval, copies, coverage: for each evaluation row with a copy, how many training rows (with its own id
+        or another) hold it and the highest coverage. Copies are counted by class, not expanded."""
+        size = self.members.filter(F.col("side") == "t").groupBy(F.col("a").alias("a_t"), F.col("b").alias("b_t")).agg(F.count("*").alias("n"))
+        per = self.classes.join(size, ["a_t", "b_t"]).groupBy("a_e", "b_e").agg(F.sum("n").alias("copies"), F.max("coverage").alias("coverage"))
+        return per.join(self._side("e"), ["a_e", "b_e"]).select("field", F.col("id_e").alias("id_eval"), "copies", "coverage")
+
+
+def cross_split_copies(rows: DataFrame, **options) -> DataFrame:
+    """field, id_eval, id_train, coverage of every pair of an evaluation and a training row of different ids; see Copies."""
+    return Copies(rows, **options).pairs().filter(F.col("id_eval") != F.col("id_train"))
