@@ -39,6 +39,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, over at least as many partitions as there are cores.
+
+    For stages that cost much more than their bytes. Only input in fewer partitions than cores (a few small files) is
+    shuffled; large input has more already and stays where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, its lineage cut.
 
