@@ -21,7 +21,18 @@ PASSAGE = "In 1769, Dora Lifted the foreign crown in the mountain hut, because K
         ("Where was it that Kel sold the radio?", "im Kloster", PASSAGE, ["wrong_language"]),
         ("How can I do it?", "I'm sorry, but I can't help with that.", None, ["refusal"]),
         ("Wie kann ich das tun?", "Diese Frage kann ich leider nicht beantworten.", None, ["refusal"]),
-        ("Wie kann ich das tun?", "I can't help you with that, I am not able to.", None, ["wrong_language"]),
+        ("Wie kann ich das tun?", "I can't help you with that, I am not able to.", None, ["wrong_language", "refusal"]),
+        ("Where is the key to the old hut?", "Je ne peux pas répondre à cette question.", None, ["wrong_language", "refusal"]),
+        ("Where is the key to the old hut?", "Mi dispiace, non posso aiutarti con questo.", None, ["wrong_language", "refusal"]),
+        ("Where is the key to the old hut?", "Sorry, ik kan je daar niet mee helpen.", None, ["wrong_language", "refusal"]),
+        ("Hoe kan ik het doen met een touw?", "Sorry, ik kan je daar niet mee helpen.", None, ["refusal"]),
+        ("Onde está a chave da casa?", "Desculpe, não posso ajudar com isso.", None, ["refusal"]),
+        ("¿Dónde está la llave de la casa?", "Lo siento, no voy a ayudarte con eso.", None, ["refusal"]),
+        ("How do you get by?", "I am unable to reach the store, so I cook rice with what is left.", None, []),
+        ("How do you get by?", "I can't find the key, so I use the back door.", None, []),
+        ("How do you get by?", "I can't.", None, ["refusal"]),
+        ("How can I do it?", "I'm sorry, but I cannot help with the (", None, ["refusal", "truncated"]),
+        ("What is the capital of the old empire?", "What is the capital of", None, ["copied_question", "truncated"]),
         ("How can I do it?", "I can't recommend this enough: try it.", None, []),
         ("How can I do it?", "I'm sorry for the confusion earlier. Try it.", None, []),
         ("What is the best way to test it?", "You asked: What is the best way to tset it?", None, ["copied_question"]),
@@ -49,28 +60,46 @@ def test_pairs_of_a_chat(spark):
         [("a", m((" User", "q1"), ("system", "s"), ("GPT", "r1"), ("bot", "r2"), ("human", "q2"), ("tool", "t"))), ("a", m(("user", "again"))), ("b", m(("assistant", "r"), ("user", None), (None, "x"))), ("c", []), ("d", None)],
         "id string, messages array<struct<role:string,content:string>>",
     ).filter("id <> 'a' or size(messages) = 6")
+    assert [r["row"] for r in pairs.chat_pairs(df).collect()] == [None] * 3
     got = {(r["id"], r["turn"]): (r["question"], r["answer"]) for r in pairs.chat_pairs(df).collect()}
     assert got == {("a", 0): ("q1", "r1"), ("a", 4): ("q2", None), ("b", 1): (None, None)}
 
 
-def test_open_ends_are_settled_by_the_corpus(spark):
-    texts = spark.createDataFrame([("She saw the blue mirror. He saw the blue barrel in the hut.",), ("It was the blue vase, near the barrel.",), (None,), ("",)], "t string")
-    ends = pairs.phrase_ends(texts, "t", "c")
+PAIRS = "dataset string, id string, row long, turn int, question string, answer string, context string"
+
+
+def test_open_ends_are_settled_by_all_passages(spark):
+    texts = spark.createDataFrame([("She saw the blue mirror. He saw the blue barrel in the hut.",), ("It was the blue vase, near the barrel.",), ("It was the blue vase, near the barrel.",), (None,), ("",)], "t string")
+    ends = pairs.phrase_ends(texts, "t")
     got = {r["item"]: (r["n"], r["closed"]) for r in ends.collect()}
-    assert got["c:blue"] == (3, 0) and got["c:barrel"] == (2, 2)
+    assert got["blue"] == (3, 0) and got["barrel"] == (2, 2)
     ask = spark.createDataFrame(
-        [("d", "1", 0, "What?", "the blue", "x the blue mirror."), ("d", "2", 0, "What?", "the barrel", "x the barrel mirror."), ("d", "3", 0, None, None, None)],
-        "dataset string, id string, turn int, question string, answer string, context string",
+        [
+            ("d", "1", None, 0, "What?", "the blue", "x the blue mirror."),
+            ("d", "2", None, 0, "What?", "the barrel", "x the barrel mirror."),
+            ("d", "3", None, 0, None, None, None),
+            ("d", "4", None, 0, "What?", "the green", "x the green mirror."),
+        ],
+        PAIRS,
     )
     found = {r["id"]: r["defects"] for r in pairs.defects(ask, ends).collect()}
     assert found == {"1": ["truncated"], "3": ["empty"]}
     assert pairs.defects(ask.limit(0), ends).count() == 0
 
 
-def test_a_chance_end_clears_no_broken_item(spark):
-    ends = spark.createDataFrame([("r:the blue", 100, 4), ("r:blue", 200, 20), ("r:a barrel", 100, 5), ("r:barrel", 200, 20)], "item string, n long, closed long")
-    ask = spark.createDataFrame(
-        [("d", i, 0, "How can I do it?", f"1. Use a rope\n2. Hold {x}", None) for i, x in (("1", "the blue"), ("2", "a barrel"))],
-        "dataset string, id string, turn int, question string, answer string, context string",
+def test_verdicts_do_not_move_with_the_number_of_passages(spark):
+    ask = spark.createDataFrame([("d", str(i), None, 0, "What?", f"the {w}", f"x the {w} mirror.") for i, w in enumerate(("blue", "barrel", "odd"))], PAIRS)
+    for k in (1, 10, 1000):
+        ends = spark.createDataFrame([("blue", 20 * k, k), ("barrel", 20 * k, 19 * k), ("odd", 1, 0)], "item string, n long, closed long")
+        assert {r["id"]: r["defects"] for r in pairs.defects(ask, ends).collect()} == {"0": ["truncated"]}
+
+
+def test_rows_without_an_id_and_rows_delivered_again(spark):
+    chats = spark.createDataFrame(
+        [(i, [("user", q), ("assistant", a)]) for i, q, a in ((None, "How?", ""), (None, "How?", ""), (None, "Why?", ""), (None, "Why?", "Because it rains."), ("a", "How?", ""), ("a", "How?", ""))],
+        "id string, messages array<struct<role:string,content:string>>",
     )
-    assert {r["id"]: r["defects"] for r in pairs.defects(ask, ends).collect()} == {"1": ["truncated"]}
+    ends = spark.createDataFrame([], "item string, n long, closed long")
+    assert [tuple(r) for r in pairs.defects(pairs.chat_pairs(chats), ends).orderBy("id").collect()] == [("ultrachat_200k", None, 0, ["empty"])] * 2 + [("ultrachat_200k", "a", 0, ["empty"])]
+    spoken = spark.createDataFrame([(None, None, None, None), (None, "q", None, None), ("b", "q", "", None), ("b", "q", "", None)], "id string, question string, answer_text string, context_text string")
+    assert pairs.defects(pairs.question_pairs(spoken), ends).count() == 3

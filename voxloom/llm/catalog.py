@@ -35,11 +35,10 @@ def _split_passages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_defects(spark: SparkSession, root: str) -> DataFrame:
-    """Defective pairs with every defect, in order."""
+    """Defective pairs with every defect, in the order in which they count."""
     spoken, chats = table(spark, root, "spoken_squad_sample"), table(spark, root, "ultrachat_sample")
-    replies = chats.select(F.explode("messages").alias("m")).filter(F.lower(F.trim("m.role")).isin(*pairs.ASSISTANT)).select("m.content")
-    ends = pairs.phrase_ends(spoken, "context_text", "c").unionByName(pairs.phrase_ends(replies, "content", "r"))
-    return pairs.defects(pairs.question_pairs(spoken).unionByName(pairs.chat_pairs(chats)), ends)
+    both = pairs.question_pairs(spoken).unionByName(pairs.chat_pairs(chats))
+    return pairs.defects(both, pairs.phrase_ends(spoken, "context_text"))
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:

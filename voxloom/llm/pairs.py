@@ -1,30 +1,38 @@
 """Defective prompt and response pairs, by ordered rules.
 
-Each pair passes rules for emptiness, refusals in several languages, copied questions, language or script other
-than the question's, and broken-off ends (unclosed delimiters, abrupt last words). Every rule that fires adds its
-defect, so a pair carries all of them in order; the first one counts where a single type is asked for.
-
-Whether a last word can end a phrase cannot be told from the pair alone ("the blue" and "the barrel" look alike).
-Such pairs go to a second step, where the corpus itself answers: how often that word (in a chat: the last two)
-is followed by the end of a phrase anywhere in the passages and replies.
+Each pair passes rules for emptiness, refusals in several languages, copied questions and copied beginnings of them,
+language or script other than the question's, and broken-off ends (unclosed delimiters, abrupt last words). Every rule
+that fires adds its defect; they stand in the order in which they count, so the first is the one where a single type is
+asked for. A refusal counts before all but emptiness, unless it is in another language than the question.
+
+Whether the last word of a span of a passage can end a phrase cannot be told from the pair alone ("the blue" and "the
+barrel" look alike). Such pairs go to a second step, where all passages answer: the share of that word's occurrences
+at which a phrase ends. It is a share, so it does not move with the number of passages; only a word that stands
+nowhere but in the pair's own passage is left undecided, and the pair is then sound.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.runtime import checkpointed
+from voxloom.runtime import spread
 
-#: In the order in which they count.
+#: In the order in which they count; a refusal in another language counts as that first.
 DEFECTS = ("empty", "refusal", "copied_question", "wrong_language", "truncated")
 
+#: A word that ends a phrase at a lesser share of its occurrences cannot end an answer.
+LEAST_CLOSED = 0.25
+
 USER = ("user", "human")
 ASSISTANT = ("assistant", "gpt", "bot")
 
@@ -39,7 +47,7 @@ _TELLING = {
     "pt": "os um uma é do da em não que para com na ao foi você",
 }
 _TELL = {lang: frozenset(w.split()) for lang, w in _TELLING.items()}
-_TELLS = {w: [lang for lang in _TELL if w in _TELL[lang]] for w in frozenset().union(*_TELL.values())}
+_TELLS = {w: tuple(lang for lang in _TELL if w in _TELL[lang]) for w in frozenset().union(*_TELL.values())}
 
 # Words after which a phrase goes on.
 _OPEN = frozenset(
@@ -51,11 +59,16 @@ _OPEN = frozenset(
 # Words that may follow a complete phrase.
 _NEXT = _OPEN | frozenset("so early late yesterday today tomorrow again last many two first once also without early in also later then according during there here".split())
 
-_CANT = r"(?:can(?:not|'?t| not)|won'?t|will not|(?:am|'m|are|'re) (?:unable|not (?:able|permitted|allowed|comfortable|in a position|going))|couldn'?t possibly|must (?:decline|refuse|pass)|have to (?:decline|refuse|pass)|will have to (?:decline|pass)|(?:would|'d) (?:rather|prefer) not|prefer not|do(?: not|n'?t) (?:feel comfortable|have the ability|have permission|wish to|want to (?:answer|discuss|talk))|(?:have|'ve) been (?:told|instructed|asked) not|decline to|refuse to|respectfully decline)"
+# How one declines to answer. What one cannot do is a refusal only before a verb of answering or helping
+# ("I cannot find the key" is none).
+_SERVE = r"(?:help|assist|support|serve|answer|respond|reply|discuss|comment|say|speak|talk|tell|explain|describe|advise|disclose|reveal|share|provide|offer|give|supply|continue|comply|engage|participate|take part|go (?:into|there)|look (?:at|into)|listen|read|see that|view|access|write|create|generate|produce|complete|process|fulfil|fulfill|accommodate|do (?:that|this|it|so)|be (?:of help|able))\b"
+_UNABLE = r"(?:can(?:not|'?t| not)|won'?t|will not|couldn'?t|could not|(?:am|'m|are|'re) (?:unable to|not (?:able|going) to)|(?:do not|don'?t) have the ability to)"
+_DECLINE = r"(?:(?:am|'m|are|'re) not (?:permitted|allowed|comfortable|in a position)|couldn'?t possibly|must (?:decline|refuse|pass)|have to (?:decline|refuse|pass)|will have to (?:decline|pass)|(?:would|'d) (?:rather|prefer) not|prefer not|do(?: not|n'?t) (?:feel comfortable|have permission|wish to|want to (?:answer|discuss|talk))|(?:have|'ve) been (?:told|instructed|asked) not|decline to|refuse to|respectfully decline)"
+_CANT = rf"(?:{_DECLINE}|{_UNABLE}(?:\s+\w+ly)?(?:\s+{_SERVE}|\s*(?:[.!;]|$)))"
 _REFUSALS = [
     re.compile(p, re.I)
     for p in (
-        rf"\b(?:i|we)\b ?(?:(?:really|simply|just|therefore|also|regret that i|am sorry,? but i|am afraid i|'m afraid i) )?{_CANT}(?!\s+(?:\w+\s+){{0,4}}?enough\b)(?!\s+(?:wait|help but|complain|believe how|agree more|thank)\b)",
+        rf"\b(?:i|we)\b ?(?:(?:really|simply|just|therefore|also|regret that i|am sorry,? but i|am afraid i|'m afraid i) )?{_CANT}(?!\s+(?:\w+\s+){{0,4}}?enough\b)(?!\s+but\b)",
         r"\b(?:it )?(?:is|would|was)(?: not|n'?t)(?: be)? (?:possible|appropriate|right|proper|suitable|advisable) for me\b|\b(?:impossible|inappropriate) for me to\b",
         r"\b(?:i|we) (?:do not|don'?t|must not|may not|shouldn'?t|should not|could not|couldn'?t) (?:answer|discuss|comment|provide (?:that|this|such)|share (?:that|this|such)|give (?:advice|out)|engage|respond|take part|do (?:that|this) for you)\b",
         r"\bnot (?:something|a (?:topic|question|subject|request)) (?:that )?i(?:'m| am| can| could|'d)\b|\bnot at liberty\b|\bbeyond what i(?: can|'m| am)\b|\bi(?:'ll| will| would|'d)? (?:prefer|choose|rather)(?: to)? not\b|\bi(?:'d| would) prefer to pass\b",
@@ -70,9 +83,20 @@ _REFUSALS = [
         # French
         r"\bje ne (?:peux|puis|suis|veux|souhaite|dois)\b[^.!?]{0,30}\b(?:pas|rien)\b(?![^.!?]*\bassez\b)|\bje (?:refuse|préfère ne pas|dois (?:refuser|décliner))|\bil m'est impossible\b|\bpas en mesure de\b",
         # Spanish
-        r"(?<!\w)no (?:puedo|me es posible|estoy (?:autorizad|en condiciones)|tengo permitido|quiero (?:responder|hablar))(?![^.!?]*\bsuficiente)|\b(?:debo|tengo que) (?:rechazar|declinar)|\bprefiero no\b|\bme (?:resulta|es) imposible\b",
+        r"(?<!\w)no (?:puedo|me es posible|estoy (?:autorizad|en condiciones)|tengo permitido|quiero (?:responder|hablar)|voy a (?:poder|ayudar|responder|contestar|hablar|dar|hacer)\w*)(?![^.!?]*\bsuficiente)|\b(?:debo|tengo que) (?:rechazar|declinar)|\bprefiero no\b|\bme (?:resulta|es) imposible\b",
+        # Italian
+        r"\bnon (?:posso|sono (?:in grado|autorizzat\w+)|mi è (?:possibile|permesso|consentito)|intendo|voglio (?:rispondere|parlare))\b(?![^.!?]*\babbastanza\b)|\b(?:devo|dovrei) (?:rifiutare|declinare)\b|\bpreferisco non\b|\bmi è impossibile\b|\bmi rifiuto\b",
+        # Dutch
+        r"\bik (?:kan|mag|wil|zal)\b(?![^.!?]*\bgenoeg\b)[^.!?]{0,60}\b(?:niet|geen|niets)\b|\b(?:kan|mag|wil|zal) ik\b(?![^.!?]*\bgenoeg\b)[^.!?]{0,80}\b(?:niet|geen|niets)\b|\bik weiger\b|\bik moet\b[^.!?]{0,40}\bweigeren\b|\bik ben niet (?:in staat|bevoegd)\b|^\W*geen commentaar\b",
+        # Portuguese
+        r"\bnão (?:posso|consigo|me é (?:possível|permitido)|estou (?:autorizad\w+|em condições)|tenho (?:permissão|autorização)|quero (?:responder|falar)|vou (?:poder|ajudar|responder|falar|dar|fazer)\w*)(?![^.!?]*\bsuficiente)|\b(?:devo|tenho (?:de|que)) (?:recusar|declinar)\b|\bprefiro não\b|\bé-me impossível\b|\brecuso-me\b",
     )
 ]
+# Each pattern above asks for one of these words, so a reply without any is no refusal.
+_DECLINES = frozenset(
+    "not cannot can't cant won't wont couldn't couldnt unable decline refuse pass don't dont isn't isnt wasn't wasnt wouldn't wouldnt mustn't mustnt shouldn't shouldnt doesn't doesnt impossible inappropriate beyond prefer rather choose no outside against falls "
+    "nicht nichts kein keine keinen keinem keiner keines keinerlei ablehnen lehne ne refuse préfère dois m'est pas rechazar declinar prefiero imposible non devo dovrei rifiutare declinare preferisco impossibile rifiuto niet geen niets weiger weigeren não recusar prefiro impossível recuso recuso-me".split()
+)
 
 _NOTHING = re.compile(r"^\W*(?:n\W?a|null|nil|nan|none|empty|blank|undefined|no (?:answer|reply|response|content)|keine antwort|leer|aucune réponse|vide|sin respuesta|vacío)\W*$", re.I)
 _MARK = re.compile(r"^(?:\s*<(?:text|speech)>\s*)+", re.I)
@@ -95,13 +119,16 @@ def _words(text: str) -> list[str]:
 
 def language(words: list[str]) -> tuple[str | None, int]:
     """The language most telling words speak for and how many they are; None without a clear one."""
-    n: Counter = Counter()
+    n: dict[str, int] = {}
     for w in words:
         for part in w.split("'") if "'" in w else (w,):
-            if part in _TELLS:
-                n.update(_TELLS[part])
-    top = n.most_common(2)
-    return top[0] if len(top) == 1 or len(top) == 2 and top[0][1] > top[1][1] else (None, 0)
+            for lang in _TELLS.get(part, ()):
+                n[lang] = n.get(lang, 0) + 1
+    if not n:
+        return None, 0
+    most = max(n.values())
+    top = [lang for lang in n if n[lang] == most]
+    return (top[0], most) if len(top) == 1 else (None, 0)
 
 
 def _script(text: str) -> str | None:
@@ -119,8 +146,16 @@ def _like(a: str, b: str) -> bool:
 
 
 def copies_question(question: list[str], answer: list[str]) -> bool:
-    """Whether an answer is the question again (perhaps twice, with slips or a lead-in) and nothing else."""
-    if len(question) < 3 or len(answer) < 0.7 * len(question):
+    """Whether an answer is the question again (perhaps twice, with slips or a lead-in) or its beginning, and nothing else."""
+    if len(question) < 3 or len(answer) < 3:
+        return False
+    if len(answer) >= 0.3 * len(question) and answer == question[: len(answer)]:
+        return True
+    if len(answer) < 0.7 * len(question):
+        return False
+    # matching blocks hold no more words than both have in common
+    left = Counter(answer)
+    if sum(min(n, left[w]) for w, n in Counter(question).items()) < 0.6 * len(question):
         return False
     rest, covered, asked = answer, 0, set(question)
     for _ in range(3):  # once more for each repetition
@@ -135,212 +170,211 @@ def copies_question(question: list[str], answer: list[str]) -> bool:
     return covered >= 0.6 * len(question) and all(w in _LEAD_IN or any(_like(w, q) for q in asked) for w in rest)
 
 
+@lru_cache(maxsize=2048)
+def _laid_out(context: str) -> tuple[str, list[int], list[int]]:
+    """The plain words of a passage, each after a blank; where each stands there, and where it ends in the passage."""
+    low = context.lower().replace("’", "'")
+    if len(low) != len(context):  # a few capitals get longer
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in context).replace("’", "'")
+    found = [(m[0], m.end()) for m in _WORD.finditer(low)]
+    plain = [w for w, _ in found]
+    return " " + " ".join(plain), [0, *accumulate(len(w) + 1 for w in plain)][:-1], [e for _, e in found]
+
+
 def _spans(answer: list[str], context: str) -> tuple[str | None, str | None]:
     """How a passage goes on after an answer: 'inside' a word, at the 'edge' of a phrase, or 'on' (with the answer's
     last word to look up); None if it does not hold the answer."""
-    found = list(re.finditer(r"\b" + r"\W+".join(map(re.escape, answer)), context, re.I)) if answer else []
+    if not answer:
+        return None, None
+    plain, starts, ends = _laid_out(context)
+    span, found, inside = " " + " ".join(answer), False, True
+    at = plain.find(span)
+    while at >= 0:
+        found, stop = True, at + len(span)
+        if stop == len(plain) or plain[stop] in " '":
+            inside = False
+            if plain[stop : stop + 1] != "'":
+                rest = context[ends[bisect_right(starts, stop - 1) - 1] :][:40]
+                nxt = re.match(r"\s+(\w+)", rest)
+                if not nxt or nxt[1].lower() in _NEXT or nxt[1].isdigit():
+                    return "edge", None
+        at = plain.find(span, at + 1)
     if not found:
         return None, None
-    after = [context[m.end() : m.end() + 40] for m in found]
-    if all(re.match(r"\w", x) for x in after):
-        return "inside", None
-    for x in after:
-        nxt = re.match(r"\s+(\w+)", x)
-        if not re.match(r"\w", x) and (not nxt or nxt[1].lower() in _NEXT or nxt[1].isdigit()):
-            return "edge", None
-    return "on", answer[-1]
-
-
-def judge(question: str | None, answer: str | None, context: str | None = None) -> tuple[list[str], list[str]]:
-    """The defects of a pair in order, and what to look up about its end ([] if nothing is open): the last word in
-    passages as 'c:word', or the last word and last two in replies as 'r:word' and 'r:two words'."""
-    text = _INVISIBLE.sub(lambda m: m[0] if m[0].isspace() else "", answer or "")
+    return ("inside", None) if inside else ("on", answer[-1])
+
+
+def judge(question: str | None, answer: str | None, context: str | None = None) -> tuple[list[str], str | None]:
+    """The defects of a pair, in the order in which they count, and the last word to look up in all passages if only they
+    can tell whether the reply is truncated too."""
+    text = _INVISIBLE.sub(lambda m: m[0] if m[0].isspace() else "", answer or "") if answer and not answer.isprintable() else answer or ""
     text = _MARK.sub("", text).strip()
     if not any(c.isalnum() for c in text):
-        return ["empty"], []
+        return ["empty"], None
     asked = _MARK.sub("", question or "").strip()
-    plain = _FENCE.sub(" ", text)
+    plain = _FENCE.sub(" ", text) if "```" in text else text
     q, a = _words(asked), _words(plain)
     span, last = _spans(a, context) if context else (None, None)
     if _NOTHING.match(text) and not (span == "edge" and text[0].isalnum() and text in (context or "")):
-        return ["empty"], []
-    out: list[str] = []
+        return ["empty"], None
     quoted = span in ("edge", "on")
     q_lang, _ = language(q)
     a_lang, telling = language(a)
-    own = sum(w in _TELL[q_lang] for w in a) if q_lang else 0
+    own = sum(w in _TELL[q_lang] for w in a) if q_lang and a_lang != q_lang else 0
     foreign = bool(q_lang and a_lang and a_lang != q_lang and telling > 2 * own) or (_script(asked) == "latin" and _script(plain) == "other")
-    asks_copy = bool(_ASKS_COPY.search(asked))
-    if not quoted and any(p.search(text.replace("’", "'")) for p in _REFUSALS):
-        # a refusal in another language is a reply in another language first
-        out.append("wrong_language" if foreign else "refusal")
-    if not quoted and (not asks_copy or a[:3] == q[:3]) and copies_question(q, a):
-        out.append("copied_question")
-    if not quoted and foreign and not out and not _ASKS_LANGUAGE.search(asked) and not (asks_copy and " ".join(a) in " ".join(q)):
-        out.append("wrong_language")
+    refused = copied = False
+    if not quoted:
+        refused = not (_DECLINES.isdisjoint(a) and "```" not in text) and any(p.search(text.replace("’", "'")) for p in _REFUSALS)
+        asks_copy = bool(_ASKS_COPY.search(asked)) if foreign or a[:3] == q[:3] or len(a) >= 0.7 * len(q) else False
+        copied = (not asks_copy or a[:3] == q[:3]) and copies_question(q, a)
+        asked_for = bool(_ASKS_LANGUAGE.search(asked)) or asks_copy and " ".join(a) in " ".join(q) if foreign else False
+    # a refusal in another language is a reply in another language first
+    wrong = not quoted and foreign and (refused or not (copied or asked_for))
     cut, look = _broken(text, asked, a, span, last, bool(context))
-    if cut:
-        out.append("truncated")
-    return sorted(out, key=DEFECTS.index), [] if out else look
+    kinds = ("wrong_language", "refusal", "copied_question", "truncated") if foreign else ("refusal", "copied_question", "wrong_language", "truncated")
+    fired = {"refusal": refused, "copied_question": copied, "wrong_language": wrong, "truncated": cut}
+    return [k for k in kinds if fired[k]], look
 
 
-def _broken(text: str, asked: str, a: list[str], span: str | None, last: str | None, on_passage: bool) -> tuple[bool, list[str]]:
-    """Whether a reply stops before its end, or what the corpus must be asked to tell. Answers on a passage are mostly
+def _broken(text: str, asked: str, a: list[str], span: str | None, last: str | None, on_passage: bool) -> tuple[bool, str | None]:
+    """Whether a reply stops before its end, or the word that all passages must be asked about to tell. Answers on a passage are mostly
     bare spans, so they need no mark at the end."""
     if text.count("```") % 2 or _BARE_ITEM.search(text):
-        return True, []
-    prose = _FENCE.sub(" ", text).rstrip()
+        return True, None
+    prose = (_FENCE.sub(" ", text) if "```" in text else text).rstrip()
     if text.endswith("```") or not a:
-        return False, []
+        return False, None
     if any(prose.count(x) > prose.count(y) for x, y in ("()", "[]", "{}", "“”", "«»")) and not prose.endswith((":)", ";)")):
-        return True, []
+        return True, None
     if re.search(r"(?:[,;–—(\[{/&+=]|\s-|\w-)$", prose) or re.search(r"\w\s*(?:\.\.\.|…)$", prose):
-        return True, []
+        return True, None
     ended = bool(re.search(r"[.!?。！？]['\"”’»)\]*_]*$", prose))
     title = len(a) > 1 and all(w[0].isupper() or w[0].isdigit() for w in _WORD.findall(prose))
     if span is not None:
         if span == "inside":
-            return True, []
+            return True, None
         if ended or title:
-            return False, []
+            return False, None
         if a[-1] in _OPEN:
-            return True, []
+            return True, None
         # a name may be followed by anything; a phrase that an article or preposition opened may not
-        return False, ["c:" + re.sub(r"\d", "0", last)] if span == "on" and last and a[0] in _OPEN else []
+        return False, re.sub(r"\d", "0", last) if span == "on" and last and a[0] in _OPEN else None
     if ended or (not ended and _SIGN_OFF.search(prose)):
-        return False, []
+        return False, None
     if a[-1] in _OPEN and not title:
-        return True, []
+        return True, None
     if prose.endswith(":"):
-        return True, []
+        return True, None
     if not re.search(r"\w$", prose):  # an emoji or other mark closes the text
-        return False, []
-    asked_words = " ".join(_words(asked))
-    if _ASKS_COPY.search(asked) and asked_words.endswith(" ".join(a)) and not re.search(r"[.!?]$", asked):
-        return False, []
+        return False, None
+    if _ASKS_COPY.search(asked) and " ".join(_words(asked)).endswith(" ".join(a)) and not re.search(r"[.!?]$", asked):
+        return False, None
     if on_passage:
-        return False, []
+        return False, None
     if len(a) <= 3:
-        return not (_ASKS_SHORT.search(asked) or title), []
+        return not (_ASKS_SHORT.search(asked) or title), None
     lines = [x for x in prose.split("\n") if x.strip()]
     if _ITEM.match(lines[-1]):
         items = [x for x in lines[:-1] if _ITEM.match(x)]
         if items and all(re.search(r"[.!?]$", x.rstrip()) for x in items):
-            return True, []
-        two = re.sub(r"\d", "0", " ".join(a[-2:]))
-        cased = _WORD.findall(prose)[-1][0].isupper()
-        return False, [f"r:{two.split(' ')[-1]}", f"r:{two}", *(["cased"] if cased else [])]
-    return True, []
+            return True, None
+        return False, None  # the others have no mark either
+    return True, None
+
+
+_PLACE = re.compile(r"([^\W_]+(?:['’][^\W_]+)*)(?=(\s*[^\w\s'’-])?(?:\s*([^\W_]+(?:['’][^\W_]+)*))?)")
 
 
-def _ends(text: str, mark: str) -> Counter:
-    """For each word (and in replies each two words): 1 for every time it stands, 1j for every time a phrase ends there."""
-    n: Counter = Counter()
+def _ends(text: str, n: dict[str, list[int]]) -> None:
+    """Adds to n, for each word of a text, how often it stands there and how often a phrase ends after it: before a mark,
+    a word that may follow a phrase, or the end of a line."""
     for line in text.split("\n"):
-        tokens = [(m[0].lower().replace("’", "'"), m.end()) for m in _WORD.finditer(line)]
-        tokens = [(re.sub(r"\d", "0", w), e) for w, e in tokens]
-        final = line.rstrip()
-        for i, (w, e) in enumerate(tokens):
-            rest = line[e : e + 3]
-            if i + 1 == len(tokens):
-                if mark == "r" and text.rstrip().endswith(final) and not re.search(r"[.!?]$", final):
-                    continue  # it may be cut itself
-                closed = True
-            elif mark == "c":
-                closed = bool(re.match(r"\s*[^\w\s'’-]", rest)) or tokens[i + 1][0] in _NEXT
-            else:
-                closed = bool(re.match(r"[.!?]", rest))
-            n[f"{mark}:{w}"] += 1 + 1j * closed
-            if mark == "r" and i:
-                n[f"r:{tokens[i - 1][0]} {w}"] += 1 + 1j * closed
-    return n
-
-
-def phrase_ends(texts: DataFrame, column: str, mark: str) -> DataFrame:
-    """item, n, closed over all texts of a column: counted in each batch, then summed."""
+        tokens = _PLACE.findall(line)
+        for i, (w, mark, follows) in enumerate(tokens):
+            w = w.lower().replace("’", "'")
+            if not w.isalpha():
+                w = re.sub(r"\d", "0", w)
+            got = n.get(w)
+            if got is None:
+                got = n[w] = [0, 0]
+            got[0] += 1
+            if mark or i + 1 == len(tokens) or follows.lower() in _NEXT:
+                got[1] += 1
+
+
+def phrase_ends(texts: DataFrame, column: str) -> DataFrame:
+    """item, n, closed over all different texts of a column: how often each word stands there, and at the end of a phrase.
+    Counted in each batch, then summed. Null and empty texts hold no word."""
 
     def run(batches):
         for b in batches:
-            n: Counter = Counter()
+            n: dict[str, list[int]] = {}
             for t in b.column(0).to_pylist():
-                if t:
-                    n.update(_ends(_MARK.sub("", t), mark))
+                _ends(_MARK.sub("", t), n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(n), pa.string()), pa.array([int(v.real) for v in n.values()], pa.int64()), pa.array([int(v.imag) for v in n.values()], pa.int64())],
+                [pa.array(list(n), pa.string()), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())],
                 names=["item", "n", "closed"],
             )
 
-    return texts.select(column).mapInArrow(run, "item string, n long, closed long").groupBy("item").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"))
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    """Each id once. The number of partitions is set, for adaptive execution would merge them by their few bytes and
-    leave the rules, which cost much more than bytes, to a few tasks."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "id").dropDuplicates(["id"])
+    once = texts.select(column).filter(F.length(column) > 0).distinct()
+    return once.mapInArrow(run, "item string, n long, closed long").groupBy("item").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"))
 
 
 def chat_pairs(chats: DataFrame, dataset: str = "ultrachat_200k") -> DataFrame:
-    """dataset, id, turn, question, answer, context (null) for each user message of each chat, each id once.
+    """dataset, id, row, turn, question, answer, context (null) for each user message of each chat.
 
     The reply is the first assistant message after it and before the next user message, null without one. Null
-    messages and roles are neither; null lists give no row.
+    messages and roles are neither; null lists give no row. `row` is null, but for chats without an id a hash of
+    their messages, which tells them apart.
     """
     role = lambda m: F.lower(F.trim(F.regexp_replace(m["role"], r"(?U)^\s+|\s+$", "")))
     kinds = F.transform("messages", lambda m: F.when(role(m).isin(*USER), "u").when(role(m).isin(*ASSISTANT), "a").otherwise("-"))
-    rows = _once(chats.select("id", "messages", F.array_join(kinds, "").alias("kinds")))
-    turn = rows.select("id", "messages", "kinds", F.posexplode("messages").alias("turn", "message"))
+    row = F.when(F.col("id").isNull(), F.xxhash64("messages"))
+    rows = spread(chats.select("id", "messages")).select("id", row.alias("row"), "messages", F.array_join(kinds, "").alias("kinds"))
+    turn = rows.select("id", "row", "messages", "kinds", F.posexplode("messages").alias("turn", "message"))
     turn = turn.filter(F.expr("substring(kinds, turn + 1, 1) = 'u'"))
     # the roles up to the next user message, and the place of the first reply in them
     after = F.expr("substring_index(substring(kinds, turn + 2), 'u', 1)")
     place = F.instr(after, "a")
     return turn.select(
-        F.lit(dataset).alias("dataset"), "id", "turn", F.col("message.content").alias("question"),
+        F.lit(dataset).alias("dataset"), "id", "row", "turn", F.col("message.content").alias("question"),
         F.when(place > 0, F.get("messages", F.col("turn") + place)["content"]).alias("answer"), F.lit(None).cast("string").alias("context"),
     )
 
 
 def question_pairs(rows: DataFrame, dataset: str = "spoken_squad") -> DataFrame:
-    """dataset, id, turn 0, question, answer, context of each question on a passage, each id once."""
-    one = _once(rows.select("id", "question", "answer_text", "context_text"))
-    return one.select(F.lit(dataset).alias("dataset"), "id", F.lit(0).alias("turn"), "question", F.col("answer_text").alias("answer"), F.col("context_text").alias("context"))
+    """dataset, id, row, turn 0, question, answer, context of each question on a passage; `row` as in chat_pairs."""
+    one = spread(rows.select("id", "question", "answer_text", "context_text"))
+    row = F.when(F.col("id").isNull(), F.xxhash64("question", "answer_text", "context_text"))
+    return one.select(F.lit(dataset).alias("dataset"), "id", row.alias("row"), F.lit(0).alias("turn"), "question", F.col("answer_text").alias("answer"), F.col("context_text").alias("context"))
 
 
 def defects(pairs: DataFrame, ends: DataFrame) -> DataFrame:
-    """dataset, id, turn, defects (in order) of every pair that has any.
+    """dataset, id, turn, defects (in the order in which they count) of every pair that has any.
 
-    `ends` is phrase_ends over the passages and replies; only the pairs whose end is open are joined with it. A
-    null or blank question is no defect; without it nothing is copied and no language is wrong.
+    Pairs delivered again come out once; where the content under one id differs, its first defects by name count. Rows
+    without an id stay apart by their content. `ends` is phrase_ends over the passages; only the pairs whose end is
+    open are joined with it. A null or blank question is no defect; without it nothing is copied and no language is
+    wrong. No text is shuffled: pairs are judged where they lie, and only their defects are brought together.
     """
+    names = ["dataset", "id", "row", "turn"]
 
     def run(batches):
         for b in batches:
-            found, look = [], []
-            for q, a, c in zip(*(b.column(x).to_pylist() for x in ("question", "answer", "context")), strict=True):
+            at, found, look = [], [], []
+            for i, (q, a, c) in enumerate(zip(*(b.column(x).to_pylist() for x in ("question", "answer", "context")), strict=True)):
                 d, k = judge(q, a, c)
-                found.append(d), look.append(k)
+                if d or k:
+                    at.append(i), found.append(d), look.append(k)
+            take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(x) for x in ("dataset", "id", "turn")), pa.array(found, pa.list_(pa.string())), pa.array(look, pa.list_(pa.string()))],
-                names=["dataset", "id", "turn", "defects", "look"],
+                [*(b.column(x).take(take) for x in names), pa.array(found, pa.list_(pa.string())), pa.array(look, pa.string())],
+                names=[*names, "defects", "look"],
             )
 
-    judged = pairs.select("dataset", "id", "turn", "question", "answer", "context")
-    judged = judged.mapInArrow(run, "dataset string, id string, turn int, defects array<string>, look array<string>")
-    # few and thin rows, read twice below
-    judged = checkpointed(judged.filter((F.size("defects") > 0) | (F.size("look") > 0)))
-    open_ = judged.filter(F.size("look") > 0).select("dataset", "id", "turn", F.array_contains("look", "cased").alias("cased"), F.explode("look").alias("item"))
-    open_ = open_.filter(F.col("item") != "cased").join(ends, "item", "left").fillna(0, ["n", "closed"])
-    one = ~F.col("item").contains(" ")
-    tell = open_.groupBy("dataset", "id", "turn").agg(
-        F.max(F.when(F.col("item").startswith("c:"), (F.col("n") >= 3) & (F.col("closed") < 0.05 * F.col("n")))).alias("passage"),
-        F.max(F.when(F.col("item").startswith("r:") & ~one, F.col("n"))).alias("n2"),
-        F.max(F.when(F.col("item").startswith("r:") & ~one, F.col("closed"))).alias("closed2"),
-        F.max(F.when(F.col("item").startswith("r:") & one, F.col("n"))).alias("n1"),
-        F.max(F.when(F.col("item").startswith("r:") & one, F.col("closed"))).alias("closed1"),
-        F.max("cased").alias("cased"),
-    )
-    # a share, as for passages, so that a chance end in a large corpus clears nothing
-    hardly = lambda k: (F.col(f"closed{k}") == 0) | (F.col(f"closed{k}") < 0.05 * F.col(f"n{k}"))
-    rarely: Column = hardly(2) & ((F.col("n2") >= 3) | ((F.col("n1") == 0) & ~F.col("cased")) | ((F.col("n1") >= 3) & hardly(1)))
-    cut = tell.filter(F.coalesce("passage", F.lit(False)) | F.coalesce(rarely, F.lit(False))).select("dataset", "id", "turn", F.array(F.lit("truncated")).alias("defects"))
-    return judged.filter(F.size("defects") > 0).drop("look").unionByName(cut)
+    judged = pairs.select(*names, "question", "answer", "context")
+    judged = judged.mapInArrow(run, "dataset string, id string, row long, turn int, defects array<string>, look string")
+    told = judged.join(ends, judged["look"] == ends["item"], "left")
+    cut = F.coalesce((F.col("n") >= 2) & (F.col("closed") < LEAST_CLOSED * F.col("n")) & ~F.array_contains("defects", "truncated"), F.lit(False))
+    all_ = told.select(*names, F.when(cut, F.array_append("defects", F.lit("truncated"))).otherwise(F.col("defects")).alias("defects"))
+    return all_.filter(F.size("defects") > 0).groupBy(*names).agg(F.min("defects").alias("defects")).drop("row")
