@@ -150,7 +150,7 @@ class Shard:
             n = self.count[k[some]]
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.open[k[some]], n)
             start = row[some] * len(self.pairs)
-            start = start.astype(np.int32) if (row[-1] + 1) * len(self.pairs) < 1 << 31 else start
+            start = start.astype(np.int32) if start.max(initial=0) < (1 << 31) - len(self.pairs) else start
             out.append(_distinct(np.repeat(start, n) + self.holder[at]))
         if len(out) == 1:
             return out[0]
