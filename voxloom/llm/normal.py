@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import regex
+
 #: Letters of other scripts that look like Latin ones, and letters that do not decompose.
 LOOKALIKES = str.maketrans(
     {
@@ -15,6 +17,8 @@ LOOKALIKES = str.maketrans(
     }
 )
 
+#: Accents, invisible and control characters, but for white space.
+_UNSEEN = regex.compile(r"[[\p{Mn}\p{Cf}\p{Cc}]--[\s\x1c-\x1f]]", regex.V1)
 _TAG = re.compile(r"<[^<>]{1,40}>")
 _NOT_ASCII_WORD = re.compile(r"[^a-z0-9]+")
 _NOT_WORD = re.compile(r"[^\w]+|_+")
@@ -32,7 +36,7 @@ def latin(text: str) -> str:
     if text.isascii():
         return text.lower()
     t = unicodedata.normalize("NFKC", text).casefold()
-    t = "".join(c for c in unicodedata.normalize("NFKD", t) if unicodedata.category(c) not in ("Mn", "Cf", "Cc") or c.isspace())
+    t = _UNSEEN.sub("", unicodedata.normalize("NFKD", t))
     if not t.isascii():
         t = re.sub(r"\w+", lambda m: m[0].translate(LOOKALIKES) if _ASCII_LETTER.search(m[0]) else m[0], t)
     return t
