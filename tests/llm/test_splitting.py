@@ -24,6 +24,8 @@ def test_pieces(n, levels, limit, overlap):
     assert pieces[0][0] == 0 and pieces[-1][1] == n and pieces[0][2] == 0
     for (_, b, _), (c, d, o) in zip(pieces, pieces[1:], strict=False):
         assert c + o == b and d > b and 0 <= o <= overlap
+        # short of the overlap only before a stretch that no natural boundary divides and that would not fit beside it
+        assert o == overlap or o == b or any(y - x > limit - overlap and x == b for x, y in zip([0, *sorted(natural)], [*sorted(natural), n], strict=True))
         if b not in natural:
             assert was_forced
     assert all(b - a <= limit for a, b, _ in pieces)

@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Pieces above so many characters are not remembered.
+LONG_PIECE = 64
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the installed public tokenizer package keeps a file."""
     import public_tokenizers
@@ -113,23 +117,13 @@ class PrefixEncoder:
         """The ids of a text without special tokens; none for an empty or null one."""
         if not text:
             return []
-        known, out = self.known, []
-        pieces = self.split(text)
+        known, pieces, own = self.known, self.split(text), {}
+        if len(known) >= self.cache_pieces:
+            known.clear()
         for p in set(pieces):
             if p not in known:
-                if len(known) >= self.cache_pieces:
-                    known.clear()
-                    return self._slow(pieces)
-                known[p] = self.piece(p)
-        out.extend(chain.from_iterable(map(known.__getitem__, pieces)))
-        return out
-
-    def _slow(self, pieces: list[str]) -> list[int]:
-        """As encode, when the memory for known pieces has just been emptied."""
-        own: dict[str, tuple[int, ...]] = {}
-        for p in set(pieces):
-            own[p] = self.piece(p)
-        return list(chain.from_iterable(map(own.__getitem__, pieces)))
+                (known if len(p) <= LONG_PIECE else own)[p] = self.piece(p)
+        return list(chain.from_iterable(map({**own, **{p: known[p] for p in pieces if p in known}}.__getitem__ if own else known.__getitem__, pieces)))
 
 
 @lru_cache(maxsize=4)

@@ -112,6 +112,19 @@ def p4_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.fill_report(packing.assign(table(spark, root, "packed_sample"), capacity), capacity)
 
 
+#: Data sets of recordings, which p4_apart keeps apart from written chats.
+SPOKEN = ("gigaspeech", "commonvoice", "covost2", "spoken_squad")
+
+
+def p4_apart(spark: SparkSession, root: str) -> DataFrame:
+    """How full the containers are where none holds both a written chat and a recording."""
+    capacity, _ = _limit(spark, root, "container")
+    apart = {"ultrachat_200k": list(SPOKEN)} | {s: ["ultrachat_200k"] for s in SPOKEN}
+    where = packing.assign(table(spark, root, "packed_sample"), capacity, apart=apart)
+    mixed = where.groupBy("container").agg(F.bool_or(F.col("source") == "ultrachat_200k").alias("w"), F.bool_or(F.col("source").isin(*SPOKEN)).alias("s"))
+    return packing.fill_report(where, capacity).crossJoin(mixed.agg(F.count_if(F.col("w") & F.col("s")).alias("conflicts")))
+
+
 def p5_ids(spark: SparkSession, root: str) -> DataFrame:
     """The ids of every document."""
     return bpe.encode_corpus(table(spark, root, "documents"))
@@ -158,6 +171,7 @@ QUERIES = {
     "p3_passage_pieces": p3_passage_pieces,
     "p4_containers": p4_containers,
     "p4_fill": p4_fill,
+    "p4_apart": p4_apart,
     "p5_ids": p5_ids,
     "p6_mixture": p6_mixture,
     "p6_shares": p6_shares,

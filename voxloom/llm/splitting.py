@@ -1,12 +1,12 @@
 """Oversized items cut into pieces under a limit, at natural boundaries, with overlap.
 
 An item is a run of `n` units (ids of a packed sample, frames of a spoken passage) and a hierarchy of natural
-cut positions, strongest level first. A stretch above the limit is split at its strongest level; what is still
-above the limit at the next, and so on; only a stretch without any natural boundary inside is cut by count.
-Neighbouring stretches are then packed greedily, each piece opening with the last units of the one before.
+cut positions, strongest level first. A stretch that would not fit beside the overlap is split at its strongest level;
+what is still too long at the next, and so on; only a stretch above the limit without any natural boundary inside is
+cut by count. Neighbouring stretches are then packed greedily, each piece opening with the last units of the one before.
 
-The overlap is exactly the wanted one, unless a natural stretch would not fit beside it: then the overlap gives
-way (the stretch is within the limit, so a cut inside it is not called for).
+The overlap is exactly the wanted one, unless a stretch without any natural boundary inside is within the limit but
+would not fit beside it: then the overlap gives way, for a cut inside the stretch is not called for.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ _PIECE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("over
 
 
 def stretches(lo: int, hi: int, levels: list[np.ndarray], limit: int, step: int, at: int = 0):
-    """(start, stop, forced) of the parts of [lo, hi) that remain when it is split as far as needed."""
-    if hi - lo <= limit:
+    """(start, stop, forced) of the parts of [lo, hi) that remain when it is split to at most `step` units where it has
+    natural boundaries, and to at most `limit` where it has none."""
+    if hi - lo <= step or at == len(levels) and hi - lo <= limit:
         yield lo, hi, False
     elif at == len(levels):
         for a in range(lo, hi, step):
