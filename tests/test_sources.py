@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators import build
-from voxloom.sources import audio, configs, corpora, shards, sinks
+from voxloom.sources import audio, configs, corpora, nested, shards, sinks
 
 
 def wav(path, seconds=1.0, rate=24000, channels=1):
@@ -25,6 +25,14 @@ def test_translation_tsv(spark, tmp_path):
     (tmp_path / "b.tsv").write_text("path\tsentence\n")
     with pytest.raises(ValueError):
         corpora.translation_tsv(spark, str(tmp_path / "b.tsv"))
+    head = "path\tsentence\ttranslation\tclient_id\n"
+    (tmp_path / "d").mkdir()
+    for n in "ab":
+        (tmp_path / "d" / f"{n}.tsv").write_text(head + f"{n}.mp3\tx\ty\tc\n" + head * (n == "b"))
+    assert [r["path"] for r in corpora.translation_tsv(spark, str(tmp_path / "d")).orderBy("ordinal").collect()] == ["a.mp3", "b.mp3", "path"]
+    (tmp_path / "d" / "c.tsv").write_text("x\ty\tz\tc\n")
+    with pytest.raises(ValueError):
+        corpora.translation_tsv(spark, str(tmp_path / "d"))
 
 
 def test_clips_tsv(spark, tmp_path):
@@ -38,6 +46,10 @@ def test_clips_tsv(spark, tmp_path):
 def test_nested_json(spark, tmp_path):
     (tmp_path / "g.json").write_text(json.dumps({"audios": [{"aid": "A", "source": "s", "segments": [{"sid": "1", "begin_time": 0, "end_time": 1.5, "subsets": ["{XL}"], "text_tn": "T"}]}]}, indent=1))
     assert build.unnest_segments(corpora.segmented_json(spark, str(tmp_path / "g.json")), "XL").first()["end_time"] == 1.5
+    many = {"audios": [{"aid": f"A{i}", "segments": [{"sid": f"{i}", "subsets": ["{XL}"]}]} for i in range(9)]}
+    (tmp_path / "m.json").write_text(json.dumps(many))
+    got = build.unnest_segments(corpora.segmented_json(spark, str(tmp_path / "m.json")), "XL").collect()
+    assert sorted((r["audio_idx"], r["aid"]) for r in got) == [(i, f"A{i}") for i in range(9)]
     (tmp_path / "q.json").write_text(json.dumps({"data": [{"title": "t", "paragraphs": [{"context": "c", "qas": [{"id": "1", "question": "q", "answers": [{"text": "a"}]}]}]}]}))
     assert build.unnest_questions(corpora.questions_json(spark, str(tmp_path / "q.json"))).first()["answer_text"] == "a"
 
@@ -71,19 +83,46 @@ def test_audio(spark, tmp_path):
 
 
 def test_tar_shards_there_and_back(spark, tmp_path):
-    rows = [(f"k{i:03d}", json.dumps({"n": i, "t": "é"}), {"a": [[i, i + 1]]}) for i in range(25)]
-    df = spark.createDataFrame(rows, "key string, json string, arrays map<string,array<array<int>>>").repartition(2)
-    shards.write(df, str(tmp_path / "s"), maxcount=5)
+    rows = [(f"k{i:03d}", json.dumps({"n": i, "t": "é"}), [i, i + 1], [1, 0], [[i, 1], [2, 3]]) for i in range(25)]
+    df = spark.createDataFrame(rows, "key string, json string, a array<int>, m array<tinyint>, c array<array<int>>").repartition(2)
+    arrays = F.create_map(F.lit("a"), shards.vector(F.col("a")), F.lit("m"), shards.vector(F.col("m"), "int8"), F.lit("c"), shards.matrix(F.col("c")))
+    shards.write(df.withColumn("arrays", arrays), str(tmp_path / "s"), maxcount=5)
     files = sorted((tmp_path / "s").glob("*.tar"))
-    back = shards.read(spark, str(tmp_path / "s")).collect()
-    assert sorted((r["key"], r["json"], r["arrays"]) for r in back) == rows and len(files) >= 5
-    first = shards.inspected(spark, str(files[0]), 0)
-    assert first["arrays"]["a"][0][1] == first["meta"]["n"] + 1
+    back = shards.read(spark, str(tmp_path / "s"))
+    got = back.select("key", "json", "arrays.a.values", "arrays.m.values", shards.rows_of(F.col("arrays.c")))
+    assert sorted(tuple(r) for r in got.collect()) == rows and len(files) >= 5
+    assert [p.name for p in (tmp_path / "s").iterdir() if not p.name.endswith(".tar")] == []
+    assert [r["place"] for r in shards.in_order(back).orderBy("shard", "ordinal").collect()] == list(range(25))
+    first = shards.inspected(str(files[0]), 0)
+    assert {k: (v.dtype.name, v.shape) for k, v in first["arrays"].items()} == {"a": ("int32", (2,)), "m": ("int8", (2,)), "c": ("int32", (2, 2))}
+    assert first["arrays"]["a"][0] == first["meta"]["n"]
+    assert shards.write_inspection(first, str(tmp_path / "look"), {"prompt": "x" * 5000}, {"seg0": b"RIFF"}, 100) == {"prompt": "x" * 100}
+    assert {p.name.split(".", 1)[1] for p in (tmp_path / "look").iterdir()} == {"meta.json", "arrays.npz", "prompt.txt", "seg0.wav"}
     with pytest.raises(IndexError):
-        shards.inspected(spark, str(files[0]), 99)
+        shards.inspected(str(files[0]), 99)
     with pytest.raises(FileNotFoundError):
         shards.resolve(_empty(tmp_path))
-    assert shards.resolve("/not/there.tar") == ["/not/there.tar"]
+    assert shards.resolve("/not/there.tar") == ["/not/there.tar"] and shards.resolve(f"file:{files[0]}") == [f"file:{files[0]}"]
+
+
+def test_a_failing_write_leaves_no_shard(spark, tmp_path):
+    ok = F.create_map(F.lit("a"), shards.vector(F.array(F.lit(1))))
+    df = spark.range(40).select(F.concat(F.lit("k"), "id").alias("key"), F.when(F.col("id") != 39, "{}").alias("json"), ok.alias("arrays"))
+    with pytest.raises(Exception):  # noqa: B017 - whatever Spark makes of it
+        shards.write(df.coalesce(2), str(tmp_path / "s"), maxcount=3)
+    assert not list((tmp_path / "s").glob("**/*.tar"))
+    shards.write(df.filter("id < 39"), str(tmp_path / "s"), maxcount=3)
+    assert shards.read(spark, str(tmp_path / "s")).count() == 39
+
+
+def test_nested_items_stream():
+    doc = {"z": {"audios": [{"no": 1}]}, "pre": [1, {"x": "}]"}], "audios": [{"n": i, "s": 'a"\\{[' * i} for i in range(9)], "post": {}}
+    for size in (1, 3, 50, 10_000):
+        text = json.dumps(doc, indent=1)
+        assert [json.loads(x) for x in nested.items(iter([text[i : i + size] for i in range(0, len(text), size)]), "audios")] == doc["audios"]
+    assert list(nested.items(iter(["{}"]), "audios")) == list(nested.items(iter([]), "audios")) == []
+    with pytest.raises(ValueError):
+        list(nested.items(iter(['{"audios": [{"a": 1}, {']), "audios"))
 
 
 def _empty(tmp_path):
@@ -100,6 +139,10 @@ def test_sinks_and_configs(spark, tmp_path):
     assert configs.load(path) == {"num_codebooks": 4} and corpora.tokenizer_config(spark, str(tmp_path / "d")).first()["num_codebooks"] == 4
     sinks.write_predictions(spark.createDataFrame([("a", None)], "x string, y string"), str(tmp_path / "p"))
     assert spark.read.text(str(tmp_path / "p")).first()[0] == '{"x":"a","y":null}'
+    s = spark.createDataFrame([("a", 1, None), ("b", 2, 0.5)], "dataset string, n int, v double")
+    sinks.write_summary(s, str(tmp_path / "sum"))
+    assert json.loads((tmp_path / "sum" / "summary.json").read_text()) == {"a": {"dataset": "a", "n": 1}, "b": {"dataset": "b", "n": 2, "v": 0.5}}
+    assert json.loads((tmp_path / "sum" / "b" / "summary.json").read_text())["v"] == 0.5
     assert configs.filled(["a/{n}", "b"], n=4) == ["a/4", "b"] and configs.output_address("o/{n}", n=1) == "o/1"
     with pytest.raises(TypeError):
         configs.output_address(["x"])

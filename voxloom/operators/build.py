@@ -33,17 +33,25 @@ def transcript_disposition(
     return out.when(bad_duration(seconds, least, most), "bad_duration").when(filled(sid).isNull(), "failed").otherwise("written")
 
 
-def clip_disposition(path: Column, text: Column, seconds: Column, has_audio: Column, least: float = MIN_SECONDS, most: float = MAX_SECONDS) -> Column:
-    """The outcome of a read clip: failed (no path), empty_text, missing_audio, bad_duration, written."""
+def clip_disposition(path: Column, text: Column, seconds: Column, has_audio: Column, least: float = MIN_SECONDS, most: float = MAX_SECONDS, dry: bool = False) -> Column:
+    """The outcome of a read clip: failed (no path), empty_text, missing_audio, bad_duration, written. A dry run goes as
+    far as the duration and calls the rest available."""
     return (
         F.when(filled(path).isNull(), "failed")
         .when(filled(text).isNull(), "empty_text")
         .when(~F.coalesce(has_audio, F.lit(False)), "missing_audio")
         .when(bad_duration(seconds, least, most), "bad_duration")
-        .otherwise("written")
+        .otherwise("available" if dry else "written")
     )
 
 
+def encoded_disposition(has_audio: Column, failed: Column, dry: bool = False) -> Column:
+    """The outcome of a translation pair or a question on a passage: missing_audio, failed (its recording cannot be
+    encoded), written. A dry run stops after the audio check and calls the rest available."""
+    out = F.when(~F.coalesce(has_audio, F.lit(False)), "missing_audio")
+    return out.otherwise("available") if dry else out.when(F.coalesce(failed, F.lit(True)), "failed").otherwise("written")
+
+
 def counters(df: DataFrame, *by: str) -> DataFrame:
     """Rows by outcome (and `by`): one aggregation, combined before the shuffle."""
     return df.groupBy(*by, "disposition").agg(F.count("*").alias("rows"))
@@ -56,9 +64,17 @@ def fan_out(df: DataFrame, key: str, mode: str, text: str, speech: str, asr_rati
     return rows.withColumns({"input_text": F.when(~asr, F.col(text)), "target_text": F.when(asr, F.col(text)), "input_speech": F.when(asr, F.col(speech)), "target_speech": F.when(~asr, F.col(speech))})
 
 
+def _outer(docs: DataFrame, name: str) -> DataFrame:
+    """Each item of a nested list with its place: that of its row in the document where a reader gives one, else that in
+    the list."""
+    rows = docs.select(F.posexplode(name).alias("at", "x"), *(["place"] if "place" in docs.columns else []))
+    place = F.col("place") + F.col("at") if "place" in docs.columns else F.col("at")
+    return rows.select(place.cast("int").alias("at"), "x")
+
+
 def unnest_questions(docs: DataFrame) -> DataFrame:
     """data -> paragraphs -> qas with their places; rows without a question or a first answer are dropped."""
-    topic = docs.select(F.posexplode("data").alias("topic_idx", "t"))
+    topic = _outer(docs, "data").select(F.col("at").alias("topic_idx"), F.col("x").alias("t"))
     para = topic.select("topic_idx", F.col("t.title").alias("title"), F.posexplode("t.paragraphs").alias("para_idx", "p"))
     qa = para.select("topic_idx", "para_idx", "title", F.col("p.context").alias("context_text"), F.posexplode("p.qas").alias("qa_idx", "q"))
     first = filled(F.try_element_at("q.answers", F.lit(1))["text"])
@@ -68,7 +84,7 @@ def unnest_questions(docs: DataFrame) -> DataFrame:
 
 def unnest_segments(docs: DataFrame, size: str) -> DataFrame:
     """audios -> segments of one subset, with the absolute place of the audio."""
-    audio = docs.select(F.posexplode("audios").alias("audio_idx", "a"))
+    audio = _outer(docs, "audios").select(F.col("at").alias("audio_idx"), F.col("x").alias("a"))
     seg = audio.select("audio_idx", F.col("a.aid").alias("aid"), F.col("a.source").alias("source"), F.explode("a.segments").alias("s"))
     return seg.select("audio_idx", "aid", "source", "s.*").filter(in_subset(F.col("subsets"), size))
 

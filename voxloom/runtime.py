@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,14 +50,30 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, which the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset
-    (tests in local mode) a temporary one is made.
+    Only in local mode, as in tests, a temporary one is made where it is unset; on a cluster that is an error.
     """
+    got = spark.conf.get("spark.checkpoint.dir", None)
+    if got:
+        return got
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return at.get() if at.isDefined() else tempfile.mkdtemp(prefix="voxloom-shared-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files of one run, below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/voxloom-{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, its lineage cut. spark.cleaner.referenceTracking.cleanCheckpoints tells Spark
+    to remove the files with the last reference to it."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-cp-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.ids import with_ordinal
 from voxloom.functions.text import first_filled
+from voxloom.runtime import checkpointed, spread
+from voxloom.sources.nested import JsonItems
 
 SEGMENTED = "audios array<struct<aid:string,source:string,subsets:array<string>,segments:array<struct<sid:string,begin_time:double,end_time:double,subsets:array<string>,text_tn:string>>>>"
 QUESTIONS = "data array<struct<title:string,paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string>>>>>>>>"
@@ -15,16 +17,18 @@ TRANSLATION_HEADER = ("path", "sentence", "translation", "client_id")
 
 
 def translation_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Translation pairs: tab-separated without quoting, header checked, rows of another width dropped.
+    """Translation pairs: tab-separated without quoting, rows of another width dropped.
 
-    `ordinal` numbers the kept rows in file order.
+    Every file must open with the header; only that line is left out, a row that repeats it is data. `ordinal` numbers
+    the kept rows in file order.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    header = spark.read.text(path).first()
-    if header is None or tuple(header["value"].split("\t")) != TRANSLATION_HEADER:
-        raise ValueError(f"{path}: the header must be {TRANSLATION_HEADER}")
+    first = checkpointed(lines.groupBy("file").agg(F.min_by("value", "line").alias("header"), F.min("line").alias("line")))  # a row for each file
+    bad = first.filter(F.col("header") != "\t".join(TRANSLATION_HEADER)).first()
+    if bad is not None or first.isEmpty():
+        raise ValueError(f"{path if bad is None else bad['file']}: the header must be {TRANSLATION_HEADER}")
     fields = F.split("value", "\t", -1)
-    rows = lines.filter((F.size(fields) == 4) & (F.col("value") != F.lit("\t".join(TRANSLATION_HEADER))))
+    rows = lines.join(first.select("file", "line"), ["file", "line"], "left_anti").filter(F.size(fields) == len(TRANSLATION_HEADER))
     return with_ordinal(rows, "file", "line").select("ordinal", *(fields[i].alias(n) for i, n in enumerate(TRANSLATION_HEADER)))
 
 
@@ -35,14 +39,27 @@ def clips_tsv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.col(c) for c in raw.columns), first_filled(*have("sentence", "text", "transcript")).alias("text_used"))
 
 
+def nested_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The items of the list of a nested document, one in a row under the name of the list, with file and place.
+
+    `schema` is `name array<struct<...>>`. A document is cut into its items as a stream (bounded memory, one task for
+    each document) and the items are spread before they are parsed, so that neither parsing nor what follows is one
+    task's work. Documents read again and again should be kept as Parquet: this is the conversion.
+    """
+    name, kind = schema.split(" ", 1)
+    spark.dataSource.register(JsonItems)
+    rows = spark.read.format("jsonitems").option("path", path).option("items", name).load()
+    return spread(rows).select("file", "place", F.array(F.from_json("item", kind.removeprefix("array<")[:-1])).alias(name))
+
+
 def segmented_json(spark: SparkSession, path: str) -> DataFrame:
-    """Long recordings with their segments."""
-    return spark.read.schema(SEGMENTED).json(path, multiLine=True)
+    """Long recordings with their segments, one recording in a row, with its place in its document."""
+    return nested_items(spark, path, SEGMENTED)
 
 
 def questions_json(spark: SparkSession, path: str) -> DataFrame:
-    """Questions on passages, nested by article and paragraph."""
-    return spark.read.schema(QUESTIONS).json(path, multiLine=True)
+    """Questions on passages, nested by article and paragraph, one article in a row, with its place in its document."""
+    return nested_items(spark, path, QUESTIONS)
 
 
 def chats_parquet(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:

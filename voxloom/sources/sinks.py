@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.ids import shard, shard_name, with_ordinal
+from voxloom.sources.files import write_bytes
 
 
 def sharded(df: DataFrame, *order: str, maxcount: int = 10_000, prefix: str = "shard") -> DataFrame:
@@ -28,10 +28,8 @@ def write_routed(df: DataFrame, path: str, *by: str, maxcount: int = 10_000) ->
 
 def write_config(config: dict, root: str) -> str:
     """tokenizer_config.json of a data set."""
-    os.makedirs(root, exist_ok=True)
-    path = os.path.join(root, "tokenizer_config.json")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(config, f, ensure_ascii=False, indent=2)
+    path = f"{root.rstrip('/')}/tokenizer_config.json"
+    write_bytes(path, json.dumps(config, ensure_ascii=False, indent=2).encode())
     return path
 
 
@@ -45,6 +43,14 @@ def summary_json(summary: DataFrame) -> dict[str, dict]:
     return {r["dataset"]: {k: v for k, v in r.asDict(recursive=True).items() if v is not None} for r in summary.collect()}
 
 
+def write_summary(summary: DataFrame, root: str) -> None:
+    """summary.json for each data set in its folder, and for all of them together in `root`."""
+    all_ = summary_json(summary)
+    write_bytes(f"{root}/summary.json", json.dumps(all_, ensure_ascii=False, indent=2).encode())
+    for name, one in all_.items():
+        write_bytes(f"{root}/{name}/summary.json", json.dumps(one, ensure_ascii=False, indent=2).encode())
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     """Scalars by step, added to a log table."""
     df.write.mode("append").parquet(path)
