@@ -61,6 +61,13 @@ def worker_share(ordinal: Column, start: int = 0, end: int | None = None, worker
     return keep if end is None else keep & (ordinal < end)
 
 
+def shard_share(ordinal: Column, nodes: int = 1, node: int = 0, workers: int = 1, worker: int = 0) -> Column:
+    """Whether a shard falls to a worker of a node: shards go round the nodes first, those of a node round its workers."""
+    if not (0 <= node < nodes and 0 <= worker < workers):
+        raise ValueError("0 <= node < nodes and 0 <= worker < workers must hold")
+    return (ordinal % nodes == node) & (F.floor(ordinal / nodes) % workers == worker)
+
+
 def shard(ordinal: Column, maxcount: int) -> Column:
     """The number of the contiguous shard of an ordinal counted from 0."""
     if maxcount < 1:

@@ -30,13 +30,20 @@ def weights_at(steps: DataFrame, specs: DataFrame, every: int, enabled: bool = T
     `specs` (name, start_weight, end_weight) is a configuration of a few rows. Weights run linearly with the
     stage; a total that is not positive raises an error.
     """
+    by_stage = stage_weights(specs)
     at = steps.select(step, stage(F.col(step), every, enabled).alias("stage"))
-    t = progress(F.col("stage"))
-    pairs = at.crossJoin(F.broadcast(specs))
-    raw = pairs.select(step, "stage", "name", (F.col("start_weight") + t * (F.col("end_weight") - F.col("start_weight"))).alias("raw"))
-    total = F.sum("raw").over(Window.partitionBy(step))
     bad = F.raise_error(F.lit("curriculum weights do not sum to more than zero")).cast("double")
-    return raw.select(step, "stage", "name", F.when(total > 0, F.col("raw") / total).otherwise(bad).alias("weight"))
+    weight = F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(bad)
+    # the weights are four rows for each data set of the configuration
+    return at.join(F.broadcast(by_stage), "stage").select(step, "stage", "name", weight.alias("weight"))
+
+
+def stage_weights(specs: DataFrame) -> DataFrame:
+    """stage, name, raw, total: the weight of each data set in each stage and their sum."""
+    stages = specs.sparkSession.range(STAGES + 1).select(F.col("id").cast("int").alias("stage"))
+    raw = F.col("start_weight") + progress(F.col("stage")) * (F.col("end_weight") - F.col("start_weight"))
+    rows = stages.crossJoin(F.broadcast(specs)).select("stage", "name", raw.alias("raw"))
+    return rows.withColumn("total", F.sum("raw").over(Window.partitionBy("stage")))
 
 
 def learning_rate(step: Column, total: int, warmup: int = 0, minimum: float = 0.0, kind: str = "cosine") -> Column:
@@ -79,5 +86,14 @@ def accumulation_steps(global_batch: int, devices: int, per_device: int) -> int:
     return global_batch // (devices * per_device)
 
 
+#: The name under which the newest checkpoint is kept as well.
+LATEST = "latest"
+
+
+def checkpoint_names(step: int, tag: str | None = None) -> tuple[str, str]:
+    """The names a checkpoint is saved under: its own and that of the newest."""
+    return checkpoint_name(step, tag), LATEST
+
+
 def checkpoint_name(step: int, tag: str | None = None) -> str:
     return f"step-{step:08d}" + (f"-{tag}" if tag else "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -108,20 +108,14 @@ def only(ids: Column, space: IdSpace, speech: bool) -> Column:
 def modality_runs(ids: Column, space: IdSpace) -> Column:
     """Maximal runs of one modality: array of (type, start, stop, ids), empty for no ids.
 
-    The kinds become a string of letters, its runs are found by one expression and numbered by one fold, so the
-    work is linear in the length (a lambda that looks into an outer array would compute that array again for
-    every element). No row leaves its task.
+    `ids` is a column of the table: its elements are then looked up in place, so the work is linear in the length.
     """
-    kinds = F.array_join(F.transform(ids, lambda x: F.when(is_speech(x, space), "s").otherwise("t")), "")
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<type:string,start:int,stop:int>>").alias("out"))
-
-    def add(acc: Column, run: Column) -> Column:
-        stop = acc["at"] + F.length(run)
-        kind = F.when(run.startswith("s"), "speech").otherwise("text")
-        return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(kind.alias("type"), acc["at"].alias("start"), stop.alias("stop"))).alias("out"))
-
-    runs = F.aggregate(F.regexp_extract_all(kinds, F.lit("s+|t+"), F.lit(0)), none, add, lambda acc: acc["out"])
-    return F.transform(runs, lambda r: F.struct(r["type"].alias("type"), r["start"].alias("start"), r["stop"].alias("stop"), F.slice(ids, r["start"] + 1, r["stop"] - r["start"]).alias("ids")))
+    first = lambda x, i: F.when((i == 0) | (is_speech(x, space) != is_speech(F.get(ids, i - 1), space)), i)
+    starts = F.filter(F.transform(ids, first), lambda i: i.isNotNull())
+    stops = F.concat(F.slice(starts, F.lit(2), F.size(ids)), F.array(F.size(ids)))
+    kind = lambda r: F.when(is_speech(F.get(ids, r["a"]), space), "speech").otherwise("text")
+    run = lambda r: F.struct(kind(r).alias("type"), r["a"].alias("start"), r["b"].alias("stop"), F.slice(ids, r["a"] + 1, r["b"] - r["a"]).alias("ids"))
+    return F.when(F.size(ids) > 0, F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), run)).when(ids.isNotNull(), F.array().cast("array<struct<type:string,start:int,stop:int,ids:array<int>>>"))
 
 
 def speech_run_state(df: DataFrame, key: str, ids: str, space: IdSpace) -> DataFrame:
@@ -143,11 +137,3 @@ def quantised(values: Column, space: IdSpace, frames: int) -> Column:
     code = lambda v: F.floor((F.greatest(F.least(v.cast("double"), F.lit(1.0)), F.lit(-1.0)) + 1) / 2 * top).cast("int")
     flat = F.transform(values, code)
     return F.array(*(F.slice(flat, j * frames + 1, frames) for j in range(space.num_codebooks)))
-
-
-def neighbours_changed(df: DataFrame, key: str, order: str, value: Column) -> DataFrame:
-    """Gaps and islands over exploded rows: runs of equal `value` of each key, by window, for long exploded inputs."""
-    w = Window.partitionBy(key).orderBy(order)
-    mark = F.when(F.lag(value).over(w).eqNullSafe(value), 0).otherwise(1)
-    run = df.withColumn("__m", mark).withColumn("run", F.sum("__m").over(w))
-    return run.groupBy(key, "run").agg(F.min(order).alias("start"), (F.max(order) + 1).alias("stop"), F.first(value).alias("value"))

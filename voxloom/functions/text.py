@@ -76,3 +76,8 @@ def role(c: Column) -> Column:
 def without_mark(c: Column, mark: str = "<text> ") -> Column:
     """Without one modality mark in front."""
     return F.when(c.startswith(mark), F.substring(c, len(mark) + 1, 2**31 - 1)).otherwise(c)
+
+
+def preview(c: Column, n: int = 4000) -> Column:
+    """The first n characters."""
+    return F.substring(c, 1, n)

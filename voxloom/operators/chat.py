@@ -34,6 +34,12 @@ class ChatTemplate:
         a, b = (self.turn("system", system) + self.turn("user", "\u0000")).split("\u0000")
         return a, b
 
+    def opening_after(self, turns: str, with_opening: str) -> str:
+        """What a template adds to turns written out when it opens the answer; an error where it changes them."""
+        if not with_opening.startswith(turns):
+            raise ValueError("the template changes the turns before the answer")
+        return with_opening[len(turns) :]
+
     def prefix(self, system: str, user: Column) -> Column:
         a, b = self.wrapper(system)
         return F.concat(F.lit(a), user, F.lit(b))

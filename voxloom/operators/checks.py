@@ -22,9 +22,12 @@ def assert_equal_configs(configs: list[dict]) -> None:
 
 def differing_keys(configs: DataFrame, index: str, keys: list[str]) -> DataFrame:
     """index, key for every key in which a row of a small configuration table differs from the row of index 0."""
+    kinds = {f.name: f.dataType.typeName() for f in configs.schema}
+    # maps cannot be compared; their sorted entries can
+    plain = lambda c, k: F.array_sort(F.map_entries(c)) if kinds[k] == "map" else F.col(c)
     first = configs.filter(F.col(index) == 0).select(*(F.col(k).alias(f"__{k}") for k in keys))
     both = configs.filter(F.col(index) > 0).crossJoin(F.broadcast(first))  # one row
-    pairs = F.array(*(F.when(~F.col(k).eqNullSafe(F.col(f"__{k}")), F.lit(k)) for k in keys))
+    pairs = F.array(*(F.when(~plain(k, k).eqNullSafe(plain(f"__{k}", k)), F.lit(k)) for k in keys))
     return both.select(index, F.explode(F.array_compact(pairs)).alias("key"))
 
 
@@ -39,6 +42,23 @@ def assert_unique(df: DataFrame, key: str) -> None:
         raise ValueError(f"{key} {bad[key]!r} occurs {bad['n']} times")
 
 
+def distinct_in_order(df: DataFrame, value: str, order: str) -> DataFrame:
+    """value, first: each value once, with the least `order` it stands at; sorted by it. Values are combined before the
+    shuffle, so repeated ones cost nothing."""
+    return df.groupBy(value).agg(F.min(order).alias("first")).orderBy("first")
+
+
+def unknown_names(df: DataFrame, names: list[str], dataset: str = "dataset") -> DataFrame:
+    """Names of data sets that the configuration lacks, with their rows; null is one."""
+    return df.filter(~F.coalesce(F.col(dataset).isin(*names), F.lit(False))).groupBy(dataset).agg(F.count("*").alias("rows"))
+
+
+def assert_known(df: DataFrame, names: list[str], dataset: str = "dataset") -> None:
+    bad = unknown_names(df, names, dataset).first()
+    if bad is not None:
+        raise ValueError(f"{bad['rows']} rows of an unknown data set {bad[dataset]!r}")
+
+
 def mixed_batches(df: DataFrame, batch: str, dataset: str = "dataset") -> DataFrame:
     """Batches that hold more than one data set."""
     return df.groupBy(batch).agg(F.count_distinct(dataset).alias("datasets")).filter("datasets > 1")

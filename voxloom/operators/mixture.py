@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.functions import schedule
 from voxloom.functions.ids import hash_fraction, with_ordinal
 
 
@@ -13,29 +14,54 @@ def draws(spark: SparkSession, n: int, weights: dict[str, float], seed: int = 0,
 
     The weights are a short list, so the choice is one expression and no join.
     """
+    return spark.range(start, start + n).select(F.col("id").alias("draw"), _pick(_uniform(seed), weights).alias("dataset"))
+
+
+def _uniform(seed: int) -> Column:
+    return hash_fraction(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")))
+
+
+def _pick(u: Column, weights: dict[str, float]) -> Column:
+    """The name whose stretch of the cumulative weights a number in [0, 1] falls into."""
     total = float(sum(weights.values()))
     if total <= 0 or any(w < 0 for w in weights.values()):
         raise ValueError("weights must not be negative and must sum to more than zero")
-    u = hash_fraction(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string")))
     pick, run = None, 0.0
     names = list(weights)
     for name in names[:-1]:
         run += weights[name] / total
         pick = F.when(u < run, name) if pick is None else pick.when(u < run, name)
     last = F.lit(names[-1])
-    return spark.range(start, start + n).select(F.col("id").alias("draw"), (last if pick is None else pick.otherwise(last)).alias("dataset"))
+    return last if pick is None else pick.otherwise(last)
+
+
+def curriculum_draws(spark: SparkSession, n: int, specs: dict[str, tuple[float, float]], batch: int, every: int, seed: int = 0, start: int = 0) -> DataFrame:
+    """draw, step, stage, dataset: as draws, with the weights of the stage that a draw's step lies in.
+
+    A step takes `batch` draws; each `every` steps the stage and with it the weights (start, end of each name) move on.
+    The weights of the four stages are one expression, so there is no join and nothing is rebuilt.
+    """
+    step = F.floor(F.col("id") / batch)
+    at = schedule.stage(step, every)
+    pick = None
+    for k in range(schedule.STAGES + 1):
+        one = _pick(_uniform(seed), {name: a + k / schedule.STAGES * (b - a) for name, (a, b) in specs.items()})
+        pick = F.when(at == k, one) if pick is None else pick.when(at == k, one)
+    return spark.range(start, start + n).select(F.col("id").alias("draw"), step.alias("step"), at.alias("stage"), pick.alias("dataset"))
 
 
 def mixed(draw: DataFrame, rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """draw, dataset, epoch, key: each draw gets the next row of its data set in that epoch's shuffled order.
 
     Rows run out and start again, so small data sets repeat. Draws and rows are numbered within their data set and
-    met on (data set, place): salted by place, one data set never falls to a single task of the join.
+    met on (data set, place): salted by place, one data set never falls to a single task of the join. A draw of a data
+    set without rows raises an error.
     """
-    own = _places(rows.select("dataset", key, F.xxhash64(F.lit(seed), F.col(key)).alias("__h")), "__h", key)
+    own = _places(rows.select("dataset", key, F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))).alias("__h")), "__h", key)
     nth = _places(draw.select("dataset", "draw"), "draw")
     sizes = own.groupBy("dataset").agg(F.count("*").alias("size"))
-    nth = nth.join(F.broadcast(sizes), "dataset").select("dataset", "draw", (F.col("place") % F.col("size")).alias("place"), F.floor(F.col("place") / F.col("size")).alias("epoch"))
+    none = F.raise_error(F.concat(F.lit("no rows to draw of "), F.col("dataset"))).cast("long")
+    nth = nth.join(F.broadcast(sizes), "dataset", "left").withColumn("size", F.coalesce("size", none)).select("dataset", "draw", (F.col("place") % F.col("size")).alias("place"), F.floor(F.col("place") / F.col("size")).alias("epoch"))
     return nth.join(own.select("dataset", "place", key), ["dataset", "place"]).select("draw", "dataset", "epoch", key)
 
 

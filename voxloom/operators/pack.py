@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.speech import IdSpace, speech_ids
-from voxloom.functions.text import filled
 from voxloom.operators.chat import ChatTemplate
 
 IGNORE = -100
@@ -24,6 +24,18 @@ SYSTEM = {
 _EMPTY = "array<int>"
 
 
+def public_texts(path: str) -> Callable[[Column], Column]:
+    """Ids back to a text by a `tokenizers` file, in Arrow batches; special ids are left out, null stays null."""
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def decode(ids: pd.Series) -> pd.Series:
+        got = iter(_tokenizer(path).decode_batch([[int(i) for i in x] for x in ids if x is not None], skip_special_tokens=True))
+        return pd.Series([None if x is None else next(got) for x in ids])
+
+    return decode
+
+
 def hashed_words(c: Column, size: int) -> Column:
     """A stand-in tokenizer: each word between white space by its MD5, below `size`. The same in every engine."""
     words = F.filter(F.split(c, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
@@ -41,6 +53,16 @@ def utf8_text(ids: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 2, "0")), "")), "UTF-8")
 
 
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):  # noqa: ANN202
+    """A public tokenizer from its file, once for each Python worker."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t
+
+
 def public_tokenizer(path: str) -> Callable[[Column], Column]:
     """A text to ids by a `tokenizers` file, in Arrow batches; null stays null. Special strings are ordinary text."""
     import pandas as pd
@@ -48,11 +70,7 @@ def public_tokenizer(path: str) -> Callable[[Column], Column]:
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def encode(texts: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        got = iter(t.encode_batch([x for x in texts if x is not None], add_special_tokens=False))
+        got = iter(_tokenizer(path).encode_batch([x for x in texts if x is not None], add_special_tokens=False))
         return pd.Series([None if x is None else next(got).ids for x in texts])
 
     return encode
@@ -99,8 +117,8 @@ class Packer:
     def pack(self, samples: DataFrame, on_error: str = "raise") -> DataFrame:
         """sample_id, dataset, split, task, input_ids, labels, attention_mask, n_tokens, n_target_tokens.
 
-        Too long sequences lose the beginning of their suffix. A null field the task needs, an unknown task, and a
-        prefix and target that do not fit together raise an error, or with on_error='quarantine' put the reason
+        Too long sequences lose the beginning of their suffix. A null field the task needs, an unknown task, a prefix
+        and target that do not fit together, and a target without any id to learn raise an error, or with on_error='quarantine' put the reason
         in `error` and leave the sequence null. One narrow stage.
         """
         known = [*SYSTEM, "text_dialog_sft"]
@@ -127,7 +145,7 @@ class Packer:
         n = lambda c: F.size(c)
         long = n("__p") + n("__s") + n("__t") > self.max_length
         full = long & ((n("__p") >= self.max_length) | (n("__p") + n("__t") > self.max_length))
-        error = F.coalesce(F.col("__e"), F.when(full, "prefix and target exceed the length"))
+        error = F.coalesce(F.col("__e"), F.when(full, "prefix and target exceed the length"), F.when(~has_target(F.col("__t")), "no target id remains"))
         left = F.greatest(F.lit(self.max_length) - n("__p") - n("__t"), F.lit(0))
         suffix = F.when(long, F.slice("__s", F.greatest(n("__s") - left, F.lit(0)) + 1, left)).otherwise(F.col("__s"))
         rows = rows.withColumn("error", error).withColumn("__s", suffix)
@@ -172,13 +190,6 @@ def complete(df: DataFrame) -> DataFrame:
     return df.filter(F.col("json").isNotNull() & F.col("npz").isNotNull())
 
 
-def instruct(task: Column) -> Column:
-    """The system text of a task, null for chats."""
-    out = None
-    for t, s in SYSTEM.items():
-        out = F.when(task == t, s) if out is None else out.when(task == t, s)
-    return out
-
-
-def has_text(c: Column) -> Column:
-    return filled(c).isNotNull()
+def has_target(labels: Column) -> Column:
+    """Whether any label is there to be learnt; none in a null or empty list."""
+    return F.coalesce(F.exists(labels, lambda x: x != IGNORE), F.lit(False))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 RATE = 24_000
 
+#: Zero crossings to either side of the interpolation kernel.
+WIDTH = 16
+
 
 def file_index(spark: SparkSession, root: str, pattern: str = "*.wav") -> DataFrame:
     """stem, path of every recording under a folder; contents are not read."""
@@ -42,11 +45,24 @@ def decoded(content: bytes, begin: float | None = None, end: float | None = None
 
 
 def resampled(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
-    """Linear interpolation to another rate."""
+    """Another rate by band-limited interpolation: what the lower rate cannot carry is filtered out.
+
+    A sinc kernel under a Hann window, `WIDTH` zero crossings to either side, evaluated for each sample wanted.
+    """
     if rate == to or not len(x):
         return x
-    n = round(len(x) * to / rate)
-    return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x)
+    n, low = round(len(x) * to / rate), min(1.0, to / rate) * 0.95
+    reach = int(np.ceil(WIDTH / low))
+    padded = np.pad(x, reach + 1)
+    out = np.empty(n)
+    for k in range(0, n, 1 << 14):
+        at = np.arange(k, min(n, k + (1 << 14))) * rate / to
+        near = np.floor(at).astype(np.int64)[:, None] + np.arange(-reach, reach + 2)
+        d = (at[:, None] - near) * low
+        kernel = np.sinc(d) * (0.5 + 0.5 * np.cos(np.pi * np.clip(d / WIDTH, -1, 1)))
+        kernel /= kernel.sum(axis=1, keepdims=True)
+        out[k : k + len(at)] = (padded[np.clip(near + reach + 1, 0, len(padded) - 1)] * kernel).sum(axis=1)
+    return out
 
 
 def stand_in_codec(x: np.ndarray, codebooks: int = 4, size: int = 2048, hop: int = 1920) -> np.ndarray:
@@ -56,6 +72,40 @@ def stand_in_codec(x: np.ndarray, codebooks: int = 4, size: int = 2048, hop: int
     return np.floor((np.clip(parts, -1, 1) + 1) / 2 * (size - 1)).astype(np.int32)
 
 
+def stand_in_decode(codes: np.ndarray, size: int = 2048, hop: int = 1920) -> np.ndarray:
+    """Samples in [-1, 1] from codes of stand_in_codec: each code fills its part of the frame with the middle of its step."""
+    codebooks, frames = codes.shape
+    values = np.clip((codes.astype(np.float64) + 0.5) / (size - 1) * 2 - 1, -1, 1)
+    return np.repeat(values.T.reshape(-1), hop // codebooks) if frames else np.zeros(0)
+
+
+def wav_bytes(x: np.ndarray, rate: int = RATE) -> bytes:
+    """A mono wav file of 16-bit samples."""
+    buffer = io.BytesIO()
+    with wave.open(buffer, "wb") as f:
+        f.setnchannels(1), f.setsampwidth(2), f.setframerate(rate)
+        f.writeframes(np.round(np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+    return buffer.getvalue()
+
+
+def decoded_codes(rows: DataFrame, codec: Callable[[np.ndarray], np.ndarray] = stand_in_decode) -> DataFrame:
+    """key, wav, samples, error for rows of key and codes (codebooks x frames), in Arrow batches. Codes that cannot be
+    decoded give their error and no recording; null ones are such."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, codes in zip(b["key"], b["codes"], strict=True):
+                try:
+                    x = codec(np.array([np.asarray(c) for c in codes], np.int64))
+                    out.append((key, wav_bytes(x), len(x), None))
+                except Exception as e:  # noqa: BLE001 - the outcome of the row
+                    out.append((key, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["key", "wav", "samples", "error"]).astype({"samples": "Int64"})
+
+    return rows.select("key", "codes").mapInPandas(run, "key string, wav binary, samples long, error string")
+
+
 def encoded(files: DataFrame, codec: Callable[[np.ndarray], np.ndarray] = stand_in_codec) -> DataFrame:
     """key, codes, duration_sec, error for rows of key, content, begin, end (null: from the start, to the end).
 
