@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.functions import ids, metrics, schedule, speech, text
+from voxloom.functions import embeddings, ids, metrics, schedule, speech, text
 from voxloom.operators import build, chat, checks, evaluate, load, mixture, pack, trainlog
-from voxloom.runtime import table
-from voxloom.sources import sinks
+from voxloom.runtime import scratch, table
+from voxloom.sources import audio, sinks
 from voxloom.streaming import raw as stream
 
 #: White space for DuckDB's expressions, as functions.text.WS.
@@ -98,6 +97,11 @@ def first_nonblank_field(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "covost2_sample").select("id", text.first_filled(F.col("target_text"), F.col("source_text"), F.col("audio_relpath")).alias("text"))
 
 
+@_query("SELECT doc_id, substr(text, 1, 40) AS preview FROM documents")
+def text_preview(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").select("doc_id", text.preview(F.col("text"), 40).alias("preview"))
+
+
 # ---------------------------------------------------------------- ids and tasks
 
 
@@ -207,6 +211,49 @@ def clip_dispositions(spark: SparkSession, root: str) -> DataFrame:
     return build.counters(rows.withColumn("disposition", out))
 
 
+_DRY = "SELECT CASE {0} END AS disposition, count(*) AS rows FROM {1} GROUP BY 1"
+
+
+@_query(_DRY.format("WHEN NOT list_contains(tags, 'M') THEN 'missing_audio' ELSE 'available'", f"{_SEGMENTS} WHERE list_contains(tags, 'XL')"))
+def dry_run_segments(spark: SparkSession, root: str) -> DataFrame:
+    rows = build.unnest_segments(_segments(spark, root), "XL")
+    out = build.transcript_disposition(F.col("text_tn"), F.col("end_time") - F.col("begin_time"), build.in_subset(F.col("subsets"), "M"), F.col("sid"), dry=True)
+    return build.counters(rows.withColumn("disposition", out))
+
+
+@_query(
+    _DRY.format(
+        f"WHEN length({_strip('audio_relpath')}) IS NULL OR length({_strip('audio_relpath')}) = 0 THEN 'failed' WHEN source_text IS NULL OR length({_strip('source_text')}) = 0 THEN 'empty_text' WHEN client_id IS NULL THEN 'missing_audio' "
+        "WHEN NOT coalesce(duration_sec BETWEEN 0.2 AND 120.0, false) THEN 'bad_duration' ELSE 'available'",
+        "covost2_sample",
+    )
+)
+def dry_run_clips(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "covost2_sample")
+    out = build.clip_disposition(F.col("audio_relpath"), F.col("source_text"), F.col("duration_sec"), F.col("client_id").isNotNull(), dry=True)
+    return build.counters(rows.withColumn("disposition", out))
+
+
+@_query(_DRY.format("WHEN client_id IS NULL THEN 'missing_audio' WHEN duration_sec IS NULL THEN 'failed' ELSE 'written'", "covost2_sample"))
+def translation_dispositions(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "covost2_sample")
+    return build.counters(rows.withColumn("disposition", build.encoded_disposition(F.col("client_id").isNotNull(), F.col("duration_sec").isNull())))
+
+
+@_query(
+    _DRY.format(
+        "WHEN NOT there THEN 'missing_audio' ELSE 'written'",
+        f"""(SELECT bool_and(w.stem IS NOT NULL) AS there FROM (SELECT id, written_at, regexp_replace(unnest(audio_files), '\\.wav$', '') AS stem FROM spoken_squad_sample WHERE length({_strip('question')}) > 0 AND length({_strip('answer_text')}) > 0) n
+            LEFT JOIN (SELECT * FROM wav_index WHERE duration_sec IS NOT NULL) w USING (stem) GROUP BY id, written_at)""",
+    )
+)
+def question_dispositions(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "spoken_squad_sample").filter(text.filled(F.col("question")).isNotNull() & text.filled(F.col("answer_text")).isNotNull())
+    named = rows.select("id", "written_at", F.explode("audio_files").alias("file")).select("id", "written_at", F.regexp_replace("file", r"\.wav$", "").alias("stem"))
+    got = build.with_audio(named, _recordings(spark, root)[1], "stem").groupBy("id", "written_at").agg(F.bool_and(F.col("audio_path").isNotNull()).alias("there"))
+    return build.counters(got.withColumn("disposition", build.encoded_disposition(F.col("there"), F.lit(False))))
+
+
 def _recordings(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """The recordings that passages name, and an index of those whose duration is known."""
     named = table(spark, root, "spoken_squad_sample").select("id", F.explode("audio_files").alias("file"))
@@ -228,13 +275,21 @@ def audio_missing(spark: SparkSession, root: str) -> DataFrame:
     return build.without_audio(*_recordings(spark, root), "stem").select("id", "stem")
 
 
+_BY = "num_frames % 6"
+
+
 @_query(
-    """SELECT stem, path, CASE WHEN duration_sec IS NOT NULL THEN stem || '.wav' ELSE path END AS resolved, duration_sec IS NOT NULL AS found FROM wav_index"""
+    f"""SELECT stem, m AS path, CASE {_BY} WHEN 0 THEN d || '.wav' WHEN 1 THEN m WHEN 2 THEN stem || '.wav' WHEN 3 THEN stem || '.mp3' WHEN 4 THEN m ELSE d || '.wav' END AS resolved, {_BY} < 5 AS found
+        FROM (SELECT *, regexp_replace(path, '\\.wav$', '') AS d, regexp_replace(path, '\\.wav$', '.mp3') AS m FROM wav_index)"""
 )
 def path_resolve(spark: SparkSession, root: str) -> DataFrame:
     index = table(spark, root, "wav_index")
-    files = index.filter("duration_sec IS NOT NULL").select(F.concat("stem", F.lit(".wav")).alias("path"))
-    return build.resolve_paths(index, files, "path", "stem").select("stem", "path", "resolved", "found")
+    at, d = F.col("num_frames") % 6, F.regexp_replace("path", r"\.wav$", "")
+    mp3, wav, bare, bare_mp3 = F.concat(d, F.lit(".mp3")), F.concat(d, F.lit(".wav")), F.concat("stem", F.lit(".wav")), F.concat("stem", F.lit(".mp3"))
+    # the files there: each candidate for some, two of them for others, none for the rest
+    there = F.when(at == 0, F.array(wav, bare)).when(at == 1, F.array(mp3)).when(at == 2, F.array(bare)).when(at == 3, F.array(bare_mp3)).when(at == 4, F.array(bare_mp3, mp3))
+    files = index.select(F.explode(there).alias("path"))
+    return build.resolve_paths(index.select("stem", mp3.alias("path")), files, "path", "stem").select("stem", "path", "resolved", "found")
 
 
 @_query(
@@ -291,6 +346,19 @@ def sft_dispositions(spark: SparkSession, root: str) -> DataFrame:
     return build.counters(chat.sft_disposition(rows, min_prompt=200, min_target=40))
 
 
+@_query(
+    f"""SELECT disposition, count(*) AS rows FROM (SELECT CASE WHEN u.messages IS NULL OR len(u.messages) = 0 THEN 'missing_messages' WHEN t IS NULL OR length(t) = 0 THEN 'bad_pair'
+        WHEN strlen(prompt) > 600 OR strlen(t) > 200 THEN 'too_long' ELSE 'written' END AS disposition
+        FROM ultrachat_sample u LEFT JOIN (SELECT id, written_at, p || '<|im_start|>assistant <text> ' AS prompt, {_TARGET} AS t FROM {_PAIRS}) x ON u.id = x.id AND u.written_at = x.written_at) GROUP BY 1"""
+)
+def sft_token_limits(spark: SparkSession, root: str) -> DataFrame:
+    """Limits in tokens, a byte of the text being one."""
+    rows = chat.prompt_and_target(table(spark, root, "ultrachat_sample").select("id", "messages"))
+    n = lambda c: F.size(pack.utf8_bytes(c))
+    out = chat.sft_disposition(rows, max_prompt_tokens=600, max_target_tokens=200, n_prompt=n(chat.prompt_text(F.col("prompt_messages"))), n_target=n(F.col("target")))
+    return build.counters(out)
+
+
 @_query(
     f"""SELECT count(*) FILTER (NOT coalesce(length({_strip('m.content')}) > 0, false)) AS no_content, count(*) FILTER (length({_strip('m.content')}) > 0 AND {_ROLE} NOT IN ('user', 'assistant', 'system')) AS no_role
         FROM (SELECT unnest(messages) AS m FROM ultrachat_sample)"""
@@ -322,6 +390,16 @@ def speech_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("vec_id", _joined(F.flatten("c")).alias("codes"), (back == F.col("c")).alias("same"))
 
 
+@_query(f"SELECT vec_id, 30720::BIGINT AS samples, array_to_string(flatten({_CODES}), ',') AS codes FROM embeddings")
+def codec_roundtrip(spark: SparkSession, root: str) -> DataFrame:
+    """Codes to a recording and back to codes."""
+    rows = table(spark, root, "embeddings").select(F.col("vec_id").alias("key"), speech.quantised(F.col("embedding"), SPACE, 16).alias("codes"))
+    waves = audio.decoded_codes(rows).select("key", F.col("wav").alias("content"), "samples")
+    times = {"begin": F.lit(None).cast("double"), "end": F.lit(None).cast("double")}
+    back = audio.encoded(waves.withColumns(times)).select(F.col("key").cast("long").alias("vec_id"), _joined(F.flatten("codes")).alias("codes"))
+    return back.join(waves.select(F.col("key").cast("long").alias("vec_id"), "samples"), "vec_id").select("vec_id", "samples", "codes")
+
+
 _UNIQUE_PACKED = "(SELECT DISTINCT sample_id, input_ids FROM packed_sample)"
 _RUNS = f"""(SELECT sample_id, run, min(i) - 1 AS start, max(i) AS stop, any_value(s) AS s, list(x ORDER BY i) AS ids FROM (SELECT *, sum(c) OVER (PARTITION BY sample_id ORDER BY i) AS run FROM
     (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY sample_id ORDER BY i) = s THEN 0 ELSE 1 END AS c FROM
@@ -329,7 +407,7 @@ _RUNS = f"""(SELECT sample_id, run, min(i) - 1 AS start, max(i) AS stop, any_val
 
 
 def _unique_packed(spark: SparkSession, root: str, *more: str) -> DataFrame:
-    return table(spark, root, "packed_sample").select("sample_id", "input_ids", *more).distinct()
+    return table(spark, root, "packed_sample").select("sample_id", "input_ids", *more).dropDuplicates(["sample_id"])
 
 
 @_query(f"SELECT sample_id, CASE WHEN s THEN 'speech' ELSE 'text' END AS type, start::INT AS start, stop::INT AS stop FROM {_RUNS}")
@@ -387,7 +465,7 @@ _NEEDS = {"asr": "input_speech IS NOT NULL AND target_text IS NOT NULL", "tts":
 
 def _pack_sql(task: str, most: int) -> str:
     p, s, t = _parts_sql(task)
-    return f"""SELECT sample_id, len(i)::INT AS n_tokens, len(t)::INT AS n_target_tokens, md5(array_to_string(i, ',')) AS ids FROM
+    return f"""SELECT sample_id, len(i)::INT AS n_tokens, len(t)::INT AS n_target_tokens, md5(array_to_string(i, ',')) AS ids, md5(array_to_string([-100 for x in range(len(i) - len(t))] || t, ',')) AS labels FROM
         (SELECT sample_id, t, CASE WHEN len(p) + len(s) + len(t) <= {most} THEN p || s || t ELSE p || s[greatest(len(s) - greatest({most} - len(p) - len(t), 0), 0) + 1 : ] || t END AS i,
          len(p) + len(s) + len(t) > {most} AND (len(p) >= {most} OR len(p) + len(t) > {most}) AS bad
          FROM (SELECT sample_id, {p} AS p, {s} AS s, {t} AS t FROM raw_sample WHERE task = '{task}' AND {_NEEDS[task]})) WHERE NOT bad"""
@@ -396,7 +474,7 @@ def _pack_sql(task: str, most: int) -> str:
 def _packed(spark: SparkSession, root: str, task: str, most: int = 32000) -> DataFrame:
     packer = pack.Packer(SPACE, PACKER.tokenize, PACKER.eos, most)
     out = packer.pack(table(spark, root, "raw_sample").filter(F.col("task") == task), on_error="quarantine")
-    return out.filter(F.col("error").isNull()).select("sample_id", "n_tokens", "n_target_tokens", _print("input_ids").alias("ids"))
+    return out.filter(F.col("error").isNull()).select("sample_id", "n_tokens", "n_target_tokens", _print("input_ids").alias("ids"), _print("labels").alias("labels"))
 
 
 def _register_packing() -> None:
@@ -444,19 +522,43 @@ def tokenize_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", back.alias("text"), (back == F.col("text")).alias("same"))
 
 
+@_query()
+def tokenize_public(spark: SparkSession, root: str) -> DataFrame:
+    """Ids of a public vocabulary and whether they give the text back; no SQL, the vocabulary is a file."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = table(spark, root, "documents").filter("text IS NOT NULL").select("doc_id", "text", pack.public_tokenizer(path)(F.col("text")).alias("ids"))
+    return rows.select("doc_id", F.size("ids").alias("n"), _print("ids").alias("ids"), (pack.public_texts(path)(F.col("ids")) == F.col("text")).alias("same"))
+
+
 # ---------------------------------------------------------------- loading
 
 _N = "coalesce(list_sum(attention_mask), 0)::INT"
 
 
 @_query(
-    f"""SELECT sample_id, md5(array_to_string([input_ids[i] for i in range(1, least({_N}, len(input_ids)) + 1) if labels[i] = -100], ',')) AS prompt,
-        md5(array_to_string([x for x in labels[1:{_N}] if x <> -100], ',')) AS target FROM packed_sample WHERE attention_mask IS NOT NULL"""
+    f"""SELECT sample_id, md5(array_to_string([input_ids[i] for i in range(1, least(n, len(input_ids)) + 1) if labels[i] = -100], ',')) AS prompt,
+        md5(array_to_string([x for x in labels[1:n] if x <> -100], ',')) AS target FROM (SELECT *, CASE WHEN attention_mask IS NULL THEN len(input_ids)::INT ELSE {_N} END AS n FROM packed_sample)"""
 )
 def prompt_target_split(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "packed_sample").filter("attention_mask IS NOT NULL")
     i, y, m = F.col("input_ids"), F.col("labels"), F.col("attention_mask")
-    return rows.select("sample_id", _print(load.prompt_part(i, y, m)).alias("prompt"), _print(load.target_part(y, m)).alias("target"))
+    return table(spark, root, "packed_sample").select("sample_id", _print(load.prompt_part(i, y, m)).alias("prompt"), _print(load.target_part(y, m)).alias("target"))
+
+
+@_query(
+    f"""SELECT sample_id, n_prompt, n_target, greatest(8, n_target + 16)::INT AS budget FROM (SELECT sample_id, written_at, len([1 for i in range(1, least(n, len(input_ids)) + 1) if labels[i] = -100])::INT AS n_prompt,
+        len([x for x in labels[1:n] if x <> -100])::INT AS n_target FROM (SELECT *, CASE WHEN attention_mask IS NULL THEN len(input_ids)::INT ELSE {_N} END AS n FROM packed_sample WHERE dataset <> 'gigaspeech'))
+        WHERE n_prompt > 0 ORDER BY sample_id, written_at LIMIT 150"""
+)
+def generation_select(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "packed_sample").filter("dataset <> 'gigaspeech'").withColumn("at", F.struct("sample_id", "written_at"))
+    return load.generation_inputs(rows, "at", 16, 150).select("sample_id", F.size("prompt").alias("n_prompt"), F.size("target").alias("n_target"), "budget")
+
+
+@_query("SELECT dataset, count(*) AS rows, count(*) FILTER (len([x for x in labels if x <> -100]) > 0) AS with_target FROM packed_sample GROUP BY 1")
+def target_guard(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "packed_sample").groupBy("dataset").agg(F.count("*").alias("rows"), F.count_if(pack.has_target(F.col("labels"))).alias("with_target"))
 
 
 @_query("SELECT sample_id, array_to_string(CASE WHEN list_position(input_ids, 198) > 0 THEN input_ids[1:list_position(input_ids, 198)] ELSE input_ids END, ',') AS ids FROM packed_sample")
@@ -470,15 +572,21 @@ def load_trim(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("sample_id", F.size("input_ids").alias("n"), _print("input_ids").alias("ids"))
 
 
+_FILLED = "[{1} for i in range(padded // n - len({0}))]"
+
+
 @_query(
-    """SELECT sample_id, batch::BIGINT AS batch, (padded // n)::INT AS padded_length, padded::BIGINT AS padded_tokens, md5(array_to_string(input_ids || [50256 for i in range(padded // n - len(input_ids))], ',')) AS ids FROM
-       (SELECT *, count(*) OVER (PARTITION BY batch) AS n, count(*) OVER (PARTITION BY batch) * ((max(len(input_ids)) OVER (PARTITION BY batch) + 7) // 8 * 8) AS padded FROM
+    f"""SELECT sample_id, batch::BIGINT AS batch, (padded // n)::INT AS padded_length, padded::BIGINT AS padded_tokens, md5(array_to_string(input_ids || {_FILLED.format("input_ids", 50256)}, ',')) AS ids,
+        md5(array_to_string(labels || {_FILLED.format("labels", -100)}, ',')) AS labels, md5(array_to_string(m || {_FILLED.format("m", "0::TINYINT")}, ',')) AS mask FROM
+       (SELECT *, coalesce(attention_mask, [1::TINYINT for x in input_ids]) AS m, count(*) OVER (PARTITION BY batch) AS n, count(*) OVER (PARTITION BY batch) * ((max(len(input_ids)) OVER (PARTITION BY batch) + 7) // 8 * 8) AS padded FROM
         (SELECT *, (row_number() OVER (ORDER BY sample_id, written_at) - 1) // 4 AS batch FROM packed_sample))"""
 )
 def collate_pad(spark: SparkSession, root: str) -> DataFrame:
-    rows = ids.with_ordinal(table(spark, root, "packed_sample").select("sample_id", "written_at", "input_ids", "labels", "attention_mask"), "sample_id", "written_at")
-    out = load.padded(rows.withColumn("batch", F.floor(F.col("ordinal") / 4)), "batch", SPACE.pad_id(), 8)
-    return out.select("sample_id", "batch", "padded_length", F.col("padded_tokens").cast("bigint").alias("padded_tokens"), _print("input_ids").alias("ids"))
+    rows = table(spark, root, "packed_sample").select("sample_id", "written_at", "input_ids", "labels", "attention_mask")
+    out = load.padded(rows.join(load.batches(rows, "sample_id", "written_at", rows=4), ["sample_id", "written_at"]), "batch", SPACE.pad_id())
+    return out.select(
+        "sample_id", "batch", "padded_length", F.col("padded_tokens").cast("bigint").alias("padded_tokens"), _print("input_ids").alias("ids"), _print("labels").alias("labels"), _print("attention_mask").alias("mask")
+    )
 
 
 @_query("SELECT sample_id, greatest(8, len([x for x in labels if x <> -100]) + 16)::INT AS budget FROM packed_sample")
@@ -524,11 +632,42 @@ def mixture_draw(spark: SparkSession, root: str) -> DataFrame:
     return mixture.draws(spark, 20_000, {n: a for n, a, _ in MIX}, seed=7)
 
 
-@_query()
+_PACKED_WEIGHTS = {"gigaspeech": 0.6, "commonvoice": 0.3, "covost2": 0.03, "spoken_squad": 0.02, "ultrachat_200k": 0.05}
+
+
+def _pick_sql(weights: dict[str, float]) -> str:
+    total, run, names, out = float(sum(weights.values())), 0.0, list(weights), ""
+    for name in names[:-1]:
+        run += weights[name] / total
+        out += f"WHEN u < {run!r}::DOUBLE THEN '{name}' "
+    return f"CASE {out}ELSE '{names[-1]}' END"
+
+
+_DRAWN = f"(SELECT range AS draw, {_FRACTION.format(chr(39) + '7-' + chr(39) + ' || range::VARCHAR')} AS u FROM range(20000))"
+
+
+@_query(
+    f"""WITH own AS (SELECT dataset, sample_id, row_number() OVER (PARTITION BY dataset ORDER BY md5('7-' || sample_id), sample_id) - 1 AS place, count(*) OVER (PARTITION BY dataset) AS size FROM (SELECT DISTINCT dataset, sample_id FROM packed_sample)),
+        nth AS (SELECT draw, dataset, row_number() OVER (PARTITION BY dataset ORDER BY draw) - 1 AS n FROM (SELECT draw, {_pick_sql(_PACKED_WEIGHTS)} AS dataset FROM {_DRAWN}))
+        SELECT draw, nth.dataset AS dataset, n // size AS epoch, sample_id FROM nth JOIN own ON nth.dataset = own.dataset AND own.place = n % size"""
+)
 def mixture_rows(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "packed_sample").select("dataset", "sample_id").distinct()
-    weights = {"gigaspeech": 0.6, "commonvoice": 0.3, "covost2": 0.03, "spoken_squad": 0.02, "ultrachat_200k": 0.05}
-    return mixture.mixed(mixture.draws(spark, 20_000, weights, seed=7), rows, "sample_id", seed=7)
+    return mixture.mixed(mixture.draws(spark, 20_000, _PACKED_WEIGHTS, seed=7), rows, "sample_id", seed=7)
+
+
+_MOVING = {n: (a, b) for n, a, b in MIX}
+_STAGED = " ".join(f"WHEN {k} THEN {_pick_sql({n: a + k / 3 * (b - a) for n, (a, b) in _MOVING.items()})}" for k in range(4))
+
+
+@_query(f"SELECT draw, draw // 4 AS step, stage, CASE stage {_STAGED} END AS dataset FROM (SELECT *, least(draw // 4 // 1000, 3)::INT AS stage FROM {_DRAWN})")
+def mixture_curriculum(spark: SparkSession, root: str) -> DataFrame:
+    return mixture.curriculum_draws(spark, 20_000, _MOVING, batch=4, every=1000, seed=7)
+
+
+@_query("SELECT range::BIGINT AS shard FROM range(1000) WHERE range % 3 = 1 AND range // 3 % 4 = 2")
+def shard_split(spark: SparkSession, root: str) -> DataFrame:
+    return spark.range(1000).select(F.col("id").alias("shard")).filter(ids.shard_share(F.col("shard"), nodes=3, node=1, workers=4, worker=2))
 
 
 @_query(f"SELECT range AS draw, least(floor({_FRACTION.format(chr(39) + '7-shard-' + chr(39) + ' || range::VARCHAR')} * 64), 63)::INT AS shard FROM range(5000)")
@@ -597,9 +736,35 @@ def _predictions(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("dataset", "task", "target_text", said.alias("pred_text"), (F.col("task") == "tts").alias("target_has_speech"), F.col("client_id").isNotNull().alias("pred_has_speech"))
 
 
-@_query()
+def _tokens_sql(c: str) -> str:
+    """How many tokens BLEU counts in a text."""
+    for tag, mark in (("<skipped>", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        c = f"replace({c}, '{tag}', '{mark}')"
+    c = f"regexp_replace(' ' || {c} || ' ', '([\\{{-~\\[-` -&\\(-\\+:-@/])', ' \\1 ', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '([^0-9])([\\.,])', '\\1 \\2 ', 'g'), '([\\.,])([^0-9])', ' \\1 \\2', 'g')"
+    return f"len([x for x in string_split_regex(regexp_replace({c}, '([0-9])(-)', '\\1 \\2 ', 'g'), '\\s+') if x <> ''])"
+
+
+# predictions of other tasks than asr repeat the reference, so that their BLEU is 100, or 0 below four tokens
+@_query(
+    f"""SELECT CASE WHEN grouping(dataset) = 1 THEN 'ALL_DATASETS' ELSE dataset END AS dataset, count(*) AS num_samples, array_to_string(list_sort(list(DISTINCT task)), ',') AS tasks,
+        round(avg(wer), 9) AS wer_mean, round(avg(bleu), 6) AS bleu_mean, round(avg(em), 9) AS exact_match_mean, round(avg(same), 9) AS text_exact_match_mean,
+        nullif(count(wer), 0)::DOUBLE AS wer_num_samples, nullif(count(bleu), 0)::DOUBLE AS bleu_num_samples, nullif(count(em), 0)::DOUBLE AS exact_match_num_samples,
+        round(avg(CASE WHEN task <> 'tts' THEN (length(p) > 0)::INT END), 9) AS nonempty_pred_text_rate, round(avg(CASE WHEN task = 'tts' THEN (client_id IS NOT NULL)::INT END), 9) AS speech_pred_present_rate
+        FROM (SELECT *, CASE WHEN task = 'asr' AND r <> '' THEN levenshtein({_CODE.format("rw")}, {_CODE.format("pw")}) / len(rw) END AS wer, CASE WHEN task = 'speech_to_text_translation' AND r <> '' THEN CASE WHEN {_tokens_sql("r")} >= 4 THEN 100.0::DOUBLE ELSE 0 END END AS bleu,
+              CASE WHEN task IN ('spoken_extract_qa', 'text_dialog_sft') AND r <> '' THEN 1.0::DOUBLE END AS em, CASE WHEN task <> 'tts' THEN (p = r)::INT END AS same
+              FROM (SELECT *, list_distinct(rw || pw) AS v FROM (SELECT *, string_split(r, ' ') AS rw, [x for x in string_split(p, ' ') if x <> ''] AS pw FROM
+                    (SELECT dataset, task, client_id, {_squeeze('target_text')} AS r, CASE WHEN task = 'asr' THEN {_spoken_sql('target_text')} ELSE {_squeeze('target_text')} END AS p FROM raw_sample))))
+        GROUP BY GROUPING SETS ((dataset), ())"""
+)
 def eval_report(spark: SparkSession, root: str) -> DataFrame:
-    return evaluate.summary(evaluate.measured(_predictions(spark, root)))
+    s = evaluate.summary(evaluate.measured(_predictions(spark, root)))
+    real = lambda c: F.col(c).cast("double").alias(c)
+    r = lambda c, n=9: F.round(c, n).alias(c)
+    return s.select(
+        "dataset", "num_samples", F.array_join("tasks", ",").alias("tasks"), r("wer_mean"), r("bleu_mean", 6), r("exact_match_mean"), r("text_exact_match_mean"), real("wer_num_samples"), real("bleu_num_samples"),
+        real("exact_match_num_samples"), r("nonempty_pred_text_rate"), r("speech_pred_present_rate"),
+    )
 
 
 @_query(
@@ -673,17 +838,40 @@ def loss_accumulation(spark: SparkSession, root: str) -> DataFrame:
     """SELECT d::INT AS dim, round(avg(x), 9) AS mean, round(stddev_samp(x), 9) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) GROUP BY 1"""
 )
 def embedding_init_stats(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "embeddings").select(F.posexplode("embedding").alias("dim", "x")).select("dim", F.col("x").cast("double").alias("x"))
-    return rows.groupBy("dim").agg(F.round(F.avg("x"), 9).alias("mean"), F.round(F.stddev_samp("x"), 9).alias("std"))
+    return embeddings.column_stats(table(spark, root, "embeddings"), "embedding").select("dim", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+@_query(
+    f"""SELECT row::BIGINT AS row, d::INT AS dim, round(mean + sqrt(-2 * ln(greatest(u, 1e-12::DOUBLE))) * cos(2 * pi() * w) * greatest(std, 1e-6::DOUBLE) * 0.5, 6) AS value FROM
+        (SELECT range + 500 AS row, d, mean, std, {_FRACTION.format("'3-a-' || (range + 500)::VARCHAR || '-' || d::VARCHAR")} AS u, {_FRACTION.format("'3-b-' || (range + 500)::VARCHAR || '-' || d::VARCHAR")} AS w FROM range(40),
+         (SELECT d, avg(x) AS mean, stddev_samp(x) AS std FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) GROUP BY 1))"""
+)
+def embedding_new_rows(spark: SparkSession, root: str) -> DataFrame:
+    stats = embeddings.column_stats(table(spark, root, "embeddings"), "embedding")
+    return embeddings.new_rows(spark, stats, 500, 40, 0.5, 3).select("row", "dim", F.round("value", 6).alias("value"))
 
 
 # ---------------------------------------------------------------- checks
 
 
-@_query("SELECT n.n_nationkey AS config, 'n_regionkey' AS key FROM nation n, (SELECT n_regionkey AS r FROM nation WHERE n_nationkey = 0) WHERE n.n_nationkey > 0 AND n.n_regionkey IS DISTINCT FROM r")
+@_query("SELECT 2 AS config, 'num_codebooks' AS key FROM tokenizer_config UNION ALL SELECT 3, 'extra_special_ids' FROM tokenizer_config UNION ALL SELECT 3, 'base_model' FROM tokenizer_config")
 def config_equality(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "nation").select(F.col("n_nationkey").alias("config"), "n_regionkey")
-    return checks.differing_keys(rows, "config", ["n_regionkey"])
+    one = table(spark, root, "tokenizer_config")
+    more = F.map_concat("extra_special_ids", F.create_map(F.lit("<new>"), F.lit(1)))
+    rows = one.withColumn("config", F.lit(0)).unionByName(one.withColumn("config", F.lit(1))).unionByName(one.withColumns({"config": F.lit(2), "num_codebooks": F.lit(8)}))
+    rows = rows.unionByName(one.withColumns({"config": F.lit(3), "extra_special_ids": more, "base_model": F.lit(None).cast("string")}))
+    return checks.differing_keys(rows, "config", list(checks.CONFIG_KEYS))
+
+
+@_query("SELECT source, min(doc_id) AS first FROM documents GROUP BY 1")
+def distinct_sources(spark: SparkSession, root: str) -> DataFrame:
+    return checks.distinct_in_order(table(spark, root, "documents"), "source", "doc_id")
+
+
+@_query("SELECT source, count(*) AS rows FROM documents WHERE source IS NULL OR source NOT IN (SELECT source FROM mix_target) GROUP BY 1")
+def unknown_sources(spark: SparkSession, root: str) -> DataFrame:
+    names = [r["source"] for r in table(spark, root, "mix_target").select("source").collect()]  # thirteen rows
+    return checks.unknown_names(table(spark, root, "documents"), names, "source")
 
 
 @_query("SELECT batch, count(DISTINCT dataset) AS datasets FROM (SELECT dataset, (row_number() OVER (ORDER BY sample_id, written_at) - 1) // 4 AS batch FROM packed_sample) GROUP BY 1 HAVING count(DISTINCT dataset) > 1")
@@ -697,12 +885,32 @@ def inspect_nth(spark: SparkSession, root: str) -> DataFrame:
     return checks.nth_sample(table(spark, root, "documents").select("doc_id", "text"), "doc_id", 42)
 
 
-@_query()
+_OUTCOME = f"""CASE WHEN {_strip('text')} IN ('<SIL>', '<MUSIC>', '<NOISE>', '<OTHER>') THEN 'garbage' WHEN {_spoken_sql('text')} = '' THEN 'empty_text'
+    WHEN NOT coalesce(duration_sec BETWEEN 0.2 AND 120.0, false) THEN 'bad_duration' ELSE 'written' END"""
+
+
+def _outcomes(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    docs = stream.transcripts(spark, path, schema)
+    return stream.with_outcomes(docs.withColumn("key", F.col("doc_id").cast("string")), "text", "duration_sec", "key")
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema)
+
+
+@_query(f"SELECT {_OUTCOME} AS disposition, count(*) AS rows FROM documents GROUP BY 1")
 def stream_dispositions(spark: SparkSession, root: str) -> DataFrame:
-    schema = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in table(spark, root, "documents").schema)
-    docs = stream.transcripts(spark, f"{root}/documents.parquet", schema)
-    rows = stream.with_outcomes(docs.withColumn("key", F.col("doc_id").cast("string")), "text", "duration_sec", "key")
-    run = uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxloom-stream-")
-    stream.count_outcomes(rows, f"outcomes_{run}", f"{base}/outcomes-{run}").awaitTermination()
-    return spark.table(f"outcomes_{run}")
+    rows = _outcomes(spark, f"{root}/documents.parquet", _schema(table(spark, root, "documents")))
+    name, base = f"outcomes_{uuid.uuid4().hex}", scratch(spark, "stream")
+    stream.count_outcomes(rows, name, base).awaitTermination()
+    return spark.table(name)
+
+
+@_query(f"SELECT doc_id FROM documents WHERE {_OUTCOME} = 'written'")
+def stream_resumed(spark: SparkSession, root: str) -> DataFrame:
+    """A stream that ends, is started again from its checkpoint when more files have come, and writes each row once."""
+    docs, base = table(spark, root, "documents").select("doc_id", "text", "duration_sec"), scratch(spark, "resumed")
+    for k in (0, 1):
+        docs.filter(F.col("doc_id") % 2 == k).write.mode("append").parquet(f"{base}/in")
+        stream.write_written(_outcomes(spark, f"{base}/in", _schema(docs)), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("doc_id")

@@ -43,12 +43,12 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal") ->
     so no single task sees all rows (an unpartitioned window would). `order` must be unique for a fixed result.
     The sorted rows are checkpointed: range borders are sampled, and sizes and rows must have the same ones.
     """
-    out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    out = checkpointed(out.withColumn("__r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = out.groupBy("__p").agg(F.count("*").alias("__n"))
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__ordinal_p", F.spark_partition_id())
+    out = checkpointed(out.withColumn("__ordinal_r", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = out.groupBy("__ordinal_p").agg(F.count("*").alias("__ordinal_n"))
     # one row for each partition of the shuffle
-    starts = sizes.select("__p", (F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__p")) - F.col("__n")).alias("__s"))
-    return out.join(F.broadcast(starts), "__p").withColumn(name, F.col("__s") + F.col("__r")).drop("__p", "__r", "__s", "__n")
+    starts = sizes.select("__ordinal_p", (F.sum("__ordinal_n").over(Window.partitionBy(F.lit(1)).orderBy("__ordinal_p")) - F.col("__ordinal_n")).alias("__ordinal_s"))
+    return out.join(F.broadcast(starts), "__ordinal_p").withColumn(name, F.col("__ordinal_s") + F.col("__ordinal_r")).drop("__ordinal_p", "__ordinal_r", "__ordinal_s", "__ordinal_n")
 
 
 def worker_share(ordinal: Column, start: int = 0, end: int | None = None, workers: int = 1, worker: int = 0) -> Column:

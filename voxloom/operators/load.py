@@ -22,8 +22,8 @@ def batches(df: DataFrame, *order: str, rows: int, multiple: int | None = 8) ->
     Sequences are neither sorted nor written; they meet this table once, by a join on `order`, whose columns must be
     unique together and not null.
     """
-    keys = with_ordinal(df.select(*order, F.size("input_ids").alias("__n")), *order).withColumn("batch", F.floor(F.col("ordinal") / rows))
-    return keys.drop("ordinal").join(_longest(keys, "batch", F.col("__n"), multiple), "batch").drop("__n")
+    keys = with_ordinal(df.select(*order, F.size("input_ids").alias("__size")), *order).withColumn("batch", F.floor(F.col("ordinal") / rows))
+    return keys.drop("ordinal").join(_longest(keys, "batch", F.col("__size"), multiple), "batch").drop("__size")
 
 
 def _longest(df: DataFrame, batch: str, size: Column, multiple: int | None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,6 @@ _EMPTY = "array<int>"
 
 def public_texts(path: str) -> Callable[[Column], Column]:
     """Ids back to a text by a `tokenizers` file, in Arrow batches; special ids are left out, null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
         got = iter(_tokenizer(path).decode_batch([[int(i) for i in x] for x in ids if x is not None], skip_special_tokens=True))
@@ -65,10 +64,7 @@ def _tokenizer(path: str):  # noqa: ANN202
 
 def public_tokenizer(path: str) -> Callable[[Column], Column]:
     """A text to ids by a `tokenizers` file, in Arrow batches; null stays null. Special strings are ordinary text."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, IntegerType
-
-    @F.pandas_udf(ArrayType(IntegerType()))
+    @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         got = iter(_tokenizer(path).encode_batch([x for x in texts if x is not None], add_special_tokens=False))
         return pd.Series([None if x is None else next(got).ids for x in texts])

@@ -103,7 +103,7 @@ def decoded_codes(rows: DataFrame, codec: Callable[[np.ndarray], np.ndarray] = s
                     out.append((key, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["key", "wav", "samples", "error"]).astype({"samples": "Int64"})
 
-    return rows.select("key", "codes").mapInPandas(run, "key string, wav binary, samples long, error string")
+    return rows.select(F.col("key").cast("string").alias("key"), "codes").mapInPandas(run, "key string, wav binary, samples long, error string")
 
 
 def encoded(files: DataFrame, codec: Callable[[np.ndarray], np.ndarray] = stand_in_codec) -> DataFrame:
@@ -124,7 +124,7 @@ def encoded(files: DataFrame, codec: Callable[[np.ndarray], np.ndarray] = stand_
                     out.append((key, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["key", "codes", "duration_sec", "error"])
 
-    return files.select("key", "content", "begin", "end").mapInPandas(run, "key string, codes array<array<int>>, duration_sec double, error string")
+    return files.select(F.col("key").cast("string").alias("key"), "content", "begin", "end").mapInPandas(run, "key string, codes array<array<int>>, duration_sec double, error string")
 
 
 def joined_passages(recordings: DataFrame) -> DataFrame:
