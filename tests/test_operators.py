@@ -200,3 +200,51 @@ def test_pipeline_over_segments(spark):
     assert {k[0]: r["disposition"] for k, r in out.items()} == {"1": "written", "2": "garbage", "5": "missing_audio"}
     assert out["1", "asr"]["target_text"] == "hi." and out["1", "tts"]["target_speech"] == [[1], [2]] and out["1", "tts"]["sample_id"] == "segments-xl-tts-1"
     assert {r["disposition"] for r in pipeline.segment_samples(df, index, codes, "XL", dry=True).collect()} == {"available", "missing_audio"}
+
+
+def test_rows_to_generate_for(spark):
+    rows = [("a", [1, 2], [-100, 2], None), ("b", [1, 2], [1, 2], [1, 1]), ("c", [1, 2, 3], [-100, -100, 3], [1, 1, 0]), ("d", [1], [-100], [1])]
+    df = spark.createDataFrame(rows, "k string, input_ids array<int>, labels array<int>, attention_mask array<tinyint>")
+    got = {r["k"]: (r["prompt"], r["target"], r["budget"]) for r in load.generation_inputs(df, "k", 8, limit=2).collect()}
+    assert got == {"a": ([1], [2], 9), "c": ([1, 2], [], 8)}
+    assert load.generation_inputs(df, "k", 8, fixed=5).select("budget").distinct().collect() == [(5,)]
+
+
+def test_batches_number_keys_only(spark):
+    df = spark.createDataFrame([(k, list(range(n))) for k, n in (("a", 3), ("b", 9), ("c", 1))], "k string, input_ids array<int>")
+    got = {r["k"]: (r["batch"], r["padded_length"], r["batch_rows"]) for r in load.batches(df, "k", rows=2).collect()}
+    assert got == {"a": (0, 16, 2), "b": (0, 16, 2), "c": (1, 8, 1)}
+
+
+def test_targets_without_labels_are_refused(spark):
+    assert [r[0] for r in spark.createDataFrame([([-100],), ([-100, 1],), ([],), (None,)], "x array<int>").select(pack.has_target(F.col("x"))).collect()] == [False, True, False, False]
+    packer = pack.Packer(IdSpace("m", 100, 1, 4, {}), lambda c: pack.hashed_words(c, 100), pack.IGNORE)
+    cols = "sample_id string, dataset string, split string, task string, input_text string, target_text string, question_text string, input_text_token array<int>, target_text_token array<int>, input_speech array<array<int>>, target_speech array<array<int>>"
+    one = spark.createDataFrame([("s", "d", "train", "text_dialog_sft", None, None, None, [1], [], None, None)], cols)
+    assert packer.pack(one, on_error="quarantine").first()["error"] == "no target id remains"
+
+
+def test_draws_of_an_empty_data_set_are_an_error(spark):
+    rows = spark.createDataFrame([("a", "x")], "dataset string, k string")
+    assert mixture.mixed(mixture.draws(spark, 5, {"a": 1.0}), rows, "k").count() == 5
+    with pytest.raises(ValueError, match="no rows to draw of b"):
+        mixture.mixed(mixture.draws(spark, 5, {"b": 1.0}), rows, "k")
+
+
+def test_curriculum_of_draws(spark):
+    got = mixture.curriculum_draws(spark, 40, {"a": (1.0, 0.0), "b": (0.0, 1.0)}, batch=2, every=5).collect()
+    assert {(r["stage"], r["dataset"]) for r in got if r["stage"] in (0, 3)} == {(0, "a"), (3, "b")}
+
+
+def test_names_and_maps(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 1), ("a", 0), (None, 2)], "v string, o int")
+    assert [tuple(r) for r in checks.distinct_in_order(df, "v", "o").collect()] == [("a", 0), ("b", 1), (None, 2)]
+    with pytest.raises(ValueError):
+        checks.assert_known(df, ["a"], "v")
+    checks.assert_known(df.filter("v = 'a'"), ["a"], "v")
+    c = spark.createDataFrame([(0, {"x": 1, "y": 2}), (1, {"y": 2, "x": 1}), (2, {"x": 1}), (3, None)], "i int, m map<string,int>")
+    assert sorted(tuple(r) for r in checks.differing_keys(c, "i", ["m"]).collect()) == [(2, "m"), (3, "m")]
+    assert chat.ChatTemplate().opening_after("ab", "abc") == "c"
+    with pytest.raises(ValueError):
+        chat.ChatTemplate().opening_after("ab", "xbc")
+

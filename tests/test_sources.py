@@ -82,6 +82,24 @@ def test_audio(spark, tmp_path):
     assert r["codes"] == [[1, 3], [2, 4]] and r["duration_sec"] == 0.75 and r["files"] == ["a", "b"]
 
 
+def test_resampling_keeps_low_and_drops_high_tones():
+    t = np.arange(48000) / 48000
+    low, high = np.sin(2 * np.pi * 440 * t), np.sin(2 * np.pi * 17000 * t)
+    got = audio.resampled(low, 48000)
+    assert len(got) == 24000 and np.abs(got - np.sin(2 * np.pi * 440 * np.arange(24000) / 24000))[100:-100].max() < 1e-3
+    assert np.abs(audio.resampled(high, 48000))[100:-100].max() < 0.01
+    assert len(audio.resampled(np.zeros(0), 8000)) == 0 and audio.resampled(low[:8000], 8000).shape == (24000,)
+
+
+def test_codes_to_a_recording_and_back(spark):
+    codes = [[0, 2046, 7], [1, 2, 3], [9, 9, 9], [2046, 1024, 5]]
+    rows = spark.createDataFrame([("a", codes), ("none", None), ("empty", [[], [], [], []])], "key string, codes array<array<int>>")
+    got = {r["key"]: r for r in audio.decoded_codes(rows).collect()}
+    x, rate = audio.decoded(bytes(got["a"]["wav"]))
+    assert rate == audio.RATE and len(x) == got["a"]["samples"] == 3 * 1920 and got["none"]["error"] and got["empty"]["samples"] == 0
+    assert audio.stand_in_codec(x).tolist() == codes
+
+
 def test_tar_shards_there_and_back(spark, tmp_path):
     rows = [(f"k{i:03d}", json.dumps({"n": i, "t": "é"}), [i, i + 1], [1, 0], [[i, 1], [2, 3]]) for i in range(25)]
     df = spark.createDataFrame(rows, "key string, json string, a array<int>, m array<tinyint>, c array<array<int>>").repartition(2)

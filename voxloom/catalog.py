@@ -158,14 +158,19 @@ def repeated_keys(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- raw build
 
 
-def _segments(spark: SparkSession, root: str) -> DataFrame:
-    """Recordings with their segments, nested as their corpus delivers them."""
+def _outer_meta(spark: SparkSession, root: str) -> DataFrame:
+    """Segments, each with its recording."""
     rows = table(spark, root, "raw_sample").filter("dataset = 'gigaspeech'")
     meta = F.from_json("meta", "aid string, source string, segment_subsets array<string>, begin_time double, end_time double")
     rows = rows.select(meta.alias("m"), "sample_id", "target_text")
     tags = F.transform("m.segment_subsets", lambda x: F.concat(F.lit("{"), x, F.lit("}")))
     seg = F.struct(F.col("sample_id").alias("sid"), F.col("m.begin_time").alias("begin_time"), F.col("m.end_time").alias("end_time"), tags.alias("subsets"), F.col("target_text").alias("text_tn"))
-    one = rows.select("m.aid", "m.source", seg.alias("s")).groupBy("aid", "source").agg(F.collect_list("s").alias("segments"))
+    return rows.select("m.aid", "m.source", seg.alias("s"))
+
+
+def _segments(spark: SparkSession, root: str) -> DataFrame:
+    """Recordings with their segments, nested as their corpus delivers them."""
+    one = _outer_meta(spark, root).groupBy("aid", "source").agg(F.collect_list("s").alias("segments"))
     return one.select(F.array(F.struct("aid", "source", F.lit(None).cast("array<string>").alias("subsets"), "segments")).alias("audios"))
 
 

@@ -60,8 +60,10 @@ def mixed(draw: DataFrame, rows: DataFrame, key: str, seed: int = 0) -> DataFram
     own = _places(rows.select("dataset", key, F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))).alias("__h")), "__h", key)
     nth = _places(draw.select("dataset", "draw"), "draw")
     sizes = own.groupBy("dataset").agg(F.count("*").alias("size"))
-    none = F.raise_error(F.concat(F.lit("no rows to draw of "), F.col("dataset"))).cast("long")
-    nth = nth.join(F.broadcast(sizes), "dataset", "left").withColumn("size", F.coalesce("size", none)).select("dataset", "draw", (F.col("place") % F.col("size")).alias("place"), F.floor(F.col("place") / F.col("size")).alias("epoch"))
+    lacking = nth.select("dataset").distinct().join(sizes, "dataset", "left_anti").first()
+    if lacking is not None:
+        raise ValueError(f"no rows to draw of {lacking['dataset']}")
+    nth = nth.join(F.broadcast(sizes), "dataset").select("dataset", "draw", (F.col("place") % F.col("size")).alias("place"), F.floor(F.col("place") / F.col("size")).alias("epoch"))
     return nth.join(own.select("dataset", "place", key), ["dataset", "place"]).select("draw", "dataset", "epoch", key)
 
 
@@ -85,6 +87,14 @@ def resampled_shards(spark: SparkSession, shards: int, n: int, seed: int = 0) ->
     return spark.range(n).select(F.col("id").alias("draw"), F.least(F.floor(u * shards), F.lit(shards - 1)).cast("int").alias("shard"))
 
 
+def drawn_samples(draw: DataFrame, samples: DataFrame, number: str = "number") -> DataFrame:
+    """The samples of drawn shards (draw, shard): each sample once for each time its shard is drawn.
+
+    Shards are drawn far less often than they hold samples, so the draws of a shard are no hot key; which of them a node
+    and worker read is chosen before (see ids.shard_share)."""
+    return draw.join(samples.withColumnRenamed(number, "shard"), "shard")
+
+
 def tagged_union(parts: dict[str, DataFrame], tag: str) -> DataFrame:
     """Data sets one after another, each row with its name and the place of its set."""
     out = None

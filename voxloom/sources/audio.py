@@ -73,7 +73,9 @@ def stand_in_codec(x: np.ndarray, codebooks: int = 4, size: int = 2048, hop: int
 
 
 def stand_in_decode(codes: np.ndarray, size: int = 2048, hop: int = 1920) -> np.ndarray:
-    """Samples in [-1, 1] from codes of stand_in_codec: each code fills its part of the frame with the middle of its step."""
+    """Samples in [-1, 1] from codes of stand_in_codec: each code fills its part of the frame with the middle of its step.
+
+    The last code stands for 1 alone, which 16-bit files cannot hold; read back from one it is the code before."""
     codebooks, frames = codes.shape
     values = np.clip((codes.astype(np.float64) + 0.5) / (size - 1) * 2 - 1, -1, 1)
     return np.repeat(values.T.reshape(-1), hop // codebooks) if frames else np.zeros(0)

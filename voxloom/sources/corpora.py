@@ -39,7 +39,7 @@ def clips_tsv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.col(c) for c in raw.columns), first_filled(*have("sentence", "text", "transcript")).alias("text_used"))
 
 
-def nested_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def nested_items(spark: SparkSession, path: str, schema: str, ending: str = ".json") -> DataFrame:
     """The items of the list of a nested document, one in a row under the name of the list, with file and place.
 
     `schema` is `name array<struct<...>>`. A document is cut into its items as a stream (bounded memory, one task for
@@ -48,18 +48,18 @@ def nested_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """
     name, kind = schema.split(" ", 1)
     spark.dataSource.register(JsonItems)
-    rows = spark.read.format("jsonitems").option("path", path).option("items", name).load()
+    rows = spark.read.format("jsonitems").option("path", path).option("items", name).option("ending", ending).load()
     return spread(rows).select("file", "place", F.array(F.from_json("item", kind.removeprefix("array<")[:-1])).alias(name))
 
 
-def segmented_json(spark: SparkSession, path: str) -> DataFrame:
+def segmented_json(spark: SparkSession, path: str, ending: str = ".json") -> DataFrame:
     """Long recordings with their segments, one recording in a row, with its place in its document."""
-    return nested_items(spark, path, SEGMENTED)
+    return nested_items(spark, path, SEGMENTED, ending)
 
 
-def questions_json(spark: SparkSession, path: str) -> DataFrame:
+def questions_json(spark: SparkSession, path: str, ending: str = ".json") -> DataFrame:
     """Questions on passages, nested by article and paragraph, one article in a row, with its place in its document."""
-    return nested_items(spark, path, QUESTIONS)
+    return nested_items(spark, path, QUESTIONS, ending)
 
 
 def chats_parquet(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:

@@ -92,10 +92,10 @@ class _File(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.name = options["path"], options["items"]
+        self.path, self.name, self.ending = options["path"], options["items"], options.get("ending", ".json")
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in (below(self.path, ".json") if kind(self.path) == "folder" else [self.path])]
+        return [_File(p) for p in (below(self.path, self.ending) if kind(self.path) == "folder" else [self.path])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         held, size, first = [], 0, 0
@@ -116,7 +116,7 @@ class _Reader(DataSourceReader):
 
 
 class JsonItems(DataSource):
-    """format("jsonitems"): options path (a file or a folder of .json files) and items (the name of the list)."""
+    """format("jsonitems"): options path (a file, or a folder of files that end in `ending`, .json by default) and items (the name of the list)."""
 
     @classmethod
     def name(cls) -> str:

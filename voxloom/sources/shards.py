@@ -229,6 +229,16 @@ def write(df: DataFrame, root: str, maxcount: int = 10_000, prefix: str = "shard
     rows.write.format("tarshards").option("path", root).option("maxcount", maxcount).option("prefix", prefix).mode("append").save()
 
 
+def write_numbered(df: DataFrame, root: str, shards: int, number: str = "number", prefix: str = "shard") -> None:
+    """`df` (key, json, arrays and the number of the shard, below `shards`) as one shard for each number, keys in order."""
+    write(df.repartitionById(shards, F.col(number).cast("int")).sortWithinPartitions("key"), root, maxcount=2**31 - 1, prefix=prefix)
+
+
+def numbered(samples: DataFrame) -> DataFrame:
+    """Samples of numbered shards with that number."""
+    return samples.withColumn("number", F.regexp_extract("shard", r"-(\d+)-\d+\.tar$", 1).cast("int"))
+
+
 def inspected(path: str, n: int) -> dict:
     """The n-th complete sample of one shard in the order of its keys: key, meta and arrays."""
     rows = sorted((r for r in _samples(path) if r[1] is not None and r[2] is not None), key=lambda r: r[0])

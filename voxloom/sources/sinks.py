@@ -33,6 +33,14 @@ def write_config(config: dict, root: str) -> str:
     return path
 
 
+def write_document(items: DataFrame, name: str, path: str) -> None:
+    """One JSON document with a list under `name`: the texts in `item` in the order of `ordinal` (from 0), a file in a
+    folder. A document is one file and so one task's work; the items come to it in order and are not held."""
+    ends = items.sparkSession.createDataFrame([(-1, f'{{"{name}": ['), (2**62, "]}")], "ordinal long, value string")
+    lines = items.select("ordinal", F.concat(F.when(F.col("ordinal") > 0, ",").otherwise(""), "item").alias("value")).unionByName(ends)
+    lines.repartition(1).sortWithinPartitions("ordinal").select("value").write.mode("overwrite").text(path)
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """One JSON record a line; nulls are written."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
