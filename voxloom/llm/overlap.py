@@ -28,8 +28,8 @@ from voxloom.runtime import checkpointed
 
 #: Texts, and letters of texts, of a side in a cell of the grid of shards and training slices, and the most tasks that
 #: work on cells. Results do not depend on them.
-EVAL_CELL, TRAIN_CELL = 1 << 14, 1 << 17
-EVAL_LETTERS, TRAIN_LETTERS = 1 << 22, 1 << 24
+EVAL_CELL, TRAIN_CELL = 1 << 15, 1 << 16
+EVAL_LETTERS, TRAIN_LETTERS = 1 << 23, 1 << 23
 MOST_TASKS = 4096
 
 #: Numbers of a text's letter-pair histogram, passages shared by two texts held at once, and the longest text (in words
@@ -234,13 +234,14 @@ def covered(e_plain: list[str], t_plain: list[str], least: float, similarity: fl
     shard, t = Shard(e_plain), _Side(t_plain)
     e = shard.side
     need = np.maximum(1, np.ceil(least * e.size / PASSAGE - 1e-9)).astype(np.int64)
-    out = []
+    least_need, out = need.min(), []
     for lo in range(0, len(t_plain), step := max(1, AT_ONCE // len(e_plain))):
         hi = min(len(t_plain), lo + step)
         found = shard.scan(t.letters[lo:hi])
         pair, shared = shard.meetings(found)
-        r, c = np.divmod(pair, len(e_plain))
-        enough = shared >= need[c]
+        some = np.flatnonzero(shared >= least_need)
+        r, c = np.divmod(pair[some], len(e_plain))
+        enough = shared[some] >= need[c]
         r, c = r[enough], c[enough]
         x, y = e.size[c], t.size[lo + r]
         most = np.floor(np.maximum(x, y) * (1 - similarity) + 1e-9).astype(np.int64)
