@@ -103,3 +103,19 @@ def test_rows_without_an_id_and_rows_delivered_again(spark):
     assert [tuple(r) for r in pairs.defects(pairs.chat_pairs(chats), ends).orderBy("id").collect()] == [("ultrachat_200k", None, 0, ["empty"])] * 2 + [("ultrachat_200k", "a", 0, ["empty"])]
     spoken = spark.createDataFrame([(None, None, None, None), (None, "q", None, None), ("b", "q", "", None), ("b", "q", "", None)], "id string, question string, answer_text string, context_text string")
     assert pairs.defects(pairs.question_pairs(spoken), ends).count() == 3
+
+
+def test_empty_tables_and_clashing_names(spark):
+    chats = spark.createDataFrame([("a", [("user", "How?"), ("assistant", "")], 7, 1, "x", "y")], "id string, messages array<struct<role:string,content:string>>, turn int, row int, kinds string, defects string")
+    spoken = spark.createDataFrame([("b", "q", "", None, "x", 1)], "id string, question string, answer_text string, context_text string, answer string, item int")
+    ends = pairs.phrase_ends(spoken, "context_text")
+    both = pairs.question_pairs(spoken).unionByName(pairs.chat_pairs(chats))
+    assert sorted(tuple(r) for r in pairs.defects(both, ends).collect()) == [("spoken_squad", "b", 0, ["empty"]), ("ultrachat_200k", "a", 0, ["empty"])]
+    none = pairs.question_pairs(spoken.limit(0)).unionByName(pairs.chat_pairs(chats.limit(0)))
+    assert pairs.defects(none, ends).count() == 0 and none.count() == 0
+
+
+def test_very_long_replies():
+    long = "It rains in the hut and so we wait. " * 20_000
+    assert judge("Why do we wait?", long, None)[0] == []
+    assert judge("Why do we wait?", long + "And the", None)[0] == ["truncated"]

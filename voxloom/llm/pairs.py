@@ -374,7 +374,9 @@ def defects(pairs: DataFrame, ends: DataFrame) -> DataFrame:
 
     judged = pairs.select(*names, "question", "answer", "context")
     judged = judged.mapInArrow(run, "dataset string, id string, row long, turn int, defects array<string>, look string")
-    told = judged.join(ends, judged["look"] == ends["item"], "left")
+    # most rows have nothing to look up; without a key of their own they would all meet in one task
+    key = F.coalesce("look", F.concat(F.lit("\0"), F.xxhash64("id", "row", "turn").cast("string")))
+    told = judged.withColumn("key", key).join(ends.withColumnRenamed("item", "key"), "key", "left")
     cut = F.coalesce((F.col("n") >= 2) & (F.col("closed") < LEAST_CLOSED * F.col("n")) & ~F.array_contains("defects", "truncated"), F.lit(False))
     all_ = told.select(*names, F.when(cut, F.array_append("defects", F.lit("truncated"))).otherwise(F.col("defects")).alias("defects"))
     return all_.filter(F.size("defects") > 0).groupBy(*names).agg(F.min("defects").alias("defects")).drop("row")
