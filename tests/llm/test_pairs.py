@@ -17,6 +17,8 @@ PASSAGE = "In 1769, Dora Lifted the foreign crown in the mountain hut, because K
         ("Where was it?", "in the mountain hut", PASSAGE, []),
         ("Where was it?", "in the mount", PASSAGE, ["truncated"]),
         ("Where was it?", "in the", PASSAGE, ["truncated"]),
+        ("Who sold the radio?", "Dora L", PASSAGE, ["truncated"]),
+        ("Who explained the used stone?", "Who explained the ued stone?", PASSAGE, ["copied_question"]),
         ("When was it?", "1769", PASSAGE, []),
         ("Where was it that Kel sold the radio?", "im Kloster", PASSAGE, ["wrong_language"]),
         ("How can I do it?", "I'm sorry, but I can't help with that.", None, ["refusal"]),

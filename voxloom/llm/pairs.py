@@ -142,7 +142,7 @@ def _script(text: str) -> str | None:
 
 
 def _like(a: str, b: str) -> bool:
-    return a == b or (min(len(a), len(b)) > 3 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.75)
+    return a == b or (min(len(a), len(b)) > 2 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.75)
 
 
 def copies_question(question: list[str], answer: list[str]) -> bool:
@@ -218,10 +218,11 @@ def judge(question: str | None, answer: str | None, context: str | None = None)
     if _NOTHING.match(text) and not (span == "edge" and text[0].isalnum() and text in (context or "")):
         return ["empty"], None
     quoted = span in ("edge", "on")
+    # what stands in the passage, be it cut within a word, is in its language
     q_lang, _ = language(q)
     a_lang, telling = language(a)
     own = sum(w in _TELL[q_lang] for w in a) if q_lang and a_lang != q_lang else 0
-    foreign = bool(q_lang and a_lang and a_lang != q_lang and telling > 2 * own) or (_script(asked) == "latin" and _script(plain) == "other")
+    foreign = span is None and bool(q_lang and a_lang and a_lang != q_lang and telling > 2 * own) or (_script(asked) == "latin" and _script(plain) == "other")
     refused = copied = False
     if not quoted:
         refused = not (_DECLINES.isdisjoint(a) and "```" not in text) and any(p.search(text.replace("’", "'")) for p in _REFUSALS)
