@@ -527,14 +527,14 @@ def tokenize_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", back.alias("text"), (back == F.col("text")).alias("same"))
 
 
-@_query()
+@_query("SELECT doc_id, true AS some, true AS same FROM documents WHERE length(text) > 0")
 def tokenize_public(spark: SparkSession, root: str) -> DataFrame:
-    """Ids of a public vocabulary and whether they give the text back; no SQL, the vocabulary is a file."""
+    """Whether the ids of a public vocabulary, which is a file and so unknown to SQL, give the text back."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = table(spark, root, "documents").filter("text IS NOT NULL").select("doc_id", "text", pack.public_tokenizer(path)(F.col("text")).alias("ids"))
-    return rows.select("doc_id", F.size("ids").alias("n"), _print("ids").alias("ids"), (pack.public_texts(path)(F.col("ids")) == F.col("text")).alias("same"))
+    rows = table(spark, root, "documents").filter(F.length("text") > 0).select("doc_id", "text", pack.public_tokenizer(path)(F.col("text")).alias("ids"))
+    return rows.select("doc_id", (F.size("ids") > 0).alias("some"), (pack.public_texts(path)(F.col("ids")) == F.col("text")).alias("same"))
 
 
 # ---------------------------------------------------------------- loading
@@ -553,11 +553,11 @@ def prompt_target_split(spark: SparkSession, root: str) -> DataFrame:
 
 @_query(
     f"""SELECT sample_id, n_prompt, n_target, greatest(8, n_target + 16)::INT AS budget FROM (SELECT sample_id, written_at, len([1 for i in range(1, least(n, len(input_ids)) + 1) if labels[i] = -100])::INT AS n_prompt,
-        len([x for x in labels[1:n] if x <> -100])::INT AS n_target FROM (SELECT *, CASE WHEN attention_mask IS NULL THEN len(input_ids)::INT ELSE {_N} END AS n FROM packed_sample WHERE dataset <> 'gigaspeech'))
+        len([x for x in labels[1:n] if x <> -100])::INT AS n_target FROM (SELECT *, CASE WHEN attention_mask IS NULL THEN len(input_ids)::INT ELSE {_N} END AS n FROM packed_sample))
         WHERE n_prompt > 0 ORDER BY sample_id, written_at LIMIT 150"""
 )
 def generation_select(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "packed_sample").filter("dataset <> 'gigaspeech'").withColumn("at", F.struct("sample_id", "written_at"))
+    rows = table(spark, root, "packed_sample").withColumn("at", F.struct("sample_id", "written_at"))
     return load.generation_inputs(rows, "at", 16, 150).select("sample_id", F.size("prompt").alias("n_prompt"), F.size("target").alias("n_target"), "budget")
 
 

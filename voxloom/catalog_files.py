@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.catalog import _FRACTION, _SEGMENTS, _outer_meta, _print, _strip
-from voxloom.functions import ids, text
+from voxloom.catalog import _FRACTION, _SEGMENTS, SPACE, _outer_meta, _print, _strip
+from voxloom.functions import ids, speech, text
 from voxloom.operators import build, evaluate, mixture, pack
 from voxloom.runtime import scratch, table
-from voxloom.sources import corpora, shards, sinks
+from voxloom.sources import audio, corpora, shards, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -207,13 +207,13 @@ def write_shard_files(spark: SparkSession, root: str) -> DataFrame:
     return each.agg(F.sum("n").alias("rows"), (F.max("n") <= 150).alias("bounded"), (F.count("*") >= 1).alias("any"))
 
 
-@_query("SELECT event_id AS step, event_type AS name, value FROM events WHERE event_id % 50 IN (0, 1)")
+@_query("SELECT event_id AS step, event_type AS name, value FROM events")
 def write_metric_log(spark: SparkSession, root: str) -> DataFrame:
     """A log that two runs add to."""
     path = scratch(spark, "metrics")
     rows = table(spark, root, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("name"), "value")
     for k in (0, 1):
-        sinks.append_metrics(rows.filter(F.col("step") % 50 == k), path)
+        sinks.append_metrics(rows.filter(F.col("step") % 2 == k), path)
     return spark.read.parquet(path)
 
 
@@ -252,3 +252,42 @@ def complete_pairs(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "raw_sample").filter("task = 'asr'")
     both = rows.select("sample_id", "dataset", "split", F.col("target_text").alias("json"), F.col("sample_id").alias("npz"))
     return pack.complete(both).select("sample_id", F.concat_ws("/", "dataset", F.lower(F.trim("split"))).alias("prefix"), F.length(text.preview(F.col("json"), 2**30)).alias("n"))
+
+
+@_query(
+    """SELECT '1_' || (vec_id // 10)::VARCHAR || '_' || (vec_id % 10)::VARCHAR AS stem, 16::INT AS frames, 1.28::DOUBLE AS duration_sec, 6::INT AS part_frames, 0.48::DOUBLE AS part_sec FROM embeddings"""
+)
+def read_recordings(spark: SparkSession, root: str) -> DataFrame:
+    """Recordings written as wav files, indexed by name, read whole and in part."""
+    path = scratch(spark, "waves")
+    rows = table(spark, root, "embeddings")
+    name = F.concat(F.lit("1_"), F.floor(F.col("vec_id") / 10).cast("string"), F.lit("_"), (F.col("vec_id") % 10).cast("string"))
+    waves = audio.decoded_codes(rows.select(name.alias("key"), speech.quantised(F.col("embedding"), SPACE, 16).alias("codes")))
+    audio.write_waves(waves.filter("error IS NULL"), path).count()
+    index = audio.file_index(spark, path)
+    content = spark.read.format("binaryFile").load(f"{path}/*.wav").select("path", "content")
+    files = content.join(index, "path").select(F.col("stem").alias("key"), "content")
+    none = F.lit(None).cast("double")
+    whole = audio.encoded(files.withColumns({"begin": none, "end": none}))
+    part = audio.encoded(files.withColumns({"begin": F.lit(0.32), "end": F.lit(0.8)})).select("key", F.size(F.get("codes", F.lit(0))).alias("part_frames"), F.round("duration_sec", 9).alias("part_sec"))
+    out = whole.select("key", F.size(F.get("codes", F.lit(0))).alias("frames"), F.round("duration_sec", 9).alias("duration_sec")).join(part, "key")
+    return out.withColumnRenamed("key", "stem")
+
+
+@_query(
+    """SELECT split_part(stem, '_', 1) || '_' || split_part(stem, '_', 2) AS passage, string_agg(path, ',' ORDER BY split_part(stem, '_', 3)::INT) AS files, round(sum(coalesce(duration_sec, 0)), 6) AS duration_sec,
+       string_agg((num_frames % 2048)::VARCHAR || ',7', ',' ORDER BY split_part(stem, '_', 3)::INT) AS codes FROM wav_index GROUP BY 1"""
+)
+def join_recordings(spark: SparkSession, root: str) -> DataFrame:
+    """The codes of a passage's recordings put together in spoken order; each recording stands for two frames here."""
+    w, part = table(spark, root, "wav_index"), F.split("stem", "_")
+    code = (F.col("num_frames") % 2048).cast("int")
+    book = F.array(code, F.lit(7))
+    rows = w.select(F.concat_ws("_", part[0], part[1]).alias("passage"), part[2].cast("int").alias("place"), "path", F.array(book, book).alias("codes"), F.coalesce("duration_sec", F.lit(0.0)).alias("duration_sec"))
+    out = audio.joined_passages(rows)
+    return out.select("passage", F.array_join("files", ",").alias("files"), F.round("duration_sec", 6).alias("duration_sec"), F.array_join(F.transform(F.get("codes", F.lit(1)), lambda x: x.cast("string")), ",").alias("codes"))
+
+
+@_query("SELECT sample_id, row_number() OVER (ORDER BY md5('3-' || sample_id), sample_id) - 1 AS place FROM (SELECT DISTINCT sample_id FROM packed_sample)")
+def shuffle_order(spark: SparkSession, root: str) -> DataFrame:
+    return mixture.shuffled(table(spark, root, "packed_sample").select("sample_id").distinct(), "sample_id", seed=3)

@@ -77,8 +77,13 @@ def _places(df: DataFrame, *order: str) -> DataFrame:
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """All rows in an order set by a seeded hash of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    """All rows with their place (from 0) in an order set by a seeded hash of the key, the same in every engine.
+
+    Only keys are ordered and numbered; rows meet their place by the key, which must be unique and not null.
+    """
+    order = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
+    places = with_ordinal(df.select(key, order.alias("__h")), "__h", key, name="place").drop("__h")
+    return df.join(places, key)
 
 
 def resampled_shards(spark: SparkSession, shards: int, n: int, seed: int = 0) -> DataFrame:

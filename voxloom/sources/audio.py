@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxloom.sources.files import write_bytes
+
 RATE = 24_000
 
 #: Zero crossings to either side of the interpolation kernel.
@@ -90,6 +92,19 @@ def wav_bytes(x: np.ndarray, rate: int = RATE) -> bytes:
     return buffer.getvalue()
 
 
+def write_waves(rows: DataFrame, root: str) -> DataFrame:
+    """Each recording (key, wav) as a file of its key below a folder; path, key of the files once it is run."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            paths = [f"{root}/{k}.wav" for k in b["key"]]
+            for p, w in zip(paths, b["wav"], strict=True):
+                write_bytes(p, bytes(w))
+            yield pd.DataFrame({"key": b["key"], "path": paths})
+
+    return rows.select(F.col("key").cast("string").alias("key"), "wav").mapInPandas(run, "key string, path string")
+
+
 def decoded_codes(rows: DataFrame, codec: Callable[[np.ndarray], np.ndarray] = stand_in_decode) -> DataFrame:
     """key, wav, samples, error for rows of key and codes (codebooks x frames), in Arrow batches. Codes that cannot be
     decoded give their error and no recording; null ones are such."""

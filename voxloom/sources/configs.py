@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import json
 
+from voxloom.sources.files import read_bytes
+
 
 def load(path: str) -> dict:
     """A settings file; YAML needs its package, JSON does not."""
-    with open(path, encoding="utf-8") as f:
-        if path.endswith(".json"):
-            return json.load(f)
-        try:
-            import yaml
-        except ImportError as e:
-            raise RuntimeError("reading YAML needs the yaml package") from e
-        return yaml.safe_load(f)
+    text = read_bytes(path).decode()
+    if path.endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the yaml package") from e
+    return yaml.safe_load(text)
 
 
 def filled(urls: str | list[str], **values: object) -> str | list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.ids import with_ordinal
@@ -63,10 +63,17 @@ def questions_json(spark: SparkSession, path: str, ending: str = ".json") -> Dat
 
 
 def chats_parquet(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """Chats with the file they come from and their place over all files in name order."""
+    """Chats with the file they come from and their place over all files in name order.
+
+    Rows know their place in their file, so only the files are counted and summed up; chats are neither sorted nor moved.
+    """
     rows = spark.read.schema(MESSAGES).option("pathGlobFilter", pattern).parquet(path)
-    rows = rows.select("messages", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.row_index").alias("row"))
-    return with_ordinal(rows, "source_file", "row").drop("row")
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = rows.select(file.alias("path"), row.alias("row")).groupBy("path").agg((F.max("row") + 1).alias("n"))
+    # a row for each file: one partition of them is no gathering of the chats
+    first = files.select("path", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("path")) - F.col("n")).alias("first"))
+    every = rows.select("messages", F.col("_metadata.file_name").alias("source_file"), file.alias("path"), row.alias("row"))
+    return every.join(first, "path").select("messages", "source_file", (F.col("first") + F.col("row")).alias("ordinal"))
 
 
 def physical_rows(spark: SparkSession, path: str) -> int:
