@@ -9,7 +9,7 @@ from voxloom.catalog import _FRACTION, _SEGMENTS, SPACE, _outer_meta, _print, _s
 from voxloom.functions import ids, speech, text
 from voxloom.operators import build, evaluate, mixture, pack
 from voxloom.runtime import scratch, table
-from voxloom.sources import audio, corpora, shards, sinks
+from voxloom.sources import audio, configs, corpora, files, shards, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -291,3 +291,39 @@ def join_recordings(spark: SparkSession, root: str) -> DataFrame:
 @_query("SELECT sample_id, row_number() OVER (ORDER BY md5('3-' || sample_id), sample_id) - 1 AS place FROM (SELECT DISTINCT sample_id FROM packed_sample)")
 def shuffle_order(spark: SparkSession, root: str) -> DataFrame:
     return mixture.shuffled(table(spark, root, "packed_sample").select("sample_id").distinct(), "sample_id", seed=3)
+
+
+@_query("SELECT base_model, text_vocab_size, speech_offset, speech_vocab_size_total, full_vocab_size, num_codebooks, speech_codebook_size, cardinality(extra_special_ids)::INT AS specials FROM tokenizer_config")
+def id_space_config(spark: SparkSession, root: str) -> DataFrame:
+    """The id space made from a base model's figures, as the configuration of a data set."""
+    c = table(spark, root, "tokenizer_config").first()  # one row
+    space = speech.IdSpace(c["base_model"], c["text_vocab_size"], c["num_codebooks"], c["speech_codebook_size"], dict(c["extra_special_ids"]))
+    got = space.config() | {"specials": len(space.special)}
+    kinds = "base_model string, text_vocab_size int, speech_offset int, speech_vocab_size_total int, full_vocab_size int, num_codebooks int, speech_codebook_size int, specials int"
+    return spark.createDataFrame([tuple(got[k.split(" ")[0]] for k in kinds.split(", "))], kinds)
+
+
+@_query("SELECT n AS place, 'shards/' || num_codebooks || 'x' || speech_codebook_size || '/' || s AS url FROM tokenizer_config, (VALUES (0, 'train'), (1, 'dev')) v(n, s)")
+def config_templating(spark: SparkSession, root: str) -> DataFrame:
+    """Settings with placeholders, written, read and filled in from the configuration of a data set."""
+    path, c = scratch(spark, "settings"), table(spark, root, "tokenizer_config").first()
+    files.write_bytes(f"{path}/run.json", b'{"urls": ["shards/{num_codebooks}x{size}/train", "shards/{num_codebooks}x{size}/dev"]}')
+    urls = configs.filled(configs.load(f"{path}/run.json")["urls"], num_codebooks=c["num_codebooks"], size=c["speech_codebook_size"])
+    return spark.createDataFrame(list(enumerate(urls)), "place int, url string")
+
+
+@_query(
+    """SELECT id AS given, CASE k WHEN 0 THEN id WHEN 1 THEN id WHEN 2 THEN 'key-' || id ELSE 'unknown' END AS sample_id, 'unknown' AS dataset, CASE WHEN k = 1 THEN NULL WHEN k = 2 THEN t ELSE 'text of ' || id END AS target_text
+       FROM (SELECT sample_id AS id, target_text AS t, coalesce(length(target_text), 0) % 4 AS k FROM raw_sample WHERE task = 'asr')"""
+)
+def key_fallback(spark: SparkSession, root: str) -> DataFrame:
+    """Shard documents that name their sample in several ways or not at all; `text` counts where it is there, even null."""
+    rows = table(spark, root, "raw_sample").filter("task = 'asr'")
+    k, i = F.coalesce(F.length("target_text"), F.lit(0)) % 4, F.col("sample_id")
+    own = F.map_from_arrays(
+        F.when(k == 0, F.array(F.lit("id"), F.lit("text"))).when(k == 1, F.array(F.lit("sample_id"), F.lit("text"))).when(k == 2, F.array(F.lit("text_tn"), F.lit("other"))).otherwise(F.array(F.lit("text"), F.lit("other"))),
+        F.when(k == 0, F.array(i, F.concat(F.lit("text of "), i))).when(k == 1, F.array(i, F.lit(None))).when(k == 2, F.array(F.col("target_text"), F.lit("x"))).otherwise(F.array(F.concat(F.lit("text of "), i), F.lit("x"))),
+    )
+    doc = F.to_json(F.map_concat(own, F.create_map(F.lit("task"), F.lit("asr"))), {"ignoreNullFields": "false"})
+    key = F.when(k == 2, F.concat(F.lit("key-"), i)).when(k < 2, F.lit("another"))
+    return pack.dispatch(rows.select(key.alias("key"), doc.alias("meta"), i.alias("given")), F.col("meta")).select("given", "sample_id", "dataset", "target_text")
