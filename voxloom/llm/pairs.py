@@ -7,8 +7,7 @@ asked for. A refusal counts before all but emptiness, unless it is in another la
 
 Whether the last word of a span of a passage can end a phrase cannot be told from the pair alone ("the blue" and "the
 barrel" look alike). Such pairs go to a second step, where all passages answer: the share of that word's occurrences
-at which a phrase ends. It is a share, so it does not move with the number of passages; only a word that stands
-nowhere but in the pair's own passage is left undecided, and the pair is then sound.
+at which a phrase ends. It is a share and nothing but a share, so it does not move with the number of passages.
 """
 
 from __future__ import annotations
@@ -378,6 +377,6 @@ def defects(pairs: DataFrame, ends: DataFrame) -> DataFrame:
     # most rows have nothing to look up; without a key of their own they would all meet in one task
     key = F.coalesce("look", F.concat(F.lit("\0"), F.xxhash64("id", "row", "turn").cast("string")))
     told = judged.withColumn("key", key).join(ends.withColumnRenamed("item", "key"), "key", "left")
-    cut = F.coalesce((F.col("n") >= 2) & (F.col("closed") < LEAST_CLOSED * F.col("n")) & ~F.array_contains("defects", "truncated"), F.lit(False))
+    cut = F.coalesce((F.col("closed") < LEAST_CLOSED * F.col("n")) & ~F.array_contains("defects", "truncated"), F.lit(False))
     all_ = told.select(*names, F.when(cut, F.array_append("defects", F.lit("truncated"))).otherwise(F.col("defects")).alias("defects"))
     return all_.filter(F.size("defects") > 0).groupBy(*names).agg(F.min("defects").alias("defects")).drop("row")
