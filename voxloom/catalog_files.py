@@ -246,7 +246,7 @@ def tagged_union(spark: SparkSession, root: str) -> DataFrame:
     return mixture.tagged_union({"a": a, "b": b}, "part").select(F.col("part_place").alias("place"), "part", "id")
 
 
-@_query("SELECT sample_id, dataset || '/' || lower(trim(split)) AS prefix, length(target_text) AS n FROM raw_sample WHERE task = 'asr' AND target_text IS NOT NULL")
+@_query("SELECT sample_id, dataset || '/' || lower(trim(split)) AS prefix, length(target_text)::INT AS n FROM raw_sample WHERE task = 'asr' AND target_text IS NOT NULL")
 def complete_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Only samples with both halves."""
     rows = table(spark, root, "raw_sample").filter("task = 'asr'")
