@@ -728,11 +728,38 @@ def metric_wer(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("sample_id", F.round(metrics.word_error_rate(text.spoken_text(t), t), 9).alias("value"))
 
 
-@_query()
+def _tokens_sql(c: str) -> str:
+    """The tokens BLEU counts in a text."""
+    for tag, mark in (("<skipped>", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        c = f"replace({c}, '{tag}', '{mark}')"
+    c = f"regexp_replace(' ' || {c} || ' ', '([\\{{-~\\[-` -&\\(-\\+:-@/])', ' \\1 ', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '([^0-9])([\\.,])', '\\1 \\2 ', 'g'), '([\\.,])([^0-9])', ' \\1 \\2', 'g')"
+    return f"[x for x in string_split_regex(regexp_replace({c}, '([0-9])(-)', '\\1 \\2 ', 'g'), '\\s+') if x <> '']"
+
+
+def _grams_sql(c: str, n: int) -> str:
+    return f"[array_to_string({c}[i:i + {n - 1}], chr(1)) for i in range(1, len({c}) - {n - 2})]"
+
+
+def _hits_sql(n: int) -> str:
+    """How many n-grams of the prediction the reference holds, none more often than it does."""
+    return f"coalesce(list_sum([least(len([1 for y in p{n} if y = g]), len([1 for y in r{n} if y = g])) for g in list_distinct(p{n})]), 0)::INT AS h{n}"
+
+
+_MISSED = [" + ".join(f"(h{k} = 0)::INT" for k in range(1, n + 1)) for n in range(1, 5)]
+_LOGS = " + ".join(f"ln(CASE WHEN h{n} > 0 THEN h{n}::DOUBLE / len(p{n}) ELSE 1.0::DOUBLE / (2 ** ({_MISSED[n - 1]}) * len(p{n})) END)" for n in range(1, 5))
+
+
+@_query(
+    f"""SELECT sample_id, round(CASE WHEN r <> '' THEN CASE WHEN len(pt) < 4 OR h1 + h2 + h3 + h4 = 0 THEN 0.0::DOUBLE ELSE 100 * CASE WHEN len(pt) >= len(rt) THEN 1.0::DOUBLE ELSE exp(1 - len(rt)::DOUBLE / len(pt)) END * exp(({_LOGS}) / 4) END END, 6) AS value FROM
+        (SELECT *, {", ".join(_hits_sql(n) for n in range(1, 5))} FROM (SELECT *, {", ".join(f"{_grams_sql(c + 't', n)} AS {c}{n}" for c in "pr" for n in range(1, 5))} FROM
+        (SELECT sample_id, r, {_tokens_sql("p")} AS pt, {_tokens_sql("r")} AS rt FROM
+        (SELECT sample_id, {_squeeze('target_text')} AS r, {_squeeze(_spoken_sql('target_text'))} AS p FROM raw_sample WHERE task = 'speech_to_text_translation'))))"""
+)
 def metric_bleu(spark: SparkSession, root: str) -> DataFrame:
     t = F.col("target_text")
     rows = table(spark, root, "raw_sample").filter("task = 'speech_to_text_translation'")
-    return rows.select("sample_id", metrics.sentence_bleu(text.spoken_text(t), t).alias("value"))
+    return rows.select("sample_id", F.round(metrics.sentence_bleu(text.spoken_text(t), t), 6).alias("value"))
 
 
 def _predictions(spark: SparkSession, root: str) -> DataFrame:
@@ -741,22 +768,13 @@ def _predictions(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("dataset", "task", "target_text", said.alias("pred_text"), (F.col("task") == "tts").alias("target_has_speech"), F.col("client_id").isNotNull().alias("pred_has_speech"))
 
 
-def _tokens_sql(c: str) -> str:
-    """How many tokens BLEU counts in a text."""
-    for tag, mark in (("<skipped>", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-        c = f"replace({c}, '{tag}', '{mark}')"
-    c = f"regexp_replace(' ' || {c} || ' ', '([\\{{-~\\[-` -&\\(-\\+:-@/])', ' \\1 ', 'g')"
-    c = f"regexp_replace(regexp_replace({c}, '([^0-9])([\\.,])', '\\1 \\2 ', 'g'), '([\\.,])([^0-9])', ' \\1 \\2', 'g')"
-    return f"len([x for x in string_split_regex(regexp_replace({c}, '([0-9])(-)', '\\1 \\2 ', 'g'), '\\s+') if x <> ''])"
-
-
 # predictions of other tasks than asr repeat the reference, so that their BLEU is 100, or 0 below four tokens
 @_query(
     f"""SELECT CASE WHEN grouping(dataset) = 1 THEN 'ALL_DATASETS' ELSE dataset END AS dataset, count(*) AS num_samples, array_to_string(list_sort(list(DISTINCT task)), ',') AS tasks,
         round(avg(wer), 9) AS wer_mean, round(avg(bleu), 6) AS bleu_mean, round(avg(em), 9) AS exact_match_mean, round(avg(same), 9) AS text_exact_match_mean,
         nullif(count(wer), 0)::DOUBLE AS wer_num_samples, nullif(count(bleu), 0)::DOUBLE AS bleu_num_samples, nullif(count(em), 0)::DOUBLE AS exact_match_num_samples,
         round(avg(CASE WHEN task <> 'tts' THEN (length(p) > 0)::INT END), 9) AS nonempty_pred_text_rate, round(avg(CASE WHEN task = 'tts' THEN (client_id IS NOT NULL)::INT END), 9) AS speech_pred_present_rate
-        FROM (SELECT *, CASE WHEN task = 'asr' AND r <> '' THEN levenshtein({_CODE.format("rw")}, {_CODE.format("pw")}) / len(rw) END AS wer, CASE WHEN task = 'speech_to_text_translation' AND r <> '' THEN CASE WHEN {_tokens_sql("r")} >= 4 THEN 100.0::DOUBLE ELSE 0 END END AS bleu,
+        FROM (SELECT *, CASE WHEN task = 'asr' AND r <> '' THEN levenshtein({_CODE.format("rw")}, {_CODE.format("pw")}) / len(rw) END AS wer, CASE WHEN task = 'speech_to_text_translation' AND r <> '' THEN CASE WHEN len({_tokens_sql("r")}) >= 4 THEN 100.0::DOUBLE ELSE 0 END END AS bleu,
               CASE WHEN task IN ('spoken_extract_qa', 'text_dialog_sft') AND r <> '' THEN 1.0::DOUBLE END AS em, CASE WHEN task <> 'tts' THEN (p = r)::INT END AS same
               FROM (SELECT *, list_distinct(rw || pw) AS v FROM (SELECT *, string_split(r, ' ') AS rw, [x for x in string_split(p, ' ') if x <> ''] AS pw FROM
                     (SELECT dataset, task, client_id, {_squeeze('target_text')} AS r, CASE WHEN task = 'asr' THEN {_spoken_sql('target_text')} ELSE {_squeeze('target_text')} END AS p FROM raw_sample))))
