@@ -185,9 +185,12 @@ class Ftrl:
         self.n = np.zeros(1 << BITS)
         self.at = np.zeros(1 << BITS, np.int32)
 
-    def weights(self, i: np.ndarray | slice = slice(None)) -> np.ndarray:
-        z, n = self.z[i], self.n[i]
-        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+    def weights(self) -> np.ndarray:
+        return self._weights(self.z, np.sqrt(self.n))
+
+    def _weights(self, z: np.ndarray, root: np.ndarray) -> np.ndarray:
+        shrunk = np.copysign(np.maximum(np.abs(z) - self.l1, 0.0), z)
+        return -shrunk / ((self.beta + root) / self.alpha + self.l2)
 
     def batch(self, feature: np.ndarray, passage: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
         """One step; passages are numbered from 0."""
@@ -195,12 +198,14 @@ class Ftrl:
         i = i[np.flatnonzero(np.diff(i, prepend=-1))]
         self.at[i] = np.arange(len(i), dtype=np.int32)
         back = self.at[feature]
-        w = self.weights(i)
+        z, n = self.z[i], self.n[i]
+        root = np.sqrt(n)
+        w = self._weights(z, root)
         p = 1 / (1 + np.exp(-np.clip(np.bincount(passage, w[back], len(y)) + BIAS, -30, 30)))
         g = np.bincount(back, ((p - y) * weight)[passage], len(i))
-        s = (np.sqrt(self.n[i] + g * g) - np.sqrt(self.n[i])) / self.alpha
-        self.z[i] += g - s * w
-        self.n[i] += g * g
+        n += g * g
+        self.z[i] = z + g - (np.sqrt(n) - root) / self.alpha * w
+        self.n[i] = n
 
 
 def _scores(w: np.ndarray, feature: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
