@@ -113,7 +113,7 @@ def test_schedules(spark):
         schedule.learning_rate(F.lit(1), 10, kind="step")
     with pytest.raises(ValueError):
         schedule.stage(F.lit(1), 0)
-    assert schedule.accumulation_steps(64, 4, 4) == 4 and schedule.checkpoint_name(42, "end") == "step-00000042-end"
+    assert schedule.accumulation_steps(64, 4, 4) == 4 and schedule.checkpoint_names(42, "end") == ("step-00000042-end", "latest")
     with pytest.raises(ValueError):
         schedule.accumulation_steps(10, 4, 4)
 

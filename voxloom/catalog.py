@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import embeddings, ids, metrics, schedule, speech, text
 from voxloom.operators import build, chat, checks, evaluate, load, mixture, pack, trainlog
+from voxloom.plans import pipeline
 from voxloom.runtime import scratch, table
 from voxloom.sources import audio, sinks
 from voxloom.streaming import raw as stream
@@ -661,6 +662,21 @@ def mixture_rows(spark: SparkSession, root: str) -> DataFrame:
     return mixture.mixed(mixture.draws(spark, 20_000, _PACKED_WEIGHTS, seed=7), rows, "sample_id", seed=7)
 
 
+@_query(
+    f"""WITH seqs AS (SELECT DISTINCT ON (sample_id) dataset, sample_id, input_ids[1:512] AS x, labels[1:512] AS y FROM packed_sample WHERE len(input_ids) >= 2),
+        own AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('7-' || sample_id), sample_id) - 1 AS place, count(*) OVER (PARTITION BY dataset) AS size FROM seqs),
+        nth AS (SELECT draw, dataset, row_number() OVER (PARTITION BY dataset ORDER BY draw) - 1 AS n FROM (SELECT draw, {_pick_sql(_PACKED_WEIGHTS)} AS dataset FROM {_DRAWN} WHERE draw < 4000)),
+        met AS (SELECT draw, draw // 4 AS batch, nth.dataset AS dataset, sample_id, x, y FROM nth JOIN own ON nth.dataset = own.dataset AND own.place = n % size),
+        wide AS (SELECT *, ((max(len(x)) OVER (PARTITION BY batch) + 7) // 8 * 8)::INT AS padded_length FROM met)
+        SELECT draw, batch, dataset, sample_id, padded_length, md5(array_to_string(x || [50256 for i in range(padded_length - len(x))], ',')) AS ids, md5(array_to_string(y || [-100 for i in range(padded_length - len(y))], ',')) AS labels FROM wide"""
+)
+def training_batches(spark: SparkSession, root: str) -> DataFrame:
+    """Four thousand draws of a weighted mixture as padded batches of four."""
+    seqs = table(spark, root, "packed_sample").select("dataset", "sample_id", "input_ids", "labels", "attention_mask").dropDuplicates(["sample_id"])
+    out = pipeline.training_batches(seqs, _PACKED_WEIGHTS, 4000, 4, SPACE.pad_id(), seed=7, max_length=512)
+    return out.select("draw", "batch", "dataset", "sample_id", "padded_length", _print("input_ids").alias("ids"), _print("labels").alias("labels"))
+
+
 _MOVING = {n: (a, b) for n, a, b in MIX}
 _STAGED = " ".join(f"WHEN {k} THEN {_pick_sql({n: a + k / 3 * (b - a) for n, (a, b) in _MOVING.items()})}" for k in range(4))
 

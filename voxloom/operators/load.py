@@ -23,10 +23,11 @@ def batches(df: DataFrame, *order: str, rows: int, multiple: int | None = 8) ->
     unique together and not null.
     """
     keys = with_ordinal(df.select(*order, F.size("input_ids").alias("__size")), *order).withColumn("batch", F.floor(F.col("ordinal") / rows))
-    return keys.drop("ordinal").join(_longest(keys, "batch", F.col("__size"), multiple), "batch").drop("__size")
+    return keys.drop("ordinal").join(longest(keys, "batch", F.col("__size"), multiple), "batch").drop("__size")
 
 
-def _longest(df: DataFrame, batch: str, size: Column, multiple: int | None) -> DataFrame:
+def longest(df: DataFrame, batch: str, size: Column, multiple: int | None = 8) -> DataFrame:
+    """batch, padded_length, batch_rows: the longest of each batch, rounded up, and its rows."""
     return df.groupBy(batch).agg(round_up(F.max(size), multiple).alias("padded_length"), F.count("*").alias("batch_rows"))
 
 
@@ -36,7 +37,7 @@ def padded(df: DataFrame, batch: str, pad_id: int, multiple: int | None = 8) ->
     The longest of each batch is an aggregate of lengths only, joined back; sequences are not gathered. Rows that
     bring padded_length and batch_rows (see batches) are filled where they are.
     """
-    rows = df if "padded_length" in df.columns else df.join(_longest(df, batch, F.size("input_ids"), multiple), batch)
+    rows = df if "padded_length" in df.columns else df.join(longest(df, batch, F.size("input_ids"), multiple), batch)
 
     def fill(c: str, v: int, kind: str = "int") -> Column:
         have = F.coalesce(F.col(c), F.transform("input_ids", lambda _: F.lit(1).cast(kind))) if c == "attention_mask" else F.col(c)

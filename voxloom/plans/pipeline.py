@@ -35,12 +35,16 @@ def packed(samples: DataFrame, packer: Packer, on_error: str = "raise") -> DataF
 
 
 def training_batches(sequences: DataFrame, weights: dict[str, float], draws: int, batch: int, pad_id: int, seed: int = 0, max_length: int = 32000) -> DataFrame:
-    """Sequences (dataset, sample_id, input_ids, labels, attention_mask) to padded batches of a weighted mixture."""
+    """Sequences (dataset, sample_id, input_ids, labels, attention_mask) to padded batches of a weighted mixture.
+
+    Draws, batches and their lengths are settled by keys and sizes; sequences move once, to their draws."""
     rows = load.loadable(sequences, max_length)
     order = mixture.draws(sequences.sparkSession, draws, weights, seed)
     chosen = mixture.mixed(order, rows.select("dataset", "sample_id"), "sample_id", seed)
-    full = chosen.join(rows, ["dataset", "sample_id"]).withColumn("batch", F.floor(F.col("draw") / batch))
-    return load.padded(full, "batch", pad_id)
+    key = ["dataset", "sample_id"]
+    thin = chosen.join(rows.select(*key, F.size("input_ids").alias("__size")), key).withColumn("batch", F.floor(F.col("draw") / batch))
+    thin = thin.join(load.longest(thin, "batch", F.col("__size")), "batch").drop("__size")
+    return load.padded(thin.join(rows, key), "batch", pad_id)
 
 
 def report(predictions: DataFrame) -> DataFrame:
