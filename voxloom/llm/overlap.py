@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from voxloom.llm.normal import words
 from voxloom.runtime import checkpointed
 
-#: Texts, and letters of texts, of a side in a cell of the grid of shards and training slices, and the most tasks that
+#: Texts, and letters of texts, of a side in a cell of the grid of shards and training slices (an automaton over 2^22
+#: letters of texts without repetitions takes some 570 MB), and the most tasks that
 #: work on cells. Results do not depend on them.
 EVAL_CELL, TRAIN_CELL = 1 << 15, 1 << 16
-EVAL_LETTERS, TRAIN_LETTERS = 1 << 23, 1 << 23
+EVAL_LETTERS, TRAIN_LETTERS = 1 << 22, 1 << 23
 MOST_TASKS = 4096
 
 #: Numbers of a text's letter-pair histogram, passages shared by two texts held at once, and the longest text (in words
