@@ -267,7 +267,7 @@ def _cells(texts: DataFrame) -> tuple[DataFrame, int]:
     its field and each training text once for each shard of the evaluation texts; and how many cells there are.
 
     The counts collected are two rows for each field. Texts of a field without the other side have no cell."""
-    n = {(r["field"], r["side"]): (r["n"], r["letters"]) for r in texts.groupBy("field", "side").agg(F.count("*").alias("n"), F.sum(F.length("plain")).alias("letters")).collect()}
+    n = {(r["field"], r["side"]): (r["n"], r["letters"]) for r in texts.groupBy("field", "side").agg(F.count("*").alias("n"), F.sum(F.length(F.replace("plain", F.lit(" "), F.lit("")))).alias("letters")).collect()}
     cells, shape = 0, []
     for f in sorted({f for f, _ in n if f is not None}):
         (ne, le), (nt, lt) = n.get((f, "e"), (0, 0)), n.get((f, "t"), (0, 0))
