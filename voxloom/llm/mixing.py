@@ -57,7 +57,8 @@ def copies(texts: DataFrame, rate: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int | None = None, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, source, copy (from 1), n_tokens, text: the mixture itself. Empty tables give an empty mixture."""
+    """doc_id, source, copy (from 1), n_tokens, text: the mixture itself. Empty tables give an empty mixture. A doc_id names one
+    row: rows delivered again must be dropped before."""
     texts = checkpointed(measured_texts(docs, vocabulary))
     chosen = copies(texts, rates(texts, targets, total_tokens), seed)
     joined = chosen.join(docs.select("doc_id", "text"), "doc_id")
