@@ -98,6 +98,40 @@ def test_no_copy_is_dropped_whatever_the_cells(monkeypatch):
     assert all(abs(got[p] - c) < 1e-9 for p, c in zip(every, covered, strict=True) if p in got)
 
 
+def _sentences(rng, n):
+    part = [["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(k)] for k in (300, 6, 8, 300, 6, 8)]
+    return [" ".join(f"{rng.choice(a)} {rng.choice(b)} the {rng.choice(c)} in" for a, b, c in (part[:3], part[3:])) for _ in range(n)]
+
+
+def test_only_training_texts_that_may_be_copies_are_scanned(monkeypatch):
+    rng = random.Random(11)
+    train = _sentences(rng, 3000)
+    evals = _sentences(rng, 200) + [_slipped(rng, x, 2) for x in train[:20]]
+    scanned, scan = [], overlap.Shard.scan
+    monkeypatch.setattr(overlap.Shard, "scan", lambda self, texts: scanned.extend(texts) or scan(self, texts))
+    ie, it, _ = overlap.covered(evals, train, 0.2, 0.82, 2)
+    assert {(200 + i, i) for i in range(20)} <= {*zip(ie.tolist(), it.tolist(), strict=True)}
+    assert len(scanned) < len(train) / 2
+
+
+def test_frequent_passages_give_the_same_pairs(monkeypatch):
+    rng = random.Random(12)
+    train = _sentences(rng, 300) + _texts(rng, 10, 80) + ["ab " * 8, "a b", "größe ähre öde über straße äpfel öl übel"]
+    evals = _sentences(rng, 50) + [_slipped(rng, x, k) for x in train[:60] + train[300:310] for k in (1, 5)] + ["ab " * 9, "a b", "a c", "größe ähre öde über straße apfel öl übel"]
+    evals, train = ([" ".join(words(x)) for x in y] for y in (evals, train))
+
+    def pairs():
+        return sorted(zip(*(x.tolist() for x in overlap.covered(evals, train, 0.2, 0.82, 2)), strict=True))
+
+    whole = pairs()
+    assert len(whole) > 100
+    for change in ({"BIT_SETS": 10000}, {"BIT_SETS": 7, "LEVELS": 2}, {"LEVELS": 1, "BLOCK": 3}, {"AT_ONCE": 50, "AUTOMATON_LETTERS": 200}):
+        with monkeypatch.context() as m:
+            for name, n in ({"LEAST_FREQUENT": 2, "FREQUENT": 100} | change).items():
+                m.setattr(overlap, name, n)
+            assert pairs() == whole
+
+
 def coverage(e, t):
     e, t = e.replace(" ", ""), t.replace(" ", "")
     last = max(0, len(e) - overlap.PASSAGE)
